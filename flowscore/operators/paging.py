@@ -60,6 +60,29 @@ def _before_cutoff(df: DataFrame, lead: Column, first: int) -> DataFrame:
     return df if reached is None else df.filter(cell <= reached)
 
 
+def _sorted_slots(placed: DataFrame, total_order: Sequence[Column], names: Sequence[str]):
+    """Range-partition and sort; ``__slot`` holds the partition and the place in it."""
+    return (
+        placed.repartitionByRange(*total_order)
+        .sortWithinPartitions(*total_order)
+        .select(*columns(names), F.monotonically_increasing_id().alias("__slot"))
+    )
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    """Add what orders rows of equal keys.
+
+    A key shared by many rows, or many copies of one row, would land in one
+    range; the content hash and the source position split both.
+    """
+    return df.withColumns(
+        {
+            "__content": F.xxhash64(*columns(df.columns)),
+            "__source": F.monotonically_increasing_id(),
+        }
+    )
+
+
 def number_rows(
     df: DataFrame,
     order_by: Sequence[str],
@@ -76,24 +99,14 @@ def number_rows(
     must see the same partitions both times.
     """
     keys = _order_columns(df, order_by, shuffle_seed)
-    everything = columns(df.columns)
-    # A key shared by many rows, or many copies of one row, would land in one
-    # range; the content hash and the source position split both.
-    placed = df.withColumns(
-        {"__content": F.xxhash64(*everything), "__source": F.monotonically_increasing_id()}
-    )
+    placed = _placed(df)
     total_order = [*keys, F.col("__content"), F.col("__source")]
     if first is not None:
         if shuffle_seed is not None or isinstance(df.schema[order_by[0]].dataType, NumericType):
             placed = _before_cutoff(placed, keys[0], first)
         if first <= TOP_K_LIMIT:
             placed = placed.orderBy(*total_order).limit(first)
-    ranged = (
-        placed.repartitionByRange(*total_order)
-        .sortWithinPartitions(*total_order)
-        .select(*everything, F.monotonically_increasing_id().alias("__slot"))
-    )
-    staged = stage_table(ranged, "numbered")
+    staged = stage_table(_sorted_slots(placed, total_order, df.columns), "numbered")
 
     part = F.shiftright("__slot", SLOT_BITS)
     place = F.col("__slot") - F.shiftleft(part, SLOT_BITS)
@@ -105,7 +118,7 @@ def number_rows(
     )
     # One row per partition of the sort above: bounded by the shuffle partitions.
     numbered = staged.withColumn("__part", part).join(F.broadcast(starts), "__part")
-    result = numbered.select((F.col("__start") + place).alias(index), *everything)
+    result = numbered.select((F.col("__start") + place).alias(index), *columns(df.columns))
     return result if first is None else result.filter(column(index) < first)
 
 

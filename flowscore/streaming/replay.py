@@ -5,11 +5,10 @@ from __future__ import annotations
 import time
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from flowscore.functions.names import column
 from flowscore.operators.messages import encode_messages
 from flowscore.operators.metrics import batch_counts
 from flowscore.operators.paging import paginate
@@ -68,9 +67,8 @@ def replay(
     """Send ``batches`` batches of ``rows`` rows, ``delay`` seconds apart.
 
     Rows go from the executors to the sink; the driver only keeps the pace and
-    the counts, which are taken while a batch is written. The paged rows are
-    written to the shared folder once, sorted, and each batch reads only the
-    files its row numbers are in. Stops early when the rows run out. After a
+    the counts. The paged rows are written to the shared folder once, sorted,
+    and each batch reads only the row groups its row numbers are in. Stops early when the rows run out. After a
     failure, ``start_batch`` goes on from a given batch: the pages do not
     depend on the run.
     """
@@ -80,17 +78,12 @@ def replay(
     for number in range(start_batch, batches):
         low = number * rows
         page = staged.filter((F.col("row_no") >= low) & (F.col("row_no") < low + rows))
-        seen = Observation()
-        counted = page.observe(
-            seen,
-            F.count(F.lit(1)).alias("events"),
-            F.count_if(column(label) == 1).alias("positives"),
-        )
-        sink(encode_messages(counted, fmt, keep=PAGE_COLUMNS))
-        if not seen.get["events"]:
+        events, positives = batch_counts(page, label).first()
+        if not events:
             break
-        sent.append((number, seen.get["events"], seen.get["positives"]))
-        if seen.get["events"] < rows:
+        sink(encode_messages(page, fmt, keep=PAGE_COLUMNS))
+        sent.append((number, events, positives))
+        if events < rows:
             break
         if number + 1 < batches:
             time.sleep(delay)

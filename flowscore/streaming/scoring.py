@@ -10,12 +10,10 @@ import time
 from collections.abc import Callable
 
 from pyspark.ml import Transformer
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from flowscore.functions.names import column
 from flowscore.operators.messages import decode_messages, keep_complete
 from flowscore.operators.metrics import batch_counts
 from flowscore.operators.scoring import model_columns, score
@@ -62,10 +60,11 @@ def report_batches(
 ) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` handler: one report row per batch, and the scored rows.
 
-    A batch is computed once. With ``output`` its rows are written there and
-    counted on the way; without, they are only counted. Both folders are keyed
-    by batch number and that key is overwritten, so a batch run again after a
-    failure replaces its first attempt.
+    A batch is computed once: its rows are written to ``output`` and counted
+    from there, which reads back one column, or, without ``output``, only
+    counted. ``seconds`` is the time of that one computation. Both folders are
+    keyed by batch number and that key is overwritten, so a batch run again
+    after a failure replaces its first attempt.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -73,16 +72,13 @@ def report_batches(
         start = time.perf_counter()
         if output is None:
             events, positives = batch_counts(batch, prediction).first()
+            seconds = time.perf_counter() - start
         else:
-            seen = Observation()
-            counted = batch.observe(
-                seen,
-                F.count(F.lit(1)).alias("events"),
-                F.count_if(column(prediction) == 1).alias("positives"),
-            )
-            counted.write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
-            events, positives = seen.get["events"], seen.get["positives"]
-        seconds = time.perf_counter() - start
+            path = f"{output}/batch_id={batch_id}"
+            batch.write.mode("overwrite").parquet(path)
+            seconds = time.perf_counter() - start
+            written = spark.read.schema(batch.schema).parquet(path)
+            events, positives = batch_counts(written, prediction).first()
         rate = events / seconds if seconds > 0 else None
         row = spark.createDataFrame([(events, positives, seconds, rate)], REPORT_SCHEMA)
         row.coalesce(1).write.mode("overwrite").parquet(f"{report}/batch_id={batch_id}")
