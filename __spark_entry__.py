@@ -20,6 +20,7 @@ from flowscore.functions.confusion import confusion_class as class_of
 from flowscore.operators import messages as M
 from flowscore.operators import metrics as X
 from flowscore.operators import ranking, sampling, scoring
+from flowscore.operators.ensemble import MODES, VotingEnsemble
 from flowscore.plans import evaluation, setups, training
 from flowscore.session import run_path
 from flowscore.sources import read_dataset, stream_dataset
@@ -160,7 +161,7 @@ def verdict(mode):
 
 
 def confusion_rows(spark, sf_dir):
-    outcome = class_of(F.col(w.LABEL), F.col("prediction"))
+    outcome = class_of(w.LABEL, "prediction")
     return scored_events(spark, sf_dir).select("event_id", outcome.alias("actual_predicted"))
 
 
@@ -171,18 +172,15 @@ def evaluate_grid(spark, sf_dir):
 
 
 def evaluate_ensemble(spark, sf_dir):
-    parts = [
-        evaluation.evaluate(
-            spark,
-            w.shared_flows(spark, sf_dir),
-            w.shared_models(),
-            ensemble=mode,
-            label=w.LABEL,
-            num_classes=2,
+    """The three voting modes as three models: one scan of each dataset."""
+    members = w.shared_models()
+    ensembles = {
+        evaluation.ensemble_name(mode, list(members)): VotingEnsemble(
+            list(members.values()), mode=mode, labelCol=w.LABEL, numClasses=2
         )
-        for mode in ("majority", "attack", "normal")
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+        for mode in MODES
+    }
+    return evaluation.evaluate(spark, w.shared_flows(spark, sf_dir), ensembles)
 
 
 # --- model-selection metrics -------------------------------------------------

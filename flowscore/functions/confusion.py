@@ -1,64 +1,49 @@
 """Binary confusion classes, their counts, and the ratios built on them.
 
 Positive is 1, negative is 0. A row whose label or prediction is anything else,
-null included, belongs to no cell of the matrix.
+null included, belongs to no cell of the matrix. Conditions are written as SQL
+text over column names: one expression per result, however many terms it has.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-CELLS = ("tp", "tn", "fp", "fn")
+from flowscore.functions.names import quoted
+
+# Actual and predicted class of each cell.
+CELLS = {"tp": (1, 1), "tn": (0, 0), "fp": (0, 1), "fn": (1, 0)}
 
 
-def _cell_conditions(label: Column, prediction: Column) -> dict[str, Column]:
-    agrees = label == prediction
-    return {
-        "tp": agrees & (label == 1),
-        "tn": agrees & (label == 0),
-        "fp": (label == 0) & (prediction == 1),
-        "fn": (label == 1) & (prediction == 0),
-    }
+def _condition(cell: str, label: str, prediction: str) -> str:
+    actual, predicted = CELLS[cell]
+    return f"{quoted(label)} = {actual} AND {quoted(prediction)} = {predicted}"
 
 
-def confusion_class(label: Column, prediction: Column) -> Column:
+def confusion_class(label: str, prediction: str) -> Column:
     """``TP``, ``TN``, ``FP``, ``FN`` or ``Unknown``."""
-    cells = _cell_conditions(label, prediction).items()
-    return reduce(lambda chain, cell: chain.when(cell[1], cell[0].upper()), cells, F).otherwise(
-        "Unknown"
+    branches = " ".join(
+        f"WHEN {_condition(cell, label, prediction)} THEN '{cell.upper()}'" for cell in CELLS
     )
+    return F.expr(f"CASE {branches} ELSE 'Unknown' END")
 
 
-def cell_counts(label: Column, prediction: Column) -> list[Column]:
+def cell_counts(label: str, prediction: str) -> list[Column]:
     """Four aggregates ``tp tn fp fn``; an absent cell counts 0."""
     return [
-        F.count_if(condition).alias(cell)
-        for cell, condition in _cell_conditions(label, prediction).items()
+        F.expr(f"count_if({_condition(cell, label, prediction)}) AS {cell}") for cell in CELLS
     ]
 
 
-def share(part: Column, whole: Column, empty: float | None = 0.0) -> Column:
-    """``part / whole``, or ``empty`` where ``whole`` is 0."""
-    return F.when(whole != 0, part / whole).otherwise(F.lit(empty).cast("double"))
-
-
-def accuracy() -> Column:
-    """Share of known rows on the diagonal; null when no row is known."""
-    right = F.col("tp") + F.col("tn")
-    return share(right, right + F.col("fp") + F.col("fn"), empty=None)
-
-
-def precision() -> Column:
-    return share(F.col("tp"), F.col("tp") + F.col("fp"))
-
-
-def recall() -> Column:
-    return share(F.col("tp"), F.col("tp") + F.col("fn"))
+def share(part: str, whole: str, empty: str = "0D") -> str:
+    """``part / whole`` as SQL, or ``empty`` where ``whole`` is 0."""
+    return f"CASE WHEN ({whole}) <> 0 THEN ({part}) / ({whole}) ELSE {empty} END"
 
 
-def f_one(precision_col: Column, recall_col: Column) -> Column:
-    """Harmonic mean of precision and recall, 0 when both are 0."""
-    return share(2 * (precision_col * recall_col), precision_col + recall_col)
+# Over columns tp, tn, fp, fn. Accuracy of no known row is null.
+ACCURACY = share("tp + tn", "tp + tn + fp + fn", empty="NULL")
+PRECISION = share("tp", "tp + fp")
+RECALL = share("tp", "tp + fn")
+# Over columns Precision and Recall.
+F_ONE = share("2 * (Precision * Recall)", "Precision + Recall")

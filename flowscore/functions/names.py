@@ -1,4 +1,4 @@
-"""Column references for names that may hold dots or backticks."""
+"""References to columns whose names may hold dots or backticks."""
 
 from __future__ import annotations
 
@@ -12,9 +12,9 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def column(name: str) -> Column:
-    return F.col(quoted(name))
+def quote_all(names: Iterable[str]) -> list[str]:
+    return [quoted(name) for name in names]
 
 
-def columns(names: Iterable[str]) -> list[Column]:
-    return [column(name) for name in names]
+def column(name: str) -> Column:
+    return F.col(quoted(name))

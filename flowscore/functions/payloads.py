@@ -28,7 +28,7 @@ def parse_payload(
 
 
 def build_payload(
-    fields: Sequence[Column], fmt: str, options: Mapping[str, str] | None = None
+    fields: Sequence[str | Column], fmt: str, options: Mapping[str, str] | None = None
 ) -> Column:
     """One csv or json text per row.
 

@@ -21,10 +21,9 @@ from pyspark.ml.util import (
     MLWriter,
 )
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from flowscore.functions import votes as V
-from flowscore.functions.names import columns
+from flowscore.functions.names import quote_all
 from flowscore.operators.scoring import class_count, model_columns, predict_each
 
 # The voting modes.
@@ -106,7 +105,7 @@ class VotingEnsemble(
         """Members are fitted already; lets the ensemble stand in for an estimator."""
         return self.copy(params) if params else self
 
-    def _verdict(self, ballots: list[Column]) -> Column:
+    def _verdict(self, ballots: list[str]) -> Column:
         mode = self.getMode()
         if mode == "attack":
             return V.attack_vote(ballots)
@@ -129,9 +128,8 @@ class VotingEnsemble(
         if clash:
             raise ValueError(f"input columns {clash} are also outputs of the ensemble")
         scored, ballots, _ = predict_each(dataset, self.models, [None] * len(self.models))
-        ballots = columns(ballots)
         return scored.select(
-            *columns(dataset.columns),
+            *quote_all(dataset.columns),
             *[make(ballots).alias(name) for name, make in added.items()],
         )
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from flowscore.functions.names import column, columns
+from flowscore.functions.names import column, quote_all
 from flowscore.functions.payloads import build_payload, parse_payload
 from flowscore.sources.schemas import required_fields
 
@@ -46,8 +46,8 @@ def encode_messages(
     options: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """All columns outside ``keep`` as one text column ``value``."""
-    fields = columns(name for name in df.columns if name not in keep)
-    return df.select(*columns(keep), build_payload(fields, fmt, options).alias("value"))
+    fields = quote_all(name for name in df.columns if name not in keep)
+    return df.select(*quote_all(keep), build_payload(fields, fmt, options).alias("value"))
 
 
 def _complete(schema: StructType) -> Column | None:

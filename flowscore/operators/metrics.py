@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from flowscore.functions import confusion as C
-from flowscore.functions.names import column, columns
+from flowscore.functions.confusion import share
+from flowscore.functions.names import column, quote_all, quoted
 
 # Metric names a cross-validation may select by.
 RANKING_METRICS = ("areaUnderROC", "areaUnderPR")
@@ -58,8 +59,8 @@ def as_array(df: DataFrame, name: str) -> Column:
 
 def batch_counts(df: DataFrame, target: str, by: Sequence[str] = ()) -> DataFrame:
     """Rows and positives, in one pass."""
-    return df.groupBy(*columns(by)).agg(
-        F.count("*").alias("events"), F.count_if(column(target) == 1).alias("positives")
+    return df.groupBy(*quote_all(by)).agg(
+        F.count("*").alias("events"), F.expr(f"count_if({quoted(target)} = 1) AS positives")
     )
 
 
@@ -67,26 +68,25 @@ def confusion_counts(
     df: DataFrame, label: str, prediction: str, by: Sequence[str] = ()
 ) -> DataFrame:
     """One row per confusion class that occurs, ``Unknown`` included."""
-    outcome = C.confusion_class(column(label), column(prediction))
-    return df.groupBy(*columns(by), outcome.alias("actual_predicted")).count()
+    outcome = C.confusion_class(label, prediction).alias("actual_predicted")
+    return df.groupBy(*quote_all(by), outcome).count()
 
 
 def confusion_matrix(
     df: DataFrame, label: str, prediction: str, by: Sequence[str] = ()
 ) -> DataFrame:
     """``tp tn fp fn`` in one row per group."""
-    return df.groupBy(*columns(by)).agg(*C.cell_counts(column(label), column(prediction)))
+    return df.groupBy(*quote_all(by)).agg(*C.cell_counts(label, prediction))
 
 
 def add_binary_ratios(matrix: DataFrame) -> DataFrame:
     """Append ``Accuracy Precision Recall F1`` to ``tp tn fp fn``."""
-    ratios = matrix.select(
+    return matrix.selectExpr(
         "*",
-        C.accuracy().alias("Accuracy"),
-        C.precision().alias("Precision"),
-        C.recall().alias("Recall"),
-    )
-    return ratios.withColumn("F1", C.f_one(F.col("Precision"), F.col("Recall")))
+        f"{C.ACCURACY} AS Accuracy",
+        f"{C.PRECISION} AS Precision",
+        f"{C.RECALL} AS Recall",
+    ).selectExpr("*", f"{C.F_ONE} AS F1")
 
 
 def binary_metrics(df: DataFrame, label: str, prediction: str, by: Sequence[str] = ()) -> DataFrame:
@@ -94,10 +94,45 @@ def binary_metrics(df: DataFrame, label: str, prediction: str, by: Sequence[str]
     return add_binary_ratios(confusion_matrix(df, label, prediction, by))
 
 
-def _row_log_loss(probability: Column, label: Column) -> Column:
+def _cells(
+    df: DataFrame, label: str, prediction: str, probability: str | None, by: Sequence[str]
+) -> DataFrame:
+    """One row per label and prediction: the only pass over the data."""
+    pairs = df.select(
+        *quote_all(by),
+        column(label).cast("double").alias("__l"),
+        column(prediction).cast("double").alias("__p"),
+        *([] if probability is None else [as_array(df, probability).alias("__prob")]),
+    ).filter("__l IS NOT NULL AND __p IS NOT NULL")
     # A label without a probability of its own counts as probability 0.
-    true_class = F.coalesce(F.get(probability, label.cast("int")), F.lit(0.0))
-    return -F.log(F.greatest(F.lit(EPSILON), F.least(F.lit(1.0 - EPSILON), true_class)))
+    chance = "coalesce(get(__prob, CAST(__l AS INT)), 0D)"
+    clipped = f"greatest({EPSILON}D, least(1D - {EPSILON}D, {chance}))"
+    loss = "CAST(NULL AS DOUBLE)" if probability is None else f"sum(-ln({clipped}))"
+    return pairs.groupBy(*quote_all(by), "__l", "__p").agg(
+        F.count("*").alias("__n"), F.expr(f"{loss} AS __loss")
+    )
+
+
+def _classes(cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Per class: rows with that label (``support``), with that prediction
+    (``claims``), with both (``hits``); and all rows of the group (``total``).
+
+    A cell adds to the support of its label and to the claims of its prediction.
+    """
+    sides = """inline(array(
+        named_struct('class', __l, 'support', __n, 'hits', IF(__l = __p, __n, 0L), 'claims', 0L,
+                     'loss', __loss),
+        named_struct('class', __p, 'support', 0L, 'hits', 0L, 'claims', __n,
+                     'loss', CAST(NULL AS DOUBLE))))"""
+    sums = [F.sum(name).alias(name) for name in ("support", "hits", "claims", "loss")]
+    # One row per class and group is left here, so the window is small.
+    whole = W.partitionBy(*quote_all(by))
+    return (
+        cells.selectExpr(*quote_all(by), sides)
+        .groupBy(*quote_all(by), "class")
+        .agg(*sums)
+        .withColumn("total", F.sum("support").over(whole))
+    )
 
 
 def class_metrics(
@@ -115,91 +150,44 @@ def class_metrics(
     the metric is undefined. ``logLoss`` needs ``probability``. Rows without a
     label or a prediction are left out.
     """
-    group = list(by)
-    actual, predicted = column(label).cast("double"), column(prediction).cast("double")
-    loss = (
-        F.lit(None).cast("double")
-        if probability is None
-        else _row_log_loss(as_array(df, probability), actual)
-    )
 
-    # One row per (label, prediction): the only pass over the data.
-    cells = (
-        df.select(
-            *columns(group), actual.alias("__l"), predicted.alias("__p"), loss.alias("__loss")
+    def f_measure(weight: float) -> str:
+        harmonic = share(f"{1 + weight}D * precision * recall", f"{weight}D * precision + recall")
+        return f"CASE WHEN recall IS NOT NULL THEN {harmonic} END"
+
+    rated = (
+        _classes(_cells(df, label, prediction, probability, by), by)
+        .selectExpr(
+            "*",
+            f"{share('hits', 'claims')} AS precision",
+            f"{share('hits', 'support', empty='NULL')} AS recall",
+            f"{share('claims - hits', 'total - support', empty='NULL')} AS fpr",
         )
-        .filter(F.col("__l").isNotNull() & F.col("__p").isNotNull())
-        .groupBy(*columns(group), "__l", "__p")
-        .agg(F.count("*").alias("__n"), F.sum("__loss").alias("__loss"))
+        .selectExpr("*", f"{f_measure(1.0)} AS f1", f"{f_measure(beta * beta)} AS fb")
     )
 
-    # A cell adds to the support of its label and to the claims of its prediction.
-    n, zero = F.col("__n"), F.lit(0).cast("long")
-    hit = F.when(F.col("__l") == F.col("__p"), n).otherwise(zero)
-    sides = F.array(
-        F.struct(
-            F.col("__l").alias("cls"),
-            n.alias("support"),
-            hit.alias("hits"),
-            zero.alias("claims"),
-            F.col("__loss").alias("loss"),
-        ),
-        F.struct(
-            F.col("__p").alias("cls"),
-            zero.alias("support"),
-            zero.alias("hits"),
-            n.alias("claims"),
-            F.lit(None).cast("double").alias("loss"),
-        ),
-    )
-    classes = (
-        cells.select(*columns(group), F.inline(sides))
-        .groupBy(*columns(group), "cls")
-        .agg(*[F.sum(c).alias(c) for c in ("support", "hits", "claims", "loss")])
-        # One row per class and group here, so the window is small.
-        .withColumn("total", F.sum("support").over(W.partitionBy(*columns(group))))
-    )
-
-    support, hits, claims, total = (F.col(c) for c in ("support", "hits", "claims", "total"))
-    rated = classes.select(
-        "*",
-        C.share(hits, claims).alias("prec"),
-        C.share(hits, support, empty=None).alias("rec"),
-        C.share(claims - hits, total - support, empty=None).alias("fpr"),
-    )
-    square = beta * beta
-    prec, rec, fpr = F.col("prec"), F.col("rec"), F.col("fpr")
-    rated = rated.withColumn(
-        "fm",
-        F.when(rec.isNotNull(), C.share((1 + square) * prec * rec, square * prec + rec)),
-    )
-
-    def weighted(rate: Column) -> Column:
-        return F.sum(F.when(support > 0, rate * (support / total)))
-
-    def of_label(rate: Column) -> Column:
-        return F.max(F.when(F.col("cls") == float(metric_label), rate))
-
-    right = F.sum(hits) / F.max(total)
-    wrong = (F.max(total) - F.sum(hits)) / F.max(total)
-    plain_f = (
-        weighted(F.col("fm"))
-        if beta == 1.0
-        else weighted(F.when(rec.isNotNull(), C.share(2 * prec * rec, prec + rec)))
-    )
-    return rated.groupBy(*columns(group)).agg(
-        plain_f.alias("f1"),
-        right.alias("accuracy"),
-        weighted(prec).alias("weightedPrecision"),
-        weighted(rec).alias("weightedRecall"),
-        weighted(rec).alias("weightedTruePositiveRate"),
-        weighted(fpr).alias("weightedFalsePositiveRate"),
-        weighted(F.col("fm")).alias("weightedFMeasure"),
-        of_label(rec).alias("truePositiveRateByLabel"),
-        of_label(fpr).alias("falsePositiveRateByLabel"),
-        of_label(prec).alias("precisionByLabel"),
-        of_label(rec).alias("recallByLabel"),
-        of_label(F.col("fm")).alias("fMeasureByLabel"),
-        (F.sum("loss") / F.max(total)).alias("logLoss"),
-        wrong.alias("hammingLoss"),
+    def weighted(rate: str) -> str:
+        return f"sum(CASE WHEN support > 0 THEN {rate} * (support / total) END)"
+
+    def of_label(rate: str) -> str:
+        return f"max(CASE WHEN class = {float(metric_label)}D THEN {rate} END)"
+
+    definitions = {
+        "f1": weighted("f1"),
+        "accuracy": "sum(hits) / max(total)",
+        "weightedPrecision": weighted("precision"),
+        "weightedRecall": weighted("recall"),
+        "weightedTruePositiveRate": weighted("recall"),
+        "weightedFalsePositiveRate": weighted("fpr"),
+        "weightedFMeasure": weighted("fb"),
+        "truePositiveRateByLabel": of_label("recall"),
+        "falsePositiveRateByLabel": of_label("fpr"),
+        "precisionByLabel": of_label("precision"),
+        "recallByLabel": of_label("recall"),
+        "fMeasureByLabel": of_label("fb"),
+        "logLoss": "sum(loss) / max(total)",
+        "hammingLoss": "(max(total) - sum(hits)) / max(total)",
+    }
+    return rated.groupBy(*quote_all(by)).agg(
+        *[F.expr(text).alias(name) for name, text in definitions.items()]
     )

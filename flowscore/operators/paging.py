@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from flowscore.functions.names import column, columns
+from flowscore.functions.names import column, quote_all
 from flowscore.session import stage_table
 
 # Bits of monotonically_increasing_id below the partition number.
@@ -28,7 +28,7 @@ CUTOFF_CELLS = 4096
 
 
 def _order_columns(df: DataFrame, order_by: Sequence[str], shuffle_seed: int | None):
-    keys = columns(order_by)
+    keys = [column(name) for name in order_by]
     if shuffle_seed is None:
         return keys
     return [F.xxhash64(F.lit(shuffle_seed), *keys), *keys]
@@ -65,7 +65,7 @@ def _sorted_slots(placed: DataFrame, total_order: Sequence[Column], names: Seque
     return (
         placed.repartitionByRange(*total_order)
         .sortWithinPartitions(*total_order)
-        .select(*columns(names), F.monotonically_increasing_id().alias("__slot"))
+        .select(*quote_all(names), F.monotonically_increasing_id().alias("__slot"))
     )
 
 
@@ -77,7 +77,7 @@ def _placed(df: DataFrame) -> DataFrame:
     """
     return df.withColumns(
         {
-            "__content": F.xxhash64(*columns(df.columns)),
+            "__content": F.xxhash64(*quote_all(df.columns)),
             "__source": F.monotonically_increasing_id(),
         }
     )
@@ -118,7 +118,7 @@ def number_rows(
     )
     # One row per partition of the sort above: bounded by the shuffle partitions.
     numbered = staged.withColumn("__part", part).join(F.broadcast(starts), "__part")
-    result = numbered.select((F.col("__start") + place).alias(index), *columns(df.columns))
+    result = numbered.select((F.col("__start") + place).alias(index), *quote_all(df.columns))
     return result if first is None else result.filter(column(index) < first)
 
 
@@ -135,5 +135,5 @@ def paginate(
     first = None if pages is None else rows * pages
     numbered = number_rows(df, order_by, first=first, shuffle_seed=shuffle_seed)
     return numbered.select(
-        F.floor(F.col("row_no") / rows).alias("batch_no"), "row_no", *columns(df.columns)
+        F.expr(f"row_no DIV {int(rows)}").alias("batch_no"), "row_no", *quote_all(df.columns)
     )

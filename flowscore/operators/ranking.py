@@ -17,12 +17,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowscore.functions import confusion as C
-from flowscore.functions.names import column, columns, quoted
+from flowscore.functions.confusion import share
+from flowscore.functions.names import column, quote_all, quoted
 from flowscore.operators.metrics import as_array
 from flowscore.session import stage_table
 
@@ -36,9 +36,9 @@ def _score_counts(df: DataFrame, label: str, score: str, by: Sequence[str]) -> D
     value = column(score).cast("double") if plain else F.get(as_array(df, score), F.lit(1))
     positive = column(label).cast("double") > 0.5
     return (
-        df.select(*columns(by), value.alias("__s"), positive.alias("__y"))
+        df.select(*quote_all(by), value.alias("__s"), positive.alias("__y"))
         .filter(F.col("__s").isNotNull() & F.col("__y").isNotNull())
-        .groupBy(*columns(by), "__s")
+        .groupBy(*quote_all(by), "__s")
         .agg(
             F.count_if(F.col("__y")).alias("__pos"),
             F.count_if(~F.col("__y")).alias("__neg"),
@@ -46,18 +46,71 @@ def _score_counts(df: DataFrame, label: str, score: str, by: Sequence[str]) -> D
     )
 
 
-def _with_range(scores: DataFrame, rows_per_range: int) -> DataFrame:
-    """Number the score ranges, lowest first; ``scores`` is a written table."""
+def _range_splits(scores: DataFrame, rows_per_range: int) -> list[float] | None:
+    """Bounds of the score ranges; ``None`` when the written ``scores`` fit in one."""
     wanted = min(MAX_RANGES, -(-scores.count() // rows_per_range))
     if wanted <= 1:
-        return scores.withColumn("__range", F.lit(0.0))
+        return None
     steps = [step / wanted for step in range(1, wanted)]
     cuts = scores.approxQuantile("__s", steps, 1.0 / (4 * wanted))
-    splits = [float("-inf"), *sorted(set(cuts) - {float("-inf"), float("inf")}), float("inf")]
+    ends = {float("-inf"), float("inf")}
+    return [float("-inf"), *sorted(set(cuts) - ends), float("inf")]
+
+
+def _running_totals(keys: Sequence[str]) -> list[Column]:
+    """Positives and negatives at or above each score, inside ``keys``."""
+    down = (
+        W.partitionBy(*keys)
+        .orderBy(F.desc("__s"))
+        .rowsBetween(W.unboundedPreceding, W.currentRow)
+    )
+    return [F.sum("__pos").over(down).alias("__tp"), F.sum("__neg").over(down).alias("__fp")]
+
+
+def _curve_in_one_range(scores: DataFrame, by: Sequence[str]) -> DataFrame:
+    whole = W.partitionBy(*quote_all(by))
+    return scores.select(
+        "*",
+        *_running_totals(quote_all(by)),
+        F.sum("__pos").over(whole).alias("__P"),
+        F.sum("__neg").over(whole).alias("__N"),
+    )
+
+
+def _curve_over_ranges(scores: DataFrame, by: Sequence[str], splits: list[float]) -> DataFrame:
+    group = quote_all(by)
     # NaN sorts above every number, and "keep" gives it the range above all others.
-    return Bucketizer(
+    ranged = Bucketizer(
         splits=splits, inputCol="__s", outputCol="__range", handleInvalid="keep"
     ).transform(scores)
+    ranged = ranged.withColumn("__range", F.col("__range").cast("int"))
+    running = ranged.select("*", *_running_totals([*group, "__range"]))
+    totals = ranged.groupBy(*group, "__range").agg(
+        F.sum("__pos").alias("__rp"), F.sum("__neg").alias("__rn")
+    )
+    higher = (
+        W.partitionBy(*group).orderBy(F.desc("__range")).rowsBetween(W.unboundedPreceding, -1)
+    )
+    whole = W.partitionBy(*group)
+    offsets = totals.select(
+        *group,
+        "__range",
+        F.coalesce(F.sum("__rp").over(higher), F.lit(0)).alias("__tp0"),
+        F.coalesce(F.sum("__rn").over(higher), F.lit(0)).alias("__fp0"),
+        F.sum("__rp").over(whole).alias("__P"),
+        F.sum("__rn").over(whole).alias("__N"),
+    )
+    # Ranges are never null, group values may be.
+    same_range = [F.col("r.__range") == F.col("o.__range")]
+    same_group = [F.col(f"r.{q}").eqNullSafe(F.col(f"o.{q}")) for q in map(quoted, by)]
+    joined = running.alias("r").join(offsets.alias("o"), same_range + same_group)
+    return joined.select(
+        *[F.col(f"r.{quoted(name)}") for name in scores.columns],
+        (F.col("__tp") + F.col("__tp0")).alias("__tp"),
+        (F.col("__fp") + F.col("__fp0")).alias("__fp"),
+        "__P",
+        "__N",
+    )
 
 
 def ranking_metrics(
@@ -73,58 +126,28 @@ def ranking_metrics(
     folder and everything else reads them from there. The areas are null when
     a class is missing.
     """
-    group = columns(by)
     scores = stage_table(_score_counts(df, label, score, by), "scores")
-    ranged = _with_range(scores, rows_per_range)
-
-    # Highest score first, as both curves are drawn.
-    inside = (
-        W.partitionBy(*group, "__range")
-        .orderBy(F.desc("__s"))
-        .rowsBetween(W.unboundedPreceding, W.currentRow)
-    )
-    running = ranged.select(
-        "*",
-        F.sum("__pos").over(inside).alias("__tp"),
-        F.sum("__neg").over(inside).alias("__fp"),
-    )
-    before = (
-        W.partitionBy(*group).orderBy(F.desc("__range")).rowsBetween(W.unboundedPreceding, -1)
-    )
-    whole = W.partitionBy(*group)
-    totals = ranged.groupBy(*group, "__range").agg(
-        F.sum("__pos").alias("__rp"), F.sum("__neg").alias("__rn")
-    )
-    offsets = totals.select(
-        *group,
-        "__range",
-        F.coalesce(F.sum("__rp").over(before), F.lit(0)).alias("__tp0"),
-        F.coalesce(F.sum("__rn").over(before), F.lit(0)).alias("__fp0"),
-        F.sum("__rp").over(whole).alias("__P"),
-        F.sum("__rn").over(whole).alias("__N"),
-    )
-    # The running side is already spread by these keys, so only the few offset
-    # rows move. Group values may be null, ranges never are.
-    same_range = [F.col("r.__range") == F.col("o.__range")]
-    same_group = [F.col(f"r.{q}").eqNullSafe(F.col(f"o.{q}")) for q in map(quoted, by)]
-    joined = (
-        running.alias("r")
-        .join(offsets.alias("o"), same_range + same_group)
-        .select("r.*", "__tp0", "__fp0", "__P", "__N")
+    splits = _range_splits(scores, rows_per_range)
+    curve = (
+        _curve_in_one_range(scores, by)
+        if splits is None
+        else _curve_over_ranges(scores, by, splits)
     )
 
-    tp = (F.col("__tp") + F.col("__tp0")).cast("double")
-    fp = (F.col("__fp") + F.col("__fp0")).cast("double")
-    pos, neg = F.col("__pos").cast("double"), F.col("__neg").cast("double")
-    precision = tp / (tp + fp)
-    seen = tp - pos + fp - neg
-    # The curve starts at recall 0 with the precision of the first point.
-    previous = F.when(seen > 0, (tp - pos) / seen).otherwise(precision)
-    roc_step = neg * (tp - pos / 2)
-    pr_step = F.when(pos > 0, pos * (precision + previous) / 2).otherwise(0.0)
-
-    all_pos, all_neg = F.max("__P").cast("double"), F.max("__N").cast("double")
-    return joined.groupBy(*group).agg(
-        C.share(F.sum(roc_step), all_pos * all_neg, empty=None).alias("areaUnderROC"),
-        C.share(F.sum(pr_step), all_pos, empty=None).alias("areaUnderPR"),
+    points = curve.selectExpr(
+        *quote_all(by),
+        *[f"CAST({c} AS DOUBLE) AS {c[2:]}" for c in ("__tp", "__fp", "__pos", "__neg")],
+        "__P",
+        "__N",
+    )
+    # The precision before this score; the curve starts at recall 0 with the
+    # precision of its first point.
+    precision, seen = "tp / (tp + fp)", "tp - pos + fp - neg"
+    previous = f"CASE WHEN {seen} > 0 THEN (tp - pos) / ({seen}) ELSE {precision} END"
+    roc = "sum(neg * (tp - pos / 2))"
+    pr = f"sum(CASE WHEN pos > 0 THEN pos * ({precision} + {previous}) / 2 ELSE 0D END)"
+    all_pos, all_neg = "max(CAST(__P AS DOUBLE))", "max(CAST(__N AS DOUBLE))"
+    return points.groupBy(*quote_all(by)).agg(
+        F.expr(share(roc, f"{all_pos} * {all_neg}", empty="NULL")).alias("areaUnderROC"),
+        F.expr(share(pr, all_pos, empty="NULL")).alias("areaUnderPR"),
     )

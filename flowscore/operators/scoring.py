@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.ml import Transformer
 from pyspark.sql import DataFrame
 
-from flowscore.functions.names import column, columns
+from flowscore.functions.names import column, quote_all
 
 
 @dataclass(frozen=True)
@@ -90,17 +90,21 @@ def predict_each(
         if clash:
             raise ValueError(f"input columns {clash} are also outputs of model {number}")
 
-    scored, predictions, label_names = df, [], []
+    # A member may be an ensemble itself and find the outer one's columns here.
+    prefix = "__"
+    while any(name.startswith(prefix) for name in inputs):
+        prefix += "_"
+    scored, kept, predictions, label_names = df, quote_all(inputs), [], []
     for number, (model, label) in enumerate(zip(models, labels, strict=True)):
-        before = scored.columns
         output = model.transform(scored)
-        predictions.append(f"__prediction_{number}")
+        predictions.append(f"{prefix}prediction_{number}")
         new = [column(model_columns(model).prediction).alias(predictions[-1])]
         if label is not None and label not in inputs:
             if label not in output.columns:
                 raise ValueError(f"label column {label!r} of model {number} is not in the data")
-            new.append(column(label).alias(f"__label_{number}"))
-            label = f"__label_{number}"
+            new.append(column(label).alias(f"{prefix}label_{number}"))
+            label = f"{prefix}label_{number}"
         label_names.append(label)
-        scored = output.select(*columns(before), *new)
+        scored = output.select(*kept, *new)
+        kept += [predictions[-1]] if len(new) == 1 else [predictions[-1], label]
     return scored, predictions, label_names

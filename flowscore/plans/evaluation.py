@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from flowscore.functions.confusion import cell_counts
-from flowscore.functions.names import column
 from flowscore.operators.ensemble import VotingEnsemble
 from flowscore.operators.metrics import add_binary_ratios
 from flowscore.operators.sampling import bernoulli_sample
@@ -45,7 +44,7 @@ def _matrices_of(
         F.struct(
             F.lit(name).alias("Dataset"),
             F.lit(model_name).alias("Model"),
-            *cell_counts(column(label_name), column(prediction)),
+            *cell_counts(label_name, prediction),
         )
         for (model_name, _), prediction, label_name in zip(
             models, predictions, label_names, strict=True

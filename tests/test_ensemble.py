@@ -63,7 +63,7 @@ def test_attack_majority_normal_are_ordered(spark):
 def test_unrolled_and_wide_tallies_agree(spark, monkeypatch):
     rows = [(0.0, 2.0, 2.0), (1.0, None, 7.0), (None, None, None), (2.0, 1.0, 0.0)]
     df = vote_table(spark, rows)
-    votes = [F.col(f"v{i}") for i in range(3)]
+    votes = ["v0", "v1", "v2"]
 
     def run():
         return df.select(
@@ -80,7 +80,7 @@ def test_unrolled_and_wide_tallies_agree(spark, monkeypatch):
 
 def test_null_votes_follow_three_valued_logic(spark):
     df = vote_table(spark, [(None, 1.0), (None, 0.0)])
-    votes = [F.col("v0"), F.col("v1")]
+    votes = ["v0", "v1"]
     rows = df.select(V.attack_vote(votes), V.normal_vote(votes)).collect()
     assert [tuple(r) for r in rows] == [(1.0, None), (None, 0.0)]
 
@@ -168,3 +168,13 @@ def test_counts_as_vector_suit_the_mllib_evaluator(spark):
     df = vote_table(spark, [(0.0, 1.0), (1.0, 1.0), (0.0, 0.0)]).withColumn("y", F.col("v0"))
     voted = as_vector(ensemble_of(2).transform(df), "rawPrediction")
     assert BinaryClassificationEvaluator(labelCol="y").evaluate(voted) == 1.0
+
+
+def test_ensemble_of_ensembles(spark):
+    df = vote_table(spark, [(0.0, 1.0, 1.0), (1.0, 1.0, 1.0)])
+    inner = [ensemble_of(3, mode=mode) for mode in ("normal", "attack", "majority")]
+    voted = VotingEnsemble(inner, predictionsCol="modes", predictionCol="final", numClasses=2)
+    assert [(r.modes, r.final) for r in voted.transform(df).collect()] == [
+        ([0.0, 1.0, 1.0], 1.0),
+        ([1.0, 1.0, 1.0], 1.0),
+    ]

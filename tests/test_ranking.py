@@ -3,6 +3,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from conftest import plan_of
 from flowscore.operators.ranking import ranking_metrics
 
 
@@ -87,3 +88,10 @@ def test_infinite_and_nan_scores_keep_their_place(spark):
     for size in (100, 2):
         got = ranking_metrics(df, "y", "s", rows_per_range=size).first()
         assert tuple(got) == pytest.approx(expected, abs=1e-12)
+
+
+def test_no_cross_join_and_the_data_is_read_once(scored):
+    for size in (1_000_000, 40):
+        plan = plan_of(ranking_metrics(scored, "y", "s", rows_per_range=size))
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+        assert "Range (0, 900" not in plan  # reads the written scores only
