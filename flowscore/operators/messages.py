@@ -35,8 +35,10 @@ def decode_messages(
     record = parse_payload(F.col("value"), schema, fmt, options)
     present = [name for name in METADATA if name in messages.columns]
     extra = [F.struct(*present).alias(meta)] if present else []
-    decoded = messages.select(record.alias("record"), *extra)
-    return decoded.select("record.*", *[meta for _ in extra])
+    # Flattened by a generator over one record, not by ``record.*``: a filter on
+    # record fields would move below the latter and parse the payload again for
+    # every field it tests.
+    return messages.select(F.inline(F.array(record)), *extra)
 
 
 def encode_messages(

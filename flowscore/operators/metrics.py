@@ -103,7 +103,7 @@ def _cells(
         column(label).cast("double").alias("__l"),
         column(prediction).cast("double").alias("__p"),
         *([] if probability is None else [as_array(df, probability).alias("__prob")]),
-    ).filter("__l IS NOT NULL AND __p IS NOT NULL")
+    )
     # A label without a probability of its own counts as probability 0.
     chance = "coalesce(get(__prob, CAST(__l AS INT)), 0D)"
     clipped = f"greatest({EPSILON}D, least(1D - {EPSILON}D, {chance}))"
@@ -119,11 +119,14 @@ def _classes(cells: DataFrame, by: Sequence[str]) -> DataFrame:
 
     A cell adds to the support of its label and to the claims of its prediction.
     """
-    sides = """inline(array(
+    # Cells without label or prediction are dropped here, among few rows, by an
+    # empty array. A filter would move down to the data and compute the
+    # prediction a second time for every row.
+    sides = """inline(IF(__l IS NULL OR __p IS NULL, array(), array(
         named_struct('class', __l, 'support', __n, 'hits', IF(__l = __p, __n, 0L), 'claims', 0L,
                      'loss', __loss),
         named_struct('class', __p, 'support', 0L, 'hits', 0L, 'claims', __n,
-                     'loss', CAST(NULL AS DOUBLE))))"""
+                     'loss', CAST(NULL AS DOUBLE)))))"""
     sums = [F.sum(name).alias(name) for name in ("support", "hits", "claims", "loss")]
     # One row per class and group is left here, so the window is small.
     whole = W.partitionBy(*quote_all(by))

@@ -20,6 +20,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from flowscore.functions.confusion import share
 from flowscore.functions.names import column, quote_all, quoted
@@ -32,18 +33,20 @@ MAX_RANGES = 10_000
 
 def _score_counts(df: DataFrame, label: str, score: str, by: Sequence[str]) -> DataFrame:
     """Positives and negatives per distinct score; vectors give the score of class 1."""
-    plain = df.schema[score].dataType.typeName() in ("double", "float", "integer", "long")
+    plain = isinstance(df.schema[score].dataType, NumericType)
     value = column(score).cast("double") if plain else F.get(as_array(df, score), F.lit(1))
-    positive = column(label).cast("double") > 0.5
-    return (
-        df.select(*quote_all(by), value.alias("__s"), positive.alias("__y"))
-        .filter(F.col("__s").isNotNull() & F.col("__y").isNotNull())
+    counts = (
+        df.select(*quote_all(by), value.alias("__s"), column(label).cast("double").alias("__y"))
         .groupBy(*quote_all(by), "__s")
         .agg(
-            F.count_if(F.col("__y")).alias("__pos"),
-            F.count_if(~F.col("__y")).alias("__neg"),
+            F.expr("count_if(__y > 0.5) AS __pos"),
+            F.expr("count_if(NOT __y > 0.5) AS __neg"),
         )
     )
+    # Rows without score or label are dropped from the written table: before
+    # it, the filter would compute a model's score twice for every row.
+    written = stage_table(counts, "scores")
+    return written.filter("__s IS NOT NULL AND __pos + __neg > 0")
 
 
 def _range_splits(scores: DataFrame, rows_per_range: int) -> list[float] | None:
@@ -126,7 +129,7 @@ def ranking_metrics(
     folder and everything else reads them from there. The areas are null when
     a class is missing.
     """
-    scores = stage_table(_score_counts(df, label, score, by), "scores")
+    scores = _score_counts(df, label, score, by)
     splits = _range_splits(scores, rows_per_range)
     curve = (
         _curve_in_one_range(scores, by)

@@ -114,6 +114,21 @@ def test_messages_without_metadata(spark):
     assert decode_messages(only_value, SCHEMA).columns == ["a", "b", "c"]
 
 
+@pytest.mark.parametrize("fmt", ["csv", "json"])
+def test_message_without_payload_is_a_record_without_fields(spark, fmt):
+    empty = spark.createDataFrame([(None, 0, 5, None)], messages(spark, ["x"]).schema)
+    decoded = decode_messages(empty, SCHEMA, fmt)
+    row = decoded.first()
+    assert (row.a, row.b, row.c, row["_meta"]["offset"]) == (None, None, None, 5)
+    assert rejected_rows(decoded, SCHEMA).count() == 1
+
+
+@pytest.mark.parametrize("fmt", ["csv", "json"])
+def test_a_payload_is_parsed_once(spark, fmt):
+    decoded = decode_messages(messages(spark, ["1,x,2.5"]), SCHEMA, fmt)
+    assert plan_of(keep_complete(decoded, SCHEMA).filter("a > 0")).count(f"from_{fmt}(") == 1
+
+
 def test_decode_and_check_never_shuffle_or_leave_the_jvm(spark):
     decoded = decode_messages(messages(spark, ["1,x,2.5"]).repartition(2), SCHEMA)
     plan = plan_of(keep_complete(decoded, SCHEMA).filter(F.col("a") > 0))
