@@ -37,27 +37,32 @@ def _order_columns(df: DataFrame, order_by: Sequence[str], shuffle_seed: int | N
 def _before_cutoff(df: DataFrame, lead: Column, first: int) -> DataFrame:
     """Drop rows that cannot be among the ``first`` lowest by the numeric ``lead``.
 
-    Two scans of one column count the rows per histogram cell; cells beyond the
-    one where the count reaches ``first`` go. A superset of the wanted rows is
-    left, so this saves work and never changes a result.
+    Two scans of one column count the rows per histogram cell; what lies above
+    the cell where the count reaches ``first`` goes, as a plain comparison the
+    file scan can use. A superset of the wanted rows is left, so this saves
+    work and never changes a result.
     """
-    lead = lead.cast("double")
-    low, high = df.agg(F.min(lead), F.max(lead)).first()
+    size = lead.cast("double")
+    low, high = df.agg(F.min(size), F.max(size)).first()
     if low is None or not float("-inf") < low < high < float("inf"):
         return df
     # Never decreasing in lead; null leads come first, as in the sort.
     cell = F.coalesce(
-        F.width_bucket(lead, F.lit(low), F.lit(high), F.lit(CUTOFF_CELLS)),
+        F.width_bucket(size, F.lit(low), F.lit(high), F.lit(CUTOFF_CELLS)),
         F.lit(-1).cast("long"),
     )
-    counts = df.groupBy(cell.alias("cell")).count()
-    (reached,) = (
-        counts.select("cell", F.sum("count").over(W.orderBy("cell")).alias("upto"))
+    cells = df.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.max(lead).alias("top"))
+    reached = (
+        cells.select("cell", "top", F.sum("n").over(W.orderBy("cell")).alias("upto"))
         .filter(F.col("upto") >= first)
-        .agg(F.min("cell"))
+        .orderBy("cell")
         .first()
     )
-    return df if reached is None else df.filter(cell <= reached)
+    if reached is None:
+        return df
+    if reached.top is None:
+        return df.filter(lead.isNull())
+    return df.filter(lead.isNull() | (lead <= F.lit(reached.top)))
 
 
 def _sorted_slots(placed: DataFrame, total_order: Sequence[Column], names: Sequence[str]):
@@ -99,13 +104,13 @@ def number_rows(
     must see the same partitions both times.
     """
     keys = _order_columns(df, order_by, shuffle_seed)
-    placed = _placed(df)
+    hashed = shuffle_seed is not None
+    numeric = isinstance(df.schema[order_by[0]].dataType, NumericType)
+    wanted = _before_cutoff(df, keys[0], first) if first and (hashed or numeric) else df
+    placed = _placed(wanted)
     total_order = [*keys, F.col("__content"), F.col("__source")]
-    if first is not None:
-        if shuffle_seed is not None or isinstance(df.schema[order_by[0]].dataType, NumericType):
-            placed = _before_cutoff(placed, keys[0], first)
-        if first <= TOP_K_LIMIT:
-            placed = placed.orderBy(*total_order).limit(first)
+    if first is not None and first <= TOP_K_LIMIT:
+        placed = placed.orderBy(*total_order).limit(first)
     staged = stage_table(_sorted_slots(placed, total_order, df.columns), "numbered")
 
     part = F.shiftright("__slot", SLOT_BITS)
