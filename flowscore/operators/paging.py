@@ -94,11 +94,13 @@ def number_rows(
     index: str = "row_no",
     first: int | None = None,
     shuffle_seed: int | None = None,
+    carry: Sequence[str] | None = None,
 ) -> DataFrame:
     """Add ``index`` = 0, 1, 2, ... in the order of ``order_by`` (nulls first).
 
     ``first`` keeps that many rows. ``shuffle_seed`` orders by a seeded hash of
-    the key instead. Rows with equal keys are ordered by their content, so the
+    the key instead. ``carry`` names the columns to keep (all); the others are
+    left out of the sort. Rows with equal keys are ordered by their content, so the
     result depends on the data only. Runs a job when called: the sorted rows
     are written to the shared folder, because numbering reads them twice and
     must see the same partitions both times.
@@ -111,7 +113,10 @@ def number_rows(
     total_order = [*keys, F.col("__content"), F.col("__source")]
     if first is not None and first <= TOP_K_LIMIT:
         placed = placed.orderBy(*total_order).limit(first)
-    staged = stage_table(_sorted_slots(placed, total_order, df.columns), "numbered")
+    names = df.columns if carry is None else list(carry)
+    needed = dict.fromkeys([*names, *order_by, "__content", "__source"])
+    placed = placed.select(*quote_all(needed))
+    staged = stage_table(_sorted_slots(placed, total_order, names), "numbered")
 
     part = F.shiftright("__slot", SLOT_BITS)
     place = F.col("__slot") - F.shiftleft(part, SLOT_BITS)
@@ -123,7 +128,7 @@ def number_rows(
     )
     # One row per partition of the sort above: bounded by the shuffle partitions.
     numbered = staged.withColumn("__part", part).join(F.broadcast(starts), "__part")
-    result = numbered.select((F.col("__start") + place).alias(index), *quote_all(df.columns))
+    result = numbered.select((F.col("__start") + place).alias(index), *quote_all(names))
     return result if first is None else result.filter(column(index) < first)
 
 
@@ -133,12 +138,11 @@ def paginate(
     order_by: Sequence[str],
     pages: int | None = None,
     shuffle_seed: int | None = None,
+    carry: Sequence[str] | None = None,
 ) -> DataFrame:
     """Add ``row_no`` and ``batch_no``: pages of ``rows`` rows, the first ``pages`` of them."""
     if rows <= 0:
         raise ValueError(f"rows per page must be positive, not {rows}")
     first = None if pages is None else rows * pages
-    numbered = number_rows(df, order_by, first=first, shuffle_seed=shuffle_seed)
-    return numbered.select(
-        F.expr(f"row_no DIV {int(rows)}").alias("batch_no"), "row_no", *quote_all(df.columns)
-    )
+    numbered = number_rows(df, order_by, first=first, shuffle_seed=shuffle_seed, carry=carry)
+    return numbered.selectExpr(f"row_no DIV {int(rows)} AS batch_no", "*")

@@ -48,7 +48,7 @@ def replay_positive_counts(
     shuffle_seed: int | None = None,
 ) -> DataFrame:
     """Rows and positives of each batch of a replay."""
-    pages = paginate(df, rows, order_by, batches, shuffle_seed)
+    pages = paginate(df, rows, order_by, batches, shuffle_seed, carry=[label])
     return batch_counts(pages, label, by=["batch_no"])
 
 

@@ -96,6 +96,14 @@ def test_batches_and_positive_counts(flows):
     assert [tuple(r) for r in counts] == [(0, 1000, 250), (1, 1000, 250)]
 
 
+def test_counts_belong_to_the_same_batches_as_the_rows(flows):
+    # Keys are not unique: both have to break ties alike.
+    counts = replay_positive_counts(flows, 450, ["key"]).collect()
+    pages = paginate(flows, 450, ["key"]).groupBy("batch_no").agg(F.sum("Label").alias("p"))
+    assert {r.batch_no: r.positives for r in counts} == {r.batch_no: r.p for r in pages.collect()}
+    assert number_rows(flows, ["key"], carry=["Label"]).columns == ["row_no", "Label"]
+
+
 def test_replay_sends_every_batch_once_and_stops_at_the_end(spark, flows, tmp_path):
     path = str(tmp_path / "sent")
     sent = replay(flows, text_sink(path), 1300, ["id"], batches=5, delay=0)
