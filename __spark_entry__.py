@@ -8,13 +8,18 @@ rule models instead.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
+# The driver may load this file by path from another folder.
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
 import workload as w
 from flowscore.functions.confusion import confusion_class as class_of
 from flowscore.operators import messages as M

@@ -100,10 +100,14 @@ def number_rows(
 
     ``first`` keeps that many rows. ``shuffle_seed`` orders by a seeded hash of
     the key instead. ``carry`` names the columns to keep (all); the others are
-    left out of the sort. Rows with equal keys are ordered by their content, so the
-    result depends on the data only. Runs a job when called: the sorted rows
-    are written to the shared folder, because numbering reads them twice and
-    must see the same partitions both times.
+    left out of the sort. Rows with equal keys are ordered by their content, so
+    the result depends on the data only. Runs a job when called: the sorted
+    rows are written to the shared folder, because numbering reads them twice
+    and must see the same partitions both times.
+
+    ``df`` should be read from files: full copies of a row are told apart by
+    source position, which is then the same when a lost task is run again.
+    Anything else, pass through ``session.stage_table`` first.
     """
     keys = _order_columns(df, order_by, shuffle_seed)
     hashed = shuffle_seed is not None
