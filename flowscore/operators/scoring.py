@@ -6,14 +6,22 @@ projections over one scan.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Transformer
+from pyspark.ml import PipelineModel, Transformer
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import DataFrame
 
 from flowscore.functions.names import column, quote_all
 
+# A SQL stage that only adds columns, unless one of them makes or merges rows.
+ADDS_COLUMNS = re.compile(r"SELECT\s+\*\s*,(.*)\bFROM\s+__THIS__", re.IGNORECASE | re.DOTALL)
+CHANGES_ROWS = re.compile(
+    r"\b(FROM|WHERE|(POS)?EXPLODE(_OUTER)?|INLINE(_OUTER)?|STACK|JSON_TUPLE)\b", re.IGNORECASE
+)
+
 
 @dataclass(frozen=True)
 class ModelColumns:
@@ -74,15 +82,51 @@ def _added_columns(model) -> set[str]:
     return names - {None, ""}
 
 
+def keeps_rows(model) -> bool:
+    """Whether the model gives exactly one row per input row.
+
+    MLlib's stages do, unless told to skip invalid rows; a SQL stage does if it
+    only adds expressions; stages of other origin are not trusted to.
+    """
+    if hasattr(model, "models"):
+        return all(keeps_rows(member) for member in model.models)
+    for stage in getattr(model, "stages", [model]):
+        if hasattr(stage, "models") or hasattr(stage, "stages"):
+            if not keeps_rows(stage):
+                return False
+        elif isinstance(stage, SQLTransformer):
+            added = ADDS_COLUMNS.fullmatch(stage.getStatement().strip())
+            if added is None or CHANGES_ROWS.search(added[1]):
+                return False
+        elif not type(stage).__module__.startswith("pyspark.ml."):
+            return False
+        elif stage.hasParam("handleInvalid") and stage.getOrDefault("handleInvalid") == "skip":
+            return False
+    return True
+
+
+def _assembly(model, inputs: Sequence[str]) -> tuple | None:
+    """What the model's first stage assembles, if it is taken from the input only."""
+    stages = getattr(model, "stages", [])
+    if len(stages) < 2 or not isinstance(stages[0], VectorAssembler):
+        return None
+    names = tuple(stages[0].getInputCols())
+    return (names, stages[0].getHandleInvalid()) if set(names) <= set(inputs) else None
+
+
 def predict_each(
     df: DataFrame, models: Sequence[Transformer], labels: Sequence[str | None]
 ) -> tuple[DataFrame, list[str], list[str | None]]:
     """One scan, one prediction column per model.
 
     Each model's intermediate columns are dropped before the next one runs, so
-    models may share names. Returns the table and, per model, the names of its
-    prediction column and of its label column. A label that only the model's
-    own pipeline produces is kept in a column of its own.
+    models may share names. Feature vectors that several models assemble from
+    the same columns are assembled once. A row one model drops is missing for
+    all, see ``keeps_rows``.
+
+    Returns the table and, per model, the names of its prediction column and of
+    its label column. A label that only the model's own pipeline produces is
+    kept in a column of its own.
     """
     inputs = df.columns
     for number, model in enumerate(models):
@@ -94,9 +138,23 @@ def predict_each(
     prefix = "__"
     while any(name.startswith(prefix) for name in inputs):
         prefix += "_"
-    scored, kept, predictions, label_names = df, quote_all(inputs), [], []
-    for number, (model, label) in enumerate(zip(models, labels, strict=True)):
-        output = model.transform(scored)
+
+    scored, assembled = df, {}
+    assemblies = [_assembly(model, inputs) for model in models]
+    for model, key in zip(models, assemblies, strict=True):
+        if key is not None and key not in assembled and assemblies.count(key) > 1:
+            assembled[key] = f"{prefix}features_{len(assembled)}"
+            first = model.stages[0]
+            scored = first.copy({first.outputCol: assembled[key]}).transform(scored)
+
+    kept, predictions, label_names = quote_all(scored.columns), [], []
+    for number, (model, key, label) in enumerate(zip(models, assemblies, labels, strict=True)):
+        if key in assembled:
+            vector = column(assembled[key])
+            start = scored.withColumn(model.stages[0].getOutputCol(), vector)
+            output = PipelineModel(model.stages[1:]).transform(start)
+        else:
+            output = model.transform(scored)
         predictions.append(f"{prefix}prediction_{number}")
         new = [column(model_columns(model).prediction).alias(predictions[-1])]
         if label is not None and label not in inputs:
@@ -107,4 +165,4 @@ def predict_each(
         label_names.append(label)
         scored = output.select(*kept, *new)
         kept += [predictions[-1]] if len(new) == 1 else [predictions[-1], label]
-    return scored, predictions, label_names
+    return scored.drop(*assembled.values()), predictions, label_names

@@ -14,7 +14,7 @@ from flowscore.functions.confusion import cell_counts
 from flowscore.operators.ensemble import VotingEnsemble
 from flowscore.operators.metrics import add_binary_ratios
 from flowscore.operators.sampling import bernoulli_sample
-from flowscore.operators.scoring import model_columns, predict_each
+from flowscore.operators.scoring import keeps_rows, model_columns, predict_each
 from flowscore.sinks import write_csv
 from flowscore.sources.datasets import dataset_name, read_dataset
 
@@ -37,7 +37,7 @@ def _label_of(model: Transformer) -> str:
 def _matrices_of(
     name: str, df: DataFrame, models: Sequence[tuple[str, Transformer]], label: str | None
 ) -> DataFrame:
-    """One row per model: all models are applied and counted in one scan of ``df``."""
+    """One row per model: the models are applied and counted in one scan of ``df``."""
     labels = [label or _label_of(model) for _, model in models]
     scored, predictions, label_names = predict_each(df, [model for _, model in models], labels)
     rows = [
@@ -61,9 +61,18 @@ def evaluate_tables(
     """Confusion counts and ratios per (dataset, model), lazily, in one query.
 
     Reads each dataset once however many models there are, and shuffles one row
-    of counters per task. ``label`` overrides what the models say.
+    of counters per task. A model that may drop rows gets a scan of its own, so
+    that it does not take them from the others. ``label`` overrides what the
+    models say.
     """
-    parts = [_matrices_of(name, df, models, label) for name, df in datasets]
+    together = [(name, model) for name, model in models if keeps_rows(model)]
+    alone = [[(name, model)] for name, model in models if not keeps_rows(model)]
+    parts = [
+        _matrices_of(name, df, group, label)
+        for name, df in datasets
+        for group in [together, *alone]
+        if group
+    ]
     return add_binary_ratios(reduce(DataFrame.unionByName, parts))
 
 

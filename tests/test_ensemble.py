@@ -102,7 +102,7 @@ def test_constructor_checks(spark):
     assert ensemble_of(1, mode=None).getMode() == "majority"
 
 
-def test_params_and_copy():
+def test_params_and_copy(spark):
     ensemble = ensemble_of(2, mode="normal", predictionCol="p", predictionsCol="ps")
     clone = ensemble.copy()
     for one in (ensemble, clone):

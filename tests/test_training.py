@@ -105,7 +105,7 @@ def test_evaluator_choice(flows):
         setups.make_evaluator("rmse", names)
 
 
-def test_unknown_family_and_kind():
+def test_unknown_family_and_kind(spark):
     with pytest.raises(ValueError, match="SVM"):
         setups.build_setup("SVM", ["x"], "y")
     with pytest.raises(ValueError, match="kind"):
@@ -141,6 +141,6 @@ def test_sweep_logs_every_run(spark, flows):
     assert all(r.training_time > 0 and r.train_ratio == 0.7 for r in rows)
 
 
-def test_pipeline_setup_kind():
+def test_pipeline_setup_kind(spark):
     assert setups.setup_kind(Pipeline(stages=[])) == "pipeline"
     assert setups.setup_kind(setup("DT", grid={"maxDepth": [1]})) == "cross-validator"
