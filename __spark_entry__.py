@@ -321,8 +321,9 @@ def sweep(spark, sf_dir):
 def pca_features(spark, sf_dir):
     flows = w.embedding_flows(spark, sf_dir)
     model, _ = training.train(spark, embedding_setup("LR", pca_k=3, **family_params("LR")), flows)
-    reduced = X.as_array(model.transform(flows), "pca_features")
-    return model.transform(flows).select(
+    scored = scoring.score(flows, model)
+    reduced = X.as_array(scored, "pca_features")
+    return scored.select(
         "vec_id", *[F.get(reduced, F.lit(i)).alias(f"pc{i}") for i in range(3)], "prediction"
     )
 

@@ -17,6 +17,7 @@ from flowscore.operators.sampling import bernoulli_sample
 from flowscore.operators.scoring import keeps_rows, model_columns, predict_each
 from flowscore.sinks import write_csv
 from flowscore.sources.datasets import dataset_name, read_dataset
+from flowscore.sources.schemas import as_schema
 
 Datasets = Mapping[str, DataFrame] | Sequence[str]
 Models = Mapping[str, Transformer] | Sequence[str]
@@ -99,7 +100,7 @@ def evaluate(
     datasets: Datasets,
     models: Models,
     ensemble: str | None = None,
-    schema: StructType | None = None,
+    schema: str | StructType | None = None,
     test_ratio: float = 1.0,
     seed: int = 42,
     log: str | None = None,
@@ -108,11 +109,12 @@ def evaluate(
 ) -> DataFrame:
     """Evaluate models, or one ensemble of all of them, on each dataset.
 
-    Datasets and models are paths, or mappings from name to object. With
+    Datasets and models are paths, or mappings from name to object; ``schema``
+    is a struct or the path of a schema file, for datasets given as paths. With
     ``ensemble`` (a voting mode) there is one row per dataset, under the name
     ``mode(model/model/...)``. ``log`` is a new csv folder for the result.
     """
-    tables = _named_datasets(spark, datasets, schema)
+    tables = _named_datasets(spark, datasets, as_schema(spark, schema))
     if test_ratio < 1.0:
         tables = [(name, bernoulli_sample(df, test_ratio, seed)) for name, df in tables]
     named = _named_models(models)

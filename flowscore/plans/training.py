@@ -15,6 +15,7 @@ from flowscore.operators.sampling import bernoulli_sample, repartition_dataset
 from flowscore.plans.setups import load_setup, make_evaluator, setup_columns, setup_kind
 from flowscore.sinks import append_csv
 from flowscore.sources.datasets import dataset_name, read_dataset
+from flowscore.sources.schemas import as_schema
 
 LOG_SCHEMA = StructType(
     [
@@ -82,7 +83,7 @@ def train(
     dataset: str | DataFrame,
     output: str | None = None,
     kind: str = "pipeline",
-    schema: StructType | None = None,
+    schema: str | StructType | None = None,
     train_ratio: float = 1.0,
     partitions: int | None = None,
     seed: int = 42,
@@ -96,7 +97,8 @@ def train(
     """Fit a setup on a dataset; returns the model and its one-row log.
 
     Setup and dataset are paths, or objects, which the log then calls by
-    ``names["setup"]`` and ``names["dataset"]``. ``output`` and ``log`` are
+    ``names["setup"]`` and ``names["dataset"]``; ``schema`` is a struct or the
+    path of a schema file. ``output`` and ``log`` are
     written when given; an existing model is replaced, a log is added to.
     """
     names = dict(names or {})
@@ -105,7 +107,7 @@ def train(
         setup = load_setup(setup, kind)
     if isinstance(dataset, str):
         names.setdefault("dataset", dataset_name(dataset))
-        dataset = read_dataset(spark, dataset, schema)
+        dataset = read_dataset(spark, dataset, as_schema(spark, schema))
     if output is not None:
         names.setdefault("model", dataset_name(output))
     if setup_kind(setup) == "cross-validator":

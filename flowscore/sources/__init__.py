@@ -2,9 +2,10 @@
 
 from flowscore.sources.datasets import read_dataset, stream_dataset
 from flowscore.sources.kafka import kafka_source_options, read_topic
-from flowscore.sources.schemas import load_schema, required_fields
+from flowscore.sources.schemas import as_schema, load_schema, required_fields
 
 __all__ = [
+    "as_schema",
     "kafka_source_options",
     "load_schema",
     "read_dataset",

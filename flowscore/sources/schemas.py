@@ -17,6 +17,11 @@ def load_schema(spark: SparkSession, path: str) -> StructType:
     return StructType.fromJson({"type": "struct", "fields": json.loads(text)["fields"]})
 
 
+def as_schema(spark: SparkSession, schema: str | StructType | None) -> StructType | None:
+    """A schema given as such, as the path of its file, or not at all."""
+    return load_schema(spark, schema) if isinstance(schema, str) else schema
+
+
 def required_fields(schema: StructType) -> list[str]:
     """Names declared ``nullable: false``, i.e. that a valid record must fill."""
     return [field.name for field in schema.fields if not field.nullable]

@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from flowscore.operators.ensemble import VotingEnsemble
 from flowscore.sinks import topic_sink
-from flowscore.sources import load_schema, read_dataset, read_topic
+from flowscore.sources import as_schema, read_dataset, read_topic
 from flowscore.streaming.replay import replay
 from flowscore.streaming.scoring import score_messages, start_scoring
 
@@ -28,7 +29,7 @@ def score_topic(
     brokers: str | Sequence[str],
     topic: str,
     models: Sequence[str],
-    schema: str,
+    schema: str | StructType,
     checkpoint: str,
     report: str,
     fmt: str = "csv",
@@ -38,14 +39,14 @@ def score_topic(
     interval: str = "1 second",
     **limits,
 ) -> StreamingQuery:
-    """Start scoring a topic with saved models; ``schema`` is a schema file.
+    """Start scoring a topic with saved models; ``schema`` is a struct or a schema file.
 
     ``limits`` are those of ``kafka_source_options``. The report folder gets a
     row per batch, ``output`` the scored records. The caller awaits the query.
     """
     model = load_models(models, ensemble)
     messages = read_topic(spark, brokers, topic, **limits)
-    scored = score_messages(messages, load_schema(spark, schema), model, fmt)
+    scored = score_messages(messages, as_schema(spark, schema), model, fmt)
     return start_scoring(
         scored, checkpoint, report, output, model=model, trigger=trigger, interval=interval
     )
@@ -54,7 +55,7 @@ def score_topic(
 def replay_to_topic(
     spark: SparkSession,
     dataset: str,
-    schema: str,
+    schema: str | StructType,
     brokers: str | Sequence[str],
     topic: str,
     rows: int,
@@ -62,5 +63,5 @@ def replay_to_topic(
     **options,
 ) -> DataFrame:
     """Send a dataset to a topic in paced batches; ``options`` are those of ``replay``."""
-    flows = read_dataset(spark, dataset, load_schema(spark, schema))
+    flows = read_dataset(spark, dataset, as_schema(spark, schema))
     return replay(flows, topic_sink(brokers, topic), rows, order_by, **options)

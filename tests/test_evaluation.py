@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
@@ -61,7 +63,9 @@ def test_paths_log_and_ratio(spark, tmp_path):
     assert all(150 < size < 350 for size in sizes.values())
     with pytest.raises(Exception, match="(?i)exists"):
         evaluate(spark, paths, models, log=log)
-    ensemble = evaluate(spark, paths, models, "majority").collect()
+    schema = tmp_path / "schema.json"
+    schema.write_text(json.dumps(df.schema.jsonValue()))
+    ensemble = evaluate(spark, paths, models, "majority", schema=str(schema)).collect()
     assert {r.Model for r in ensemble} == {"majority(a.model/b.model)"}
 
 
