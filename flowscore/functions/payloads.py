@@ -10,6 +10,9 @@ from pyspark.sql.types import StructType
 
 FORMATS = ("csv", "json")
 
+# Spark's csv writer would otherwise trim texts.
+CSV_WRITE_OPTIONS = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
 
 def check_format(fmt: str) -> str:
     if fmt not in FORMATS:
@@ -32,10 +35,11 @@ def build_payload(
 ) -> Column:
     """One csv or json text per row.
 
-    Csv keeps a place for null fields and quotes separators, so every field
-    comes back in its own column; json leaves null fields out.
+    Csv keeps a place for null fields, quotes separators and does not trim, so
+    every field comes back in its own column as it was; json leaves null fields
+    out.
     """
     record = F.struct(*fields)
     if check_format(fmt) == "csv":
-        return F.to_csv(record, dict(options or {}))
+        return F.to_csv(record, {**CSV_WRITE_OPTIONS, **(options or {})})
     return F.to_json(record, dict(options or {}))

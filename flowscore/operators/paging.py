@@ -26,6 +26,9 @@ TOP_K_LIMIT = 10_000
 # Cells of the histogram that finds where the first rows end.
 CUTOFF_CELLS = 4096
 
+# Times the histogram is refined.
+CUTOFF_ROUNDS = 3
+
 
 def _order_columns(df: DataFrame, order_by: Sequence[str], shuffle_seed: int | None):
     keys = [column(name) for name in order_by]
@@ -37,15 +40,28 @@ def _order_columns(df: DataFrame, order_by: Sequence[str], shuffle_seed: int | N
 def _before_cutoff(df: DataFrame, lead: Column, first: int) -> DataFrame:
     """Drop rows that cannot be among the ``first`` lowest by the numeric ``lead``.
 
+    A superset of the wanted rows is left, so this saves work and never changes
+    a result. A few far values can make one round's histogram coarse; later
+    rounds look only at what the one before has left.
+    """
+    for _ in range(CUTOFF_ROUNDS):
+        df, narrowed = _cut_once(df, lead, first)
+        if not narrowed:
+            break
+    return df
+
+
+def _cut_once(df: DataFrame, lead: Column, first: int) -> tuple[DataFrame, bool]:
+    """One round, and whether another may be worth it.
+
     Two scans of one column count the rows per histogram cell; what lies above
     the cell where the count reaches ``first`` goes, as a plain comparison the
-    file scan can use. A superset of the wanted rows is left, so this saves
-    work and never changes a result.
+    file scan can use.
     """
     size = lead.cast("double")
     low, high = df.agg(F.min(size), F.max(size)).first()
     if low is None or not float("-inf") < low < high < float("inf"):
-        return df
+        return df, False
     # Never decreasing in lead; null leads come first, as in the sort.
     cell = F.coalesce(
         F.width_bucket(size, F.lit(low), F.lit(high), F.lit(CUTOFF_CELLS)),
@@ -59,10 +75,11 @@ def _before_cutoff(df: DataFrame, lead: Column, first: int) -> DataFrame:
         .first()
     )
     if reached is None:
-        return df
+        return df, False
     if reached.top is None:
-        return df.filter(lead.isNull())
-    return df.filter(lead.isNull() | (lead <= F.lit(reached.top)))
+        return df.filter(lead.isNull()), False
+    left = df.filter(lead.isNull() | (lead <= F.lit(reached.top)))
+    return left, reached.upto > 2 * first and reached.top < high
 
 
 def _sorted_slots(placed: DataFrame, total_order: Sequence[Column], names: Sequence[str]):

@@ -60,12 +60,10 @@ def test_encode_keeps_nulls_in_place_and_quotes(spark):
     assert json == ['{"a":1,"c":2.5}', '{"a":2,"b":"q,z","c":3.0}']
 
 
-text = st.text(
-    st.characters(min_codepoint=32, max_codepoint=0x2FF, exclude_characters="\\\x85"), min_size=1
-).filter(lambda s: s == s.strip())
+text = st.text(st.characters(min_codepoint=1, max_codepoint=0x2FF)) | st.text(' ",\\\n\r\t\'x')
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(
     rows=st.lists(
         st.tuples(
@@ -81,6 +79,8 @@ text = st.text(
 def test_encode_then_decode_is_identity(spark, rows, fmt):
     df = spark.createDataFrame(rows, SCHEMA)
     back = keep_complete(decode_messages(encode_messages(df, fmt), SCHEMA, fmt), SCHEMA)
+    if fmt == "csv":  # has no empty text next to null
+        rows = [(a, b or None, c) for a, b, c in rows]
     order = lambda r: (r[0], r[1] or "", r[2])
     assert sorted((tuple(r) for r in back.collect()), key=order) == sorted(rows, key=order)
 

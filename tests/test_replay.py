@@ -47,6 +47,14 @@ def test_cutoff_only_drops_rows_that_cannot_win(flows):
     assert paging._before_cutoff(same, F.col("same"), 5).count() == 3000
 
 
+def test_cutoff_is_refined_where_far_values_make_it_coarse(spark):
+    df = spark.range(0, 20_000, 1, 4).withColumn("id", F.expr("IF(id = 5, 1L << 60, id)"))
+    kept = paging._before_cutoff(df, F.col("id"), 100)
+    assert 100 <= kept.count() < 120
+    got = [r.id for r in number_rows(df, ["id"], first=100).orderBy("row_no").collect()]
+    assert got == [i for i in range(101) if i != 5]
+
+
 def test_copies_and_hot_keys_spread_over_partitions(spark):
     copies = spark.range(0, 6000, 1, 4).select(F.lit(1).alias("key"), F.lit("x").alias("v"))
     numbered = number_rows(copies, ["key"])
