@@ -27,6 +27,10 @@ RESULT_SCHEMA = (
     "Accuracy DOUBLE, Precision DOUBLE, Recall DOUBLE, F1 DOUBLE"
 )
 
+# Four counters a model: beyond this the generated aggregation code is too long
+# for the JVM to compile, and a second scan is cheaper.
+MODELS_PER_SCAN = 24
+
 
 def _label_of(model: Transformer) -> str:
     label = model_columns(model).label
@@ -61,18 +65,18 @@ def evaluate_tables(
 ) -> DataFrame:
     """Confusion counts and ratios per (dataset, model), lazily, in one query.
 
-    Reads each dataset once however many models there are, and shuffles one row
-    of counters per task. A model that may drop rows gets a scan of its own, so
-    that it does not take them from the others. ``label`` overrides what the
-    models say.
+    Reads each dataset once for up to ``MODELS_PER_SCAN`` models and shuffles
+    one row of counters per task. A model that may drop rows gets a scan of its
+    own, so that it does not take them from the others. ``label`` overrides what
+    the models say.
     """
-    together = [(name, model) for name, model in models if keeps_rows(model)]
+    safe = [(name, model) for name, model in models if keeps_rows(model)]
+    together = [safe[i : i + MODELS_PER_SCAN] for i in range(0, len(safe), MODELS_PER_SCAN)]
     alone = [[(name, model)] for name, model in models if not keeps_rows(model)]
     parts = [
         _matrices_of(name, df, group, label)
         for name, df in datasets
-        for group in [together, *alone]
-        if group
+        for group in [*together, *alone]
     ]
     return add_binary_ratios(reduce(DataFrame.unionByName, parts))
 

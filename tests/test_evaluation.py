@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import workload as w
 from conftest import plan_of
 from flowscore.operators import metrics as X
+from flowscore.plans import evaluation
 from flowscore.plans.evaluation import ensemble_name, evaluate
 
 
@@ -32,6 +33,17 @@ def test_each_dataset_is_scanned_once(spark, data):
     assert "Python" not in plan
 
 
+def test_very_many_models_take_more_scans(spark, monkeypatch):
+    monkeypatch.setattr(evaluation, "MODELS_PER_SCAN", 2)
+    df = spark.range(50).selectExpr("id % 5 + 0D AS x", "id % 2 + 0D AS y")
+    models = {f"m{i}": w.rule_model(f"x > {i}") for i in range(5)}
+    result = evaluate(spark, {"d": df}, models, label="y")
+    assert plan_of(result).count("Range (0, 50") == 3
+    assert {r.Model: r.tp + r.fp for r in result.collect()} == {
+        f"m{i}": 40 - 10 * i for i in range(5)
+    }
+
+
 def test_ensembles_are_named_by_mode_and_members(spark, data):
     result = evaluate(
         spark, w.shared_flows(spark, data), w.shared_models(), "attack", label=w.LABEL,
