@@ -8,6 +8,7 @@ rule models instead.
 
 from __future__ import annotations
 
+import importlib
 import sys
 from collections.abc import Callable
 from pathlib import Path
@@ -384,7 +385,7 @@ def stream_throughput(spark, sf_dir):
     return reported_stream(spark, sf_dir, keep_rows=False)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "read_dataset": read_whole,
         "read_dataset_with_schema": read_with_schema,
@@ -611,7 +612,7 @@ def grid_sql(models: list[tuple[str, str]]) -> str:
     return f"WITH {SHARED_SQL}, predicted AS ({predicted}), {ratios}"
 
 
-def oracle_sql() -> dict[str, str]:
+def own_sql() -> dict[str, str]:
     csv_text = "concat_ws(',', event_id, user_id, {kind}, value, k)"
     json_text = (
         "'{{\"event_id\":' || event_id || ',\"user_id\":' || user_id || {kind}"
@@ -785,3 +786,37 @@ def oracle_sql() -> dict[str, str]:
             "WHERE event_type NOT IN ('view', 'purchase')"
         ),
     }
+
+
+# --- training-data operators, if their subpackage is there -------------------
+
+LLM_QUERIES, PIPELINE = "flowscore.llm.queries", "corpus_pipeline"
+
+
+def optional_module(name: str):
+    """The module, or None if it is not installed; its own errors are not hidden."""
+    try:
+        return importlib.import_module(name)
+    except ModuleNotFoundError as error:
+        if error.name is None or not f"{name}.".startswith(f"{error.name}."):
+            raise
+        return None
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    out = own_queries()
+    if (llm := optional_module(LLM_QUERIES)) is not None:
+        out |= llm.QUERIES
+        if (pipeline := optional_module(PIPELINE)) is not None:
+            out["pipeline"] = pipeline.run
+    return out
+
+
+def oracle_sql() -> dict[str, str]:
+    out = own_sql()
+    if (llm := optional_module(LLM_QUERIES)) is not None:
+        out |= llm.ORACLE_SQL
+        pipeline = optional_module(PIPELINE)
+        if pipeline is not None and pipeline.ORACLE_SQL is not None:
+            out["pipeline"] = pipeline.ORACLE_SQL
+    return out
