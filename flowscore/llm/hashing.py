@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _BASE = 0x9E3779B97F4A7C15
 _CHUNK_BYTES = 1 << 22
@@ -116,3 +118,35 @@ def shingle_sets(column: pa.Array, table: np.ndarray, size: int) -> Iterator[np.
                 yield folded([hashes[i : i + 1] for i in range(low, high)])
             else:
                 yield hashes[:0]
+
+
+FILTER_BITS = 1 << 23
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A filter of fixed size, 1 MiB, over a column of integers named ``doc_id``.
+
+    It passes every id given and some others (fewer than 1 in 8 up to a million
+    ids), so a join must follow; it only spares that join most of its shuffle.
+    """
+    rows = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("bit"))
+    rows = rows.selectExpr("CAST(bit DIV 8 AS INT) AS byte", "shiftleft(1, CAST(bit % 8 AS INT)) AS bits")
+    rows = rows.groupBy("byte").agg(F.bit_or("bits").cast("short").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    out[rows.column("byte").to_numpy()] = rows.column("bits").to_numpy().astype(np.uint8)
+    return out
+
+
+def passing(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """``doc_id, text`` of the documents that ``id_filter`` lets through."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("bit").to_numpy(zero_copy_only=False).astype(np.int64)
+            hit = (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+            yield batch.select(["doc_id", "text"]).filter(pa.array(hit.astype(bool)))
+
+    known = docs.select(F.col("doc_id").cast("bigint"), "text").where("doc_id IS NOT NULL")
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("bit")
+    return known.select("doc_id", "text", bit).mapInArrow(run, "doc_id bigint, text string")

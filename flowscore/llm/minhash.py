@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowscore.llm.graph import components
-from flowscore.llm.hashing import SPACED, mix, shingle_sets
+from flowscore.llm.hashing import SPACED, id_filter, mix, passing, shingle_sets
 from flowscore.session import stage_table
 
 _U = np.uint64
@@ -224,7 +224,6 @@ def near_duplicates(docs: DataFrame, rule: NearRule) -> DataFrame:
        clusters left over; their documents are compared exhaustively in blocks
        of bounded size, so that no candidate pair of step 2 goes untested.
     """
-    texts = docs.select(F.col("doc_id").cast("bigint"), "text").where("doc_id IS NOT NULL")
     sketched = stage_table(sketches(docs, rule), "sketches")
     named = sketched.where("doc_id IS NOT NULL AND key IS NOT NULL")
     classes = named.groupBy("key").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n"))
@@ -245,7 +244,8 @@ def near_duplicates(docs: DataFrame, rule: NearRule) -> DataFrame:
     pairs = shared.select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
     pairs = stage_table(pairs.where("a <> b").distinct(), "pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    asked_texts = stage_table(texts.join(asked, "doc_id", "left_semi"), "texts")
+    asked_texts = passing(docs, id_filter(asked)).join(asked, "doc_id", "left_semi")
+    asked_texts = stage_table(asked_texts, "texts")
     links = stage_table(verified(pairs, asked_texts, rule), "links")
     stars = components(links)
 
@@ -264,7 +264,8 @@ def near_duplicates(docs: DataFrame, rule: NearRule) -> DataFrame:
     members_left = (
         crowd.select("doc_id", "component")
         .distinct()
-        .join(leaders.select("doc_id", "bands", "n_bytes").dropDuplicates(["doc_id"]), "doc_id")
+        .join(named.select("doc_id", "bands", "n_bytes"), "doc_id")
+        .dropDuplicates(["doc_id"])
     )
     dealt = _blocks(members_left, clusters, rule)
     more = stage_table(_block_links(dealt, asked_texts, rule), "links")
