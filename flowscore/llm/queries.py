@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowscore.llm.bpe import decode, encode, read_ranks
 from flowscore.llm.chat import format_chats, loss_text, read_turns
 from flowscore.llm.decontam import contamination
 from flowscore.llm.minhash import NearRule, near_duplicates
 from flowscore.llm.topk import top_products
+from flowscore.llm.warc import archived
 
+RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 OP5_RULE = NearRule(size=3, percent=85)
 
 
@@ -21,6 +25,17 @@ def op5_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), OP5_RULE)
 
 
+def op1_byte_bpe(spark, sf_dir):
+    ranks = read_ranks(public_tokenizers.path(RANK_FILE))
+    tokens = encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return decode(tokens, ranks).select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2("packed", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op2_benchmark_decontamination(spark, sf_dir):
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.size("covered").cast("bigint")
@@ -65,12 +80,20 @@ def op8_chat_formatting(spark, sf_dir):
     )
 
 
+def op9_warc_normaliser(spark, sf_dir):
+    return archived(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op10_exact_topk_search(spark, sf_dir):
     return top_products(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
     "op8_chat_formatting": op8_chat_formatting,
+    "op9_warc_normaliser": op9_warc_normaliser,
     "op10_exact_topk_search": op10_exact_topk_search,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
@@ -132,6 +155,17 @@ SELECT conv_id, count(*) AS n_turns,
 FROM seen GROUP BY conv_id
 """
 
+WARC_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+  FROM pages),
+o AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS origin FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id > origin THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id > origin THEN origin END AS refers_to
+FROM o
+"""
+
 TOPK_SQL = """
 WITH usable AS (
   SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
@@ -148,6 +182,7 @@ WHERE rank <= 10
 
 ORACLE_SQL: dict[str, str] = {
     "op8_chat_formatting": CHAT_SQL,
+    "op9_warc_normaliser": WARC_SQL,
     "op10_exact_topk_search": TOPK_SQL,
     "op2_benchmark_decontamination": DECONTAMINATION_SQL,
 }
