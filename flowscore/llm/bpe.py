@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 _BUCKETS = 1 << 16
 _SPREAD = 40503
-_SHIFT = 1 << 24
-_NONE = 1 << 30
+# A piece of a word is one integer: from the top the id that it and its right
+# neighbour merge into (or _NONE), its place in the word, its own id.
+_ID_BITS, _RANK_AT = 24, 40
+_ID, _NONE = (1 << _ID_BITS) - 1, (1 << 23) - 1
 # Words longer than this are merged with a heap: the fold takes quadratic time.
 FOLD_BYTES = 512
 
@@ -48,51 +50,60 @@ def rank_map(pairs: dict[tuple[int, int], int]) -> Column:
     buckets: list[dict] = [{"k": [], "v": []} for _ in range(_BUCKETS)]
     for (left, right), rank in pairs.items():
         bucket = buckets[(left * _SPREAD + right) % _BUCKETS]
-        bucket["k"].append(left * _SHIFT + right)
+        bucket["k"].append(left << _ID_BITS | right)
         bucket["v"].append(rank)
     text = json.dumps(buckets, separators=(",", ":"))
     return F.from_json(F.lit(text), "array<struct<k:array<bigint>,v:array<int>>>")
 
 
-def _merged(ranked: Column, left: Column, right: Column) -> Column:
-    left, right = left.cast("bigint"), right.cast("bigint")
-    bucket = F.get(ranked, ((left * _SPREAD + right) % _BUCKETS).cast("int"))
-    at = F.array_position(bucket["k"], left * _SHIFT + right)
-    return F.coalesce(F.get(bucket["v"], at.cast("int") - 1), F.lit(_NONE))
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def merge_word(ids: Column, ranked: Column) -> Column:
-    """Fold the ranked merges over the byte ids of one word.
+def _rank(ranked: Column, left: Column, right: Column) -> Column:
+    """What two neighbouring ids merge into, at its place in a piece."""
+    key = left * (_ID + 1) + right
 
-    Every step joins the leftmost pair of the smallest rank; ``r[i]`` is what
-    ``p[i]`` and ``p[i + 1]`` merge into.
+    def look(bucket: Column) -> Column:
+        found = F.get(bucket["v"], F.array_position(bucket["k"], key).cast("int") - 1)
+        return F.coalesce(found, F.lit(_NONE)).cast("bigint") * (1 << _RANK_AT)
+
+    return _let(F.get(ranked, ((left * _SPREAD + right) % _BUCKETS).cast("int")), look)
+
+
+def merge_word(pieces: Column, ranked: Column) -> Column:
+    """Fold the ranked merges over the pieces of one word, at first its bytes.
+
+    Every step joins the leftmost pair of the smallest rank: the least integer.
     """
-    n = F.size(ids)
-    pairs = F.zip_with(ids, F.slice(ids, 2, n), lambda a, b: _merged(ranked, a, b))
-
-    def step(acc: Column, _: Column) -> Column:
-        p, r = acc["p"], acc["r"]
-        best = F.array_min(r)
-
-        def apply(at: Column) -> Column:
-            at = at.cast("int")
-            rest = F.size(p)
-            left = F.when(at > 1, F.array(_merged(ranked, F.get(p, at - 2), best)))
-            right = F.array(_merged(ranked, best, F.get(p, at + 1)))
-            head = F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0)))
-            return F.struct(
-                F.concat(F.slice(p, F.lit(1), at - 1), F.array(best), F.slice(p, at + 2, rest)).alias("p"),
-                F.concat(
-                    head, F.coalesce(left, F.slice(r, F.lit(1), F.lit(0))), right, F.slice(r, at + 2, rest)
-                ).alias("r"),
-            )
+    low, place = F.lit((1 << _RANK_AT) - 1), F.lit(((1 << _RANK_AT) - 1) ^ _ID)
 
-        bound = F.transform(F.array(F.array_position(r, best)), apply)
-        return F.when(best == _NONE, acc).otherwise(F.get(bound, F.lit(0)))
+    def join(p: Column, best: Column, at: Column) -> Column:
+        merged = F.shiftright(best, _RANK_AT)
+        after = F.get(p, at + 1).bitwiseAND(F.lit(_ID))
+        rank = F.coalesce(_rank(ranked, merged, after), F.lit(_NONE << _RANK_AT))
+        joined = best.bitwiseAND(place) + merged + rank
+        tail = F.slice(p, at + 2, F.size(p))
 
-    start = F.struct(ids.alias("p"), pairs.alias("r"))
-    folded = F.aggregate(F.sequence(F.lit(2), n), start, step, lambda acc: acc["p"])
-    return F.when(n < 2, ids).otherwise(folded)
+        def with_left(left: Column) -> Column:
+            ranked_left = left.bitwiseAND(low) + _rank(ranked, left.bitwiseAND(F.lit(_ID)), merged)
+            return F.concat(F.slice(p, F.lit(1), at - 2), F.array(ranked_left, joined), tail)
+
+        return F.when(at == 1, F.concat(F.array(joined), tail)).otherwise(
+            _let(F.get(p, at - 2), with_left)
+        )
+
+    def step(p: Column, _: Column) -> Column:
+        return _let(
+            F.array_min(p),
+            lambda best: F.when(best >= _NONE << _RANK_AT, p).otherwise(
+                _let(F.array_position(p, best).cast("int"), lambda at: join(p, best, at))
+            ),
+        )
+
+    folded = F.aggregate(F.sequence(F.lit(2), F.size(pieces)), pieces, step)
+    return F.when(F.size(pieces) < 2, pieces).otherwise(folded)
 
 
 def merge_long_word(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
@@ -118,35 +129,75 @@ def merge_long_word(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[i
     return [i for i in ids if i >= 0]
 
 
-def _chunks(words: DataFrame, ranks: dict[bytes, int], pairs: dict) -> DataFrame:
+def token_arrays(ranks: dict[bytes, int], pairs: dict[tuple[int, int], int]) -> dict:
+    """The ranks as arrays, for the look-ups of ``_Tokens``."""
+    keys = np.array([left << _ID_BITS | right for left, right in pairs], np.int64)
+    order = np.argsort(keys)
+    return {
+        "pairs": pairs,
+        "byte_ids": np.array([ranks[bytes([b])] for b in range(256)], np.int64),
+        "tokens": pa.array(list(ranks), pa.binary()),
+        "ids": np.array(list(ranks.values()), np.int64),
+        "keys": keys[order],
+        "merged": np.array(list(pairs.values()), np.int64)[order],
+    }
+
+
+class _Tokens:
+    """Turns distinct words into the pieces that the fold begins with."""
+
+    def __init__(self, arrays: dict) -> None:
+        self.__dict__.update(arrays)
+
+    def pieces(self, distinct: pa.Array) -> pa.Array:
+        """The pieces of each word: its bytes, or what needs no more merging."""
+        words = distinct.cast(pa.binary())
+        raw = np.frombuffer(b"".join(words.to_pylist()), np.uint8)
+        widths = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, sizes = np.cumsum(widths), widths.copy()
+        ids = self.byte_ids[raw]
+        ranks = np.full(len(ids), _NONE, np.int64)
+        if len(ids) > 1 and len(self.keys):
+            asked = ids[:-1] << _ID_BITS | ids[1:]
+            at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+            ranks[:-1] = np.where(self.keys[at] == asked, self.merged[at], _NONE)
+        ranks[ends - 1] = _NONE
+        keep = np.ones(len(ids), bool)
+        whole = pc.index_in(words, value_set=self.tokens)
+        known = np.flatnonzero(whole.is_valid().to_numpy(zero_copy_only=False))
+        done = [(w, [self.ids[whole[int(w)].as_py()]]) for w in known]
+        for w in np.flatnonzero(widths > FOLD_BYTES):
+            if not whole[int(w)].is_valid:
+                own = ids[ends[w] - widths[w] : ends[w]].tolist()
+                done.append((w, merge_long_word(own, self.pairs)))
+        for w, merged in done:
+            first, end = ends[w] - widths[w], ends[w]
+            ids[first : first + len(merged)] = merged
+            ranks[first:end] = _NONE
+            keep[first + len(merged) : end] = False
+            sizes[w] = len(merged)
+        place = np.minimum(np.arange(len(raw)) - np.repeat(ends - widths, widths), 65535)
+        values = (ranks << _RANK_AT | place << _ID_BITS | ids)[keep]
+        bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(bounds), pa.array(values))
+
+
+def _chunks(words: DataFrame, arrays: dict) -> DataFrame:
     """One row for each Arrow batch of documents: its distinct words and where they are."""
-    spark = words.sparkSession
-    shared = spark.sparkContext.broadcast((ranks, pairs))
+    shared = words.sparkSession.sparkContext.broadcast(arrays)
     schema = (
-        "doc_ids array<bigint>, sizes array<int>, places array<int>, pieces array<array<int>>"
+        "doc_ids array<bigint>, sizes array<int>, places array<int>, pieces array<array<bigint>>"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, merges = shared.value
-        byte_ids = np.array([known[bytes([b])] for b in range(256)], np.int32)
+        tokens = _Tokens(shared.value)
         for batch in batches:
             lists = batch.column("words")
             coded = pc.dictionary_encode(lists.flatten())
-            pieces = []
-            for word in coded.dictionary.to_pylist():
-                raw = word.encode()
-                whole = known.get(raw)
-                if whole is not None:
-                    pieces.append([whole])
-                    continue
-                ids = byte_ids[np.frombuffer(raw, np.uint8)]
-                long = len(raw) > FOLD_BYTES
-                pieces.append(merge_long_word(ids.tolist(), merges) if long else ids)
             sizes = pc.list_value_length(lists).cast(pa.int32())
             columns = [batch.column("doc_id"), sizes, coded.indices]
+            columns.append(tokens.pieces(coded.dictionary))
             arrays = [pa.ListArray.from_arrays([0, len(c)], c) for c in columns]
-            inner = pa.array(pieces, pa.list_(pa.int32()))
-            arrays.append(pa.ListArray.from_arrays([0, len(inner)], inner))
             yield pa.RecordBatch.from_arrays(
                 arrays, names=["doc_ids", "sizes", "places", "pieces"]
             )
@@ -163,7 +214,7 @@ def _reassembled(chunks: DataFrame) -> DataFrame:
                 doc_ids, sizes, places, pieces = (
                     batch.column(c).slice(row, 1).flatten() for c in range(4)
                 )
-                flat = pieces.flatten().to_numpy(zero_copy_only=False)
+                flat = pieces.flatten().to_numpy(zero_copy_only=False) & _ID
                 lengths = pc.list_value_length(pieces).to_numpy(zero_copy_only=False)
                 begins = np.cumsum(lengths) - lengths
                 at = places.to_numpy(zero_copy_only=False)
@@ -174,7 +225,7 @@ def _reassembled(chunks: DataFrame) -> DataFrame:
                 edges = np.concatenate([[0], np.cumsum(sizes.to_numpy(zero_copy_only=False))])
                 bounds = np.concatenate([[0], ends])[edges].astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [doc_ids, pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids, pa.int32()))],
+                    [doc_ids, pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids.astype(np.int32)))],
                     names=["doc_id", "ids"],
                 )
 
@@ -192,7 +243,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     pairs = ranked_pairs(ranks)
     # (?U): white space is Unicode's, as the pattern means it.
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"(?U){pattern}"), F.lit(0))
-    chunks = _chunks(docs.select(F.col("doc_id").cast("bigint"), words.alias("words")), ranks, pairs)
+    words_of = docs.select(F.col("doc_id").cast("bigint"), words.alias("words"))
+    chunks = _chunks(words_of, token_arrays(ranks, pairs))
     table = F.array(rank_map(pairs))
     merged = F.transform(table, lambda m: F.transform("pieces", lambda p: merge_word(p, m)))
     return _reassembled(chunks.select("doc_ids", "sizes", "places", F.get(merged, F.lit(0)).alias("pieces")))
@@ -204,11 +256,17 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     Decoding concatenates the bytes of the tokens; they need not be valid UTF-8.
     Null ids give null.
     """
-    pieces = encoded.sparkSession.sparkContext.broadcast({i: token for token, i in ranks.items()})
+    size = max(ranks.values(), default=-1) + 1
+    by_id = [b""] * size
+    for token, rank in ranks.items():
+        by_id[rank] = token
+    shared = encoded.sparkSession.sparkContext.broadcast(by_id)
     schema = "doc_id bigint, ids array<int>, packed binary, decoded binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = pieces.value.__getitem__
+        data = np.frombuffer(b"".join(shared.value), np.uint8)
+        lengths = np.array([len(token) for token in shared.value], np.int64)
+        begins = np.cumsum(lengths) - lengths
         for batch in batches:
             packed, decoded = [], []
             for ids in batch.column("ids"):
@@ -218,7 +276,10 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
                     continue
                 values = ids.values.to_numpy(zero_copy_only=False)
                 packed.append(values.astype("<u4").tobytes())
-                decoded.append(b"".join(map(token, values.tolist())))
+                sizes = lengths[values]
+                ends = np.cumsum(sizes)
+                at = np.repeat(begins[values] - (ends - sizes), sizes)
+                decoded.append(data[at + np.arange(len(at))].tobytes())
             columns = [batch.column("doc_id"), batch.column("ids")]
             columns += [pa.array(packed, pa.binary()), pa.array(decoded, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "packed", "decoded"])
