@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowscore.llm import langid, toxicity
 from flowscore.llm.bpe import decode, encode, read_ranks
 from flowscore.llm.chat import format_chats, loss_text, read_turns
 from flowscore.llm.decontam import contamination
@@ -21,6 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    names, network = langid.train(docs.where(~langid.held_out()))
+    found = langid.predict(docs.select("doc_id", "text"), names, network)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op5_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), OP5_RULE)
 
@@ -49,6 +57,13 @@ def op2_benchmark_decontamination(spark, sf_dir):
     )
 
 
+def op6_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, curve = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    found = toxicity.score(docs, model, curve)
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "ratio")
+
+
 MARKED_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -92,10 +107,12 @@ def op10_exact_topk_search(spark, sf_dir):
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op6_toxicity": op6_toxicity,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_warc_normaliser": op9_warc_normaliser,
     "op10_exact_topk_search": op10_exact_topk_search,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op4_language_id": op4_language_id,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
 }
 
