@@ -10,6 +10,7 @@ from flowscore.llm import langid, toxicity
 from flowscore.llm.bpe import decode, encode, read_ranks
 from flowscore.llm.chat import format_chats, loss_text, read_turns
 from flowscore.llm.decontam import contamination
+from flowscore.llm.linededup import dedup_lines
 from flowscore.llm.minhash import NearRule, near_duplicates
 from flowscore.llm.topk import top_products
 from flowscore.llm.warc import archived
@@ -64,6 +65,16 @@ def op6_toxicity(spark, sf_dir):
     return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "ratio")
 
 
+def op7_line_dedup(spark, sf_dir):
+    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        "n_lines",
+        F.size("removed").cast("bigint").alias("n_removed"),
+        F.sha2("text", 256).alias("text_sha256"),
+    )
+
+
 MARKED_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -108,6 +119,7 @@ def op10_exact_topk_search(spark, sf_dir):
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op6_toxicity": op6_toxicity,
+    "op7_line_dedup": op7_line_dedup,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_warc_normaliser": op9_warc_normaliser,
     "op10_exact_topk_search": op10_exact_topk_search,
@@ -150,6 +162,34 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+LINE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM d),
+c AS (
+  SELECT doc_id, i, sum(len(regexp_extract_all(lines[i], '[^\x20\x09-\x0D]+')))
+    OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM l),
+e AS (SELECT doc_id, i, upto FROM c UNION ALL SELECT DISTINCT doc_id, 0, 0 FROM c),
+runs AS (
+  SELECT a.doc_id, a.i + 1 AS i, min(b.i) AS j FROM e a JOIN e b
+    ON a.doc_id = b.doc_id AND b.i > a.i AND b.upto >= a.upto + 50 GROUP BY a.doc_id, a.i
+  UNION
+  SELECT a.doc_id, max(b.i) + 1 AS i, a.i AS j FROM e a JOIN e b
+    ON a.doc_id = b.doc_id AND b.i < a.i AND a.upto >= b.upto + 50 GROUP BY a.doc_id, a.i),
+named AS (
+  SELECT doc_id, i, j, md5(array_to_string(lines[i:j], chr(10))) AS run FROM runs JOIN d USING (doc_id)),
+ranked AS (
+  SELECT doc_id, i, j, row_number() OVER (PARTITION BY run, j - i ORDER BY doc_id, i) AS nth FROM named),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS p FROM ranked WHERE nth > 1),
+away AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id)
+SELECT x.doc_id, CAST(coalesce(len(d.lines), 0) AS BIGINT) AS n_lines,
+  CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+  CASE WHEN ps IS NULL THEN sha256(x.text) ELSE
+    sha256(coalesce(array_to_string([d.lines[k] FOR k IN range(1, len(d.lines) + 1)
+      IF NOT list_contains(ps, k)], chr(10)), '')) END AS text_sha256
+FROM documents x LEFT JOIN d USING (doc_id) LEFT JOIN away USING (doc_id)
+"""
+
 CHAT_SQL = """
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -198,6 +238,7 @@ WHERE rank <= 10
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_line_dedup": LINE_SQL,
     "op8_chat_formatting": CHAT_SQL,
     "op9_warc_normaliser": WARC_SQL,
     "op10_exact_topk_search": TOPK_SQL,
