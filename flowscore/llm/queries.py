@@ -12,10 +12,13 @@ from flowscore.llm.chat import format_chats, loss_text, read_turns
 from flowscore.llm.decontam import contamination
 from flowscore.llm.linededup import dedup_lines
 from flowscore.llm.minhash import NearRule, near_duplicates
+from flowscore.llm.pii import replace_entities
 from flowscore.llm.topk import top_products
 from flowscore.llm.warc import archived
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
+# Not a secret: the registered query runs on made-up people.
+PII_KEY = "made-up data"
 OP5_RULE = NearRule(size=3, percent=85)
 
 
@@ -23,6 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_pii_surrogates(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = replace_entities(docs, key=PII_KEY)
+    return found.withColumn("n_entities", F.size("kinds").cast("bigint"))
+
+
 def op4_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     names, network = langid.train(docs.where(~langid.held_out()))
@@ -124,6 +133,7 @@ QUERIES = {
     "op9_warc_normaliser": op9_warc_normaliser,
     "op10_exact_topk_search": op10_exact_topk_search,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_pii_surrogates": op3_pii_surrogates,
     "op4_language_id": op4_language_id,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
 }
