@@ -275,5 +275,7 @@ def archived(pages: DataFrame) -> DataFrame:
     """
     spark = pages.sparkSession
     folder = run_path(spark, "warc")
-    normalise(write_archives(pages, f"{folder}/raw"), f"{folder}/members")
+    index = normalise(write_archives(pages, f"{folder}/raw"), f"{folder}/members")
+    if index.isEmpty():
+        return read_records(index)
     return read_records(read_sidecars(spark, f"{folder}/members"))
