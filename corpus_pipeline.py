@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from flowscore.llm import langid
 from flowscore.llm.bpe import decode, encode, read_ranks
 from flowscore.llm.decontam import contamination
+from flowscore.llm.hashing import id_filter, parted
 from flowscore.llm.linededup import dedup_lines
 from flowscore.llm.minhash import NearRule, near_duplicates
 from flowscore.session import stage_table
@@ -27,10 +28,14 @@ ORACLE_SQL = None
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` but for the given doc_ids; rows without an id stay."""
-    return docs.join(gone.select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").select(
-        *docs.columns
-    )
+    """``docs`` but for the given doc_ids; rows without an id stay.
+
+    Only rows that a filter of fixed size lets through are shuffled.
+    """
+    gone = stage_table(gone.select("doc_id").where("doc_id IS NOT NULL").distinct(), "gone")
+    rest, maybe = parted(docs, id_filter(gone), "doc_id")
+    kept = maybe.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    return rest.unionByName(kept)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from flowscore.llm.hashing import ALNUM, id_filter, passing, text_chunks, words
-from flowscore.session import stage_table
+from flowscore.llm.scratch import discard, stored
 
 WINDOW_WORDS = 10
 ANCHORS = 3
@@ -128,7 +128,7 @@ def build_index(docs: DataFrame, terms: np.ndarray) -> DataFrame:
                 columns, names=["doc_id", "doc", "version", "n_words", "term", "pos"]
             )
 
-    return stage_table(keyed(docs).mapInArrow(run, schema), "index")
+    return stored(keyed(docs).mapInArrow(run, schema), "index")
 
 
 def postings(index: DataFrame) -> DataFrame:
@@ -189,7 +189,15 @@ def proximity_matches(docs: DataFrame, queries: DataFrame, within: int) -> DataF
     return near.select("query_id", doc_id, F.col("pos").alias("last_pos")).distinct()
 
 
-def _confirmed(candidates: DataFrame, docs: DataFrame, windows: Windows) -> DataFrame:
+def _spots(candidates: DataFrame) -> DataFrame:
+    """The candidates of each document in one row, stored."""
+    spots = candidates.groupBy("doc", "version").agg(
+        F.collect_set(F.struct("window", "start")).alias("at")
+    )
+    return stored(spots, "candidates")
+
+
+def _confirmed(spots: DataFrame, docs: DataFrame, windows: Windows) -> DataFrame:
     """Exact occurrences, as covered word positions and item names per document."""
     known = docs.sparkSession.sparkContext.broadcast((windows.words, windows.items))
     schema = "doc bigint, version bigint, covered array<int>, items array<string>"
@@ -218,10 +226,6 @@ def _confirmed(candidates: DataFrame, docs: DataFrame, windows: Windows) -> Data
                 names=["doc", "version", "covered", "items"],
             )
 
-    spots = candidates.groupBy("doc", "version").agg(
-        F.collect_set(F.struct("window", "start")).alias("at")
-    )
-    spots = stage_table(spots, "candidates")
     ids = spots.select(F.nullif(F.col("doc"), F.lit(-(2**63))).alias("doc_id"))
     texts = keyed(passing(docs, id_filter(ids.where("doc_id IS NOT NULL")))).drop("doc_id")
     nameless = keyed(docs.where("doc_id IS NULL")).drop("doc_id")
@@ -253,10 +257,13 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW_WORDS)
         windows = Windows(table.column("item_id").to_pylist(), texts, window)
         counts = term_counts(docs, windows.terms)
         places = sorted({place for ranked in windows.anchors(counts) for _, place in ranked})
+        discard(index)
         index = build_index(docs, windows.terms[places])
-        hits = _confirmed(phrase_candidates(index, windows, counts), docs, windows)
+        spots = _spots(phrase_candidates(index, windows, counts))
+        hits = stored(_confirmed(spots, docs, windows).where("size(covered) > 0"), "hits")
+        discard(spots)
         found = hits if found is None else found.unionByName(hits)
-    per_doc = stage_table(found.where("size(covered) > 0"), "hits")
+    per_doc = found
     if parts > 1:
         flat = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("covered", "items")]
         per_doc = per_doc.groupBy("doc", "version").agg(*flat)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowscore.session import stage_table
+from flowscore.llm.scratch import discard, stored
 
 
 def _star(edges: DataFrame, label: str, large: bool) -> DataFrame:
@@ -26,7 +26,7 @@ def _star(edges: DataFrame, label: str, large: bool) -> DataFrame:
         moved = tied.select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(
             least.select("a", F.col("least").alias("b"))
         )
-    return stage_table(moved.where("a > b").distinct(), label)
+    return stored(moved.where("a > b").distinct(), label)
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -47,11 +47,17 @@ def components(edges: DataFrame) -> DataFrame:
     now = edges.where("a <> b").select(
         F.greatest("a", "b").cast("bigint").alias("a"), F.least("a", "b").cast("bigint").alias("b")
     )
-    now = stage_table(now.distinct(), "edges")
+    now = stored(now.distinct(), "edges")
     before = None
     state = _state(now)
     while state[0] and state != before:
-        now = _star(_star(now, "edges", large=True), "edges", large=False)
+        large = _star(now, "edges", large=True)
+        discard(now)
+        now = _star(large, "edges", large=False)
+        discard(large)
         before, state = state, _state(now)
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    found = now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    # For ``discard``, when the components have been used.
+    found.stored_path = now.stored_path
+    return found

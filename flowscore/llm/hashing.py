@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 _BASE = 0x9E3779B97F4A7C15
 _CHUNK_BYTES = 1 << 22
@@ -150,3 +151,25 @@ def passing(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     known = docs.select(F.col("doc_id").cast("bigint"), "text").where("doc_id IS NOT NULL")
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("bit")
     return known.select("doc_id", "text", bit).mapInArrow(run, "doc_id bigint, text string")
+
+
+def parted(docs: DataFrame, bits: np.ndarray, key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose ``key`` the filter stops, and rows that pass: only these need a join.
+
+    A null key passes. All columns are kept.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    names = docs.columns
+    schema = StructType([*docs.schema.fields, StructField("_passes", BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(len(names)).to_numpy(zero_copy_only=False).astype(np.int64)
+            hit = (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+            passes = pa.array(hit.astype(bool) | (at < 0))
+            columns = [batch.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*columns, passes], names=[*names, "_passes"])
+
+    bit = F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(F.col(key).cast("bigint")), F.lit(FILTER_BITS)))
+    flagged = docs.select("*", bit.alias("_bit")).mapInArrow(run, schema)
+    return flagged.where("NOT _passes").drop("_passes"), flagged.where("_passes").drop("_passes")

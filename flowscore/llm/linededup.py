@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType
 from pyspark.sql.window import Window
 
-from flowscore.llm.hashing import SPACED, mix, text_chunks, words
+from flowscore.llm.hashing import SPACED, id_filter, mix, parted, text_chunks, words
 from flowscore.llm.hashing import _Powers as Powers
-from flowscore.session import stage_table
+from flowscore.llm.scratch import discard, stored
 
 MIN_WORDS = 50
 _U = np.uint64
@@ -133,30 +133,34 @@ def later_copies(ranks: DataFrame, runs: DataFrame, length: int) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """``doc, version, removed``: sorted places of the lines that go, for texts with any."""
-    lines = stage_table(line_rows(docs, least), "lines").distinct()
+    every = stored(line_rows(docs, least), "lines")
+    lines = every.distinct()
     shared = lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    again = stage_table(lines.join(shared, "h"), "lines")
+    again = stored(lines.join(shared, "h"), "lines")
+    discard(every)
     ranks = again.select(*ROW, "pos", "h", F.lit(0).cast("bigint").alias("sub"))
     forward = again.select(*ROW, F.col("pos").alias("start"), F.col("forward").alias("size"))
     backward = again.select(
         *ROW, (F.col("pos") - F.col("backward") + 1).alias("start"), F.col("backward").alias("size")
     )
-    runs = stage_table(forward.unionByName(backward).where("size > 0").distinct(), "runs")
+    runs = stored(forward.unionByName(backward).where("size > 0").distinct(), "runs")
     longest = runs.agg(F.max("size")).first()[0] or 0
-    found, length = None, 1
+    found, length, tables = None, 1, [again, runs]
     while length <= longest:
         sized = runs.where((F.col("size") >= length) & (F.col("size") < 2 * length))
         gone = later_copies(ranks, sized, length)
         found = gone if found is None else found.unionByName(gone)
         length *= 2
         if length <= longest:
-            ranks = stage_table(doubled(ranks, length // 2), "ranks")
+            ranks = stored(doubled(ranks, length // 2), "ranks")
+            tables.append(ranks)
             if ranks.isEmpty():
                 break
     if found is None:
         found = runs
     place = F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("pos")
-    places = stage_table(found.select(*ROW, place).distinct(), "places")
+    places = stored(found.select(*ROW, place).distinct(), "places")
+    discard(*tables)
     return places.groupBy(*ROW).agg(F.array_sort(F.collect_list("pos")).alias("removed"))
 
 
@@ -182,8 +186,11 @@ def dedup_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     gone = repeated_lines(docs, least).select(
         F.col("doc").alias("_doc"), F.col("version").alias("_version"), F.col("removed").alias("_gone")
     )
-    # The same join at every size: texts are shuffled once.
-    joined = own.join(gone.hint("merge"), ["_doc", "_version"], "left").select(*kept, "_gone")
+    # Only texts that may have lost lines are shuffled.
+    rest, touched = parted(own, id_filter(gone.select(F.col("_doc").alias("doc_id"))), "_doc")
+    joined = touched.join(gone.hint("merge"), ["_doc", "_version"], "left").select(*kept, "_gone")
+    nothing = F.lit(None).cast("array<int>").alias("_gone")
+    joined = joined.unionByName(rest.select(*kept, nothing))
     at = kept.index("text")
     schema = docs.select(*kept).schema.add("n_lines", LongType())
     schema = schema.add("removed", ArrayType(IntegerType()))

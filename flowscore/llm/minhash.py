@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from flowscore.llm.graph import components
 from flowscore.llm.hashing import SPACED, id_filter, mix, passing, shingle_sets
-from flowscore.session import stage_table
+from flowscore.llm.scratch import discard, stored
 
 _U = np.uint64
 _EMPTY = _U(0xFFFFFFFFFFFFFFFF)
@@ -224,7 +224,7 @@ def near_duplicates(docs: DataFrame, rule: NearRule) -> DataFrame:
        clusters left over; their documents are compared exhaustively in blocks
        of bounded size, so that no candidate pair of step 2 goes untested.
     """
-    sketched = stage_table(sketches(docs, rule), "sketches")
+    sketched = stored(sketches(docs, rule), "sketches")
     named = sketched.where("doc_id IS NOT NULL AND key IS NOT NULL")
     classes = named.groupBy("key").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n"))
     copies = (
@@ -233,20 +233,20 @@ def near_duplicates(docs: DataFrame, rule: NearRule) -> DataFrame:
         .select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
         .where("a <> b")
     )
-    copies = stage_table(copies, "copies")
+    copies = stored(copies, "copies")
     leaders = named.join(copies.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_anti")
     members = leaders.select("doc_id", F.explode("bands").alias("bucket"))
     crowds = members.groupBy("bucket").agg(
         F.min("doc_id").alias("leader"), F.max("doc_id").alias("last"), F.count("*").alias("n")
     )
     shared = members.join(crowds.where("leader <> last"), "bucket")
-    shared = stage_table(shared, "buckets")
+    shared = stored(shared, "buckets")
     pairs = shared.select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
-    pairs = stage_table(pairs.where("a <> b").distinct(), "pairs")
+    pairs = stored(pairs.where("a <> b").distinct(), "pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     asked_texts = passing(docs, id_filter(asked)).join(asked, "doc_id", "left_semi")
-    asked_texts = stage_table(asked_texts, "texts")
-    links = stage_table(verified(pairs, asked_texts, rule), "links")
+    asked_texts = stored(asked_texts, "texts")
+    links = stored(verified(pairs, asked_texts, rule), "links")
     stars = components(links)
 
     # Members but the leader, which has met all others already.
@@ -257,7 +257,7 @@ def near_duplicates(docs: DataFrame, rule: NearRule) -> DataFrame:
         .where("low < high")
     )
     crowd = rest.join(open_buckets, "bucket")
-    crowd = stage_table(crowd.select("doc_id", "component", "low").distinct(), "crowd")
+    crowd = stored(crowd.select("doc_id", "component", "low").distinct(), "crowd")
     clusters = components(
         crowd.select(F.col("component").alias("a"), F.col("low").alias("b"))
     )
@@ -268,9 +268,10 @@ def near_duplicates(docs: DataFrame, rule: NearRule) -> DataFrame:
         .dropDuplicates(["doc_id"])
     )
     dealt = _blocks(members_left, clusters, rule)
-    more = stage_table(_block_links(dealt, asked_texts, rule), "links")
+    more = stored(_block_links(dealt, asked_texts, rule), "links")
 
     found = components(links.unionByName(more).unionByName(copies))
+    discard(links, more, copies, shared, pairs, asked_texts, stars, crowd, clusters)
     sized = sketched.select("doc_id", "n_shingles")
     out = sized.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from flowscore.session import stage_table
+from flowscore.llm.scratch import stored
 
 # Kinds and their patterns, in the order in which they are tried.
 PATTERNS = {
@@ -170,7 +170,7 @@ def draw_surrogates(entities: DataFrame, key: str) -> DataFrame:
         taken = taken.distinct().withColumn("taken", F.lit(True))
         nth = F.row_number().over(Window.partitionBy("kind", "drawn").orderBy("entity"))
         tried = tried.withColumn("nth", nth).join(taken, ["kind", "drawn"], "left")
-        tried = stage_table(tried, "surrogates")
+        tried = stored(tried, "surrogates")
         good = "nth = 1 AND taken IS NULL"
         found = tried.where(good).select("kind", "entity", "drawn")
         done = found if done is None else done.unionByName(found)
@@ -199,14 +199,16 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     mentions = own.select("_doc", "_version", found.alias("n", "mention"))
     mentions = mentions.withColumn("kind", kind_of(F.col("mention")))
     mentions = mentions.withColumn("entity", canonical(F.col("kind"), F.col("mention")))
-    mentions = stage_table(mentions.distinct(), "mentions")
+    mentions = stored(mentions.distinct(), "mentions")
     drawn = draw_surrogates(mentions.select("kind", "entity").distinct(), key)
     joined = mentions.join(drawn, ["kind", "entity"])
     shown = rendered(F.col("kind"), F.col("mention"), F.col("drawn"))
     found_in = joined.select("_doc", "_version", F.struct("n", "kind", shown.alias("text")).alias("s"))
     per_doc = found_in.groupBy("_doc", "_version").agg(F.array_sort(F.collect_list("s")).alias("_s"))
-    # The same join at every size: texts are shuffled once.
-    out = own.join(per_doc.hint("merge"), ["_doc", "_version"], "left")
+    # Only texts that have entities are shuffled.
+    rest = own.where(F.coalesce(~F.col("text").rlike(ANY), F.lit(True)))
+    out = own.where(F.col("text").rlike(ANY)).join(per_doc.hint("merge"), ["_doc", "_version"], "left")
+    out = out.unionByName(rest, allowMissingColumns=True)
     pieces = F.split("text", ANY, -1)
     shown = F.zip_with(pieces, "_s", lambda p, s: F.concat(p, F.coalesce(s["text"], F.lit(""))))
     text = F.when(F.col("_s").isNull(), F.col("text")).otherwise(F.array_join(shown, ""))

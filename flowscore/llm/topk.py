@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from flowscore.session import stage_table
+from flowscore.llm.scratch import discard, stored
 
 PIVOTS = 64
 PIVOT_SAMPLE = 4096
@@ -106,7 +106,7 @@ def build_index(rows: DataFrame, dim: int, norm2: float):
                 names=["vec_id", "v", "pivot", "gap"],
             )
 
-    filed = stage_table(
+    filed = stored(
         rows.mapInArrow(file_rows, "vec_id bigint, v array<bigint>, pivot int, gap double"), "filed"
     )
     salts = filed.groupBy("pivot").agg(F.ceil(F.count("*") / SALT_ROWS).alias("salts"))
@@ -125,7 +125,9 @@ def build_index(rows: DataFrame, dim: int, norm2: float):
             F.flatten(F.collect_list("v")).alias("vectors"),
         )
     )
-    return pivots, stage_table(blocks.drop("salt", "block"), "annuli")
+    blocks = stored(blocks.drop("salt", "block"), "annuli")
+    discard(filed)
+    return pivots, blocks
 
 
 def top_products(
@@ -141,7 +143,7 @@ def top_products(
     for each distinct vector. An empty table gives no rows.
     """
     spark = vectors.sparkSession
-    rows = stage_table(scaled(vectors, scale).distinct(), "vectors")
+    rows = stored(scaled(vectors, scale).distinct(), "vectors")
     square = F.aggregate("v", F.lit(0).cast("bigint"), lambda a, x: a + x * x)
     size = rows.agg(F.max(F.size("v")), F.min(F.size("v")), F.max(square)).first()
     schema = "query_id bigint, rank int, vec_id bigint, score bigint"
@@ -183,7 +185,8 @@ def top_products(
         F.flatten(F.collect_list("q")).alias("queries"),
         F.collect_list(F.coalesce("floor", F.lit(-(2**63)))).alias("floors"),
     )
-    grouped = stage_table(grouped, "queries")
+    grouped = stored(grouped, "queries")
+    discard(rows)
     every_pivot = F.sequence(F.lit(0), F.lit(len(pivots.value) - 1))
     asked = grouped.withColumn("pivot", F.explode(every_pivot))
 

@@ -24,7 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowscore.session import run_path, stage_table
+from flowscore.llm.scratch import delete_folder, discard, stored
+from flowscore.session import run_path
 
 REVISIT_BYTES = 100
 # Payload bytes after which a task begins the next archive.
@@ -175,7 +176,7 @@ def write_archives(
             out.close()
         yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], names=["archive"])
 
-    return stage_table(with_origins(pages).mapInArrow(run, "archive string"), "archives")
+    return stored(with_origins(pages).mapInArrow(run, "archive string"), "archives")
 
 
 def normalise(archives: DataFrame, folder: str, level: int = 6) -> DataFrame:
@@ -210,7 +211,7 @@ def normalise(archives: DataFrame, folder: str, level: int = 6) -> DataFrame:
                     columns = [pa.array(column) for column in zip(*rows, strict=True)]
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return stage_table(archives.repartition("archive").mapInArrow(run, INDEX_SCHEMA), "index")
+    return stored(archives.repartition("archive").mapInArrow(run, INDEX_SCHEMA), "index")
 
 
 def read_sidecars(spark, folder: str) -> DataFrame:
@@ -275,7 +276,10 @@ def archived(pages: DataFrame) -> DataFrame:
     """
     spark = pages.sparkSession
     folder = run_path(spark, "warc")
-    index = normalise(write_archives(pages, f"{folder}/raw"), f"{folder}/members")
+    raw = write_archives(pages, f"{folder}/raw")
+    index = normalise(raw, f"{folder}/members")
+    discard(raw)
+    delete_folder(spark, f"{folder}/raw")
     if index.isEmpty():
         return read_records(index)
     return read_records(read_sidecars(spark, f"{folder}/members"))
