@@ -40,18 +40,27 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Powers:
-    """Powers of the base and of its inverse modulo 2**64, as many as asked for."""
+    """Powers of the base and of its inverse modulo 2**64, as many as asked for.
 
-    up = down = np.ones(1, _U)
+    They are kept where they are used, never sent along with a job's code.
+    """
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, _U)
+
+    def __reduce__(self):
+        return _Powers, ()
 
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
             size = max(n, _CHUNK_BYTES)
             inverse = pow(_BASE, -1, 1 << 64)
-            cls.up = np.cumprod(np.full(size, _BASE, _U))
-            cls.down = np.cumprod(np.full(size, inverse, _U))
-        return cls.up[:n], cls.down[:n]
+            self.up = np.cumprod(np.full(size, _BASE, _U))
+            self.down = np.cumprod(np.full(size, inverse, _U))
+        return self.up[:n], self.down[:n]
+
+
+POWERS = _Powers()
 
 
 def text_chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -85,7 +94,7 @@ def words(
     on[1:-1] = codes != 0
     first = np.flatnonzero(on[1:-1] & (~on[:-2] | cut[:-1]))
     after = np.flatnonzero(on[1:-1] & (~on[2:] | cut[1:])) + 1
-    up, down = _Powers.of(n)
+    up, down = POWERS.of(n)
     sums = np.zeros(n + 1, _U)
     np.cumsum(codes * up, out=sums[1:])
     hashes = mix((sums[after] - sums[first]) * down[first])
