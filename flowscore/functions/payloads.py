@@ -10,8 +10,19 @@ from pyspark.sql.types import StructType
 
 FORMATS = ("csv", "json")
 
+# Written times keep their microseconds; reading takes any number of digits.
+TIME_OPTIONS = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
 # Spark's csv writer would otherwise trim texts.
-CSV_WRITE_OPTIONS = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+CSV_WRITE_OPTIONS = {
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+    **TIME_OPTIONS,
+}
+# A quoted empty text is a text; only a place with nothing in it is null.
+CSV_READ_OPTIONS = {"nullValue": "\u0000"}
 
 
 def check_format(fmt: str) -> str:
@@ -26,7 +37,7 @@ def parse_payload(
     """One struct per payload; what cannot be parsed becomes null fields."""
     text = payload.cast("string")
     if check_format(fmt) == "csv":
-        return F.from_csv(text, schema.toDDL(), dict(options or {}))
+        return F.from_csv(text, schema.toDDL(), {**CSV_READ_OPTIONS, **(options or {})})
     return F.from_json(text, schema, dict(options or {}))
 
 
@@ -42,4 +53,4 @@ def build_payload(
     record = F.struct(*fields)
     if check_format(fmt) == "csv":
         return F.to_csv(record, {**CSV_WRITE_OPTIONS, **(options or {})})
-    return F.to_json(record, dict(options or {}))
+    return F.to_json(record, {**TIME_OPTIONS, **(options or {})})

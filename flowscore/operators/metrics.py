@@ -105,7 +105,7 @@ def _cells(
         *([] if probability is None else [as_array(df, probability).alias("__prob")]),
     )
     # A label without a probability of its own counts as probability 0.
-    chance = "coalesce(get(__prob, CAST(__l AS INT)), 0D)"
+    chance = "coalesce(get(__prob, TRY_CAST(__l AS INT)), 0D)"
     clipped = f"greatest({EPSILON}D, least(1D - {EPSILON}D, {chance}))"
     loss = "CAST(NULL AS DOUBLE)" if probability is None else f"sum(-ln({clipped}))"
     return pairs.groupBy(*quote_all(by), "__l", "__p").agg(

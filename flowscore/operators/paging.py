@@ -12,7 +12,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import (
+    ArrayType,
+    DataType,
+    MapType,
+    NumericType,
+    StructType,
+    VariantType,
+)
 
 from flowscore.functions.names import column, quote_all
 from flowscore.session import stage_table
@@ -91,15 +98,25 @@ def _sorted_slots(placed: DataFrame, total_order: Sequence[Column], names: Seque
     )
 
 
+def _hashable(kind: DataType) -> bool:
+    """Maps have no hash; the source position orders what they alone tell apart."""
+    if isinstance(kind, StructType):
+        return all(_hashable(field.dataType) for field in kind.fields)
+    if isinstance(kind, ArrayType):
+        return _hashable(kind.elementType)
+    return not isinstance(kind, (MapType, VariantType))
+
+
 def _placed(df: DataFrame) -> DataFrame:
     """Add what orders rows of equal keys.
 
     A key shared by many rows, or many copies of one row, would land in one
     range; the content hash and the source position split both.
     """
+    hashed = [f.name for f in df.schema.fields if _hashable(f.dataType)]
     return df.withColumns(
         {
-            "__content": F.xxhash64(*quote_all(df.columns)),
+            "__content": F.xxhash64(*quote_all(hashed)) if hashed else F.lit(0).cast("bigint"),
             "__source": F.monotonically_increasing_id(),
         }
     )

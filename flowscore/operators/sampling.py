@@ -46,20 +46,13 @@ def hash_split(
     return df.filter(chosen), df.filter(~chosen)
 
 
-def scan_partitions(df: DataFrame) -> int:
-    """Number of partitions ``df`` has now; plans the query, runs no job for a scan."""
-    return df.rdd.getNumPartitions()
-
-
 def repartition_dataset(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Round-robin into ``partitions``.
 
-    Unset, the target is twice the default parallelism, and it is a floor: a
-    table whose scan is already split finer is left alone. Its partitions are
-    of file-split size, and shuffling a large table into fewer, larger ones
-    would cost a full exchange to make things worse.
+    Unset, it is twice the default parallelism, however the scan is split: what
+    a forest fits hangs on the partitions, so they must not follow the files.
+    For a large table give a count that fits the executors' memory.
     """
     if partitions is not None:
         return df.repartition(partitions)
-    floor = df.sparkSession.sparkContext.defaultParallelism * 2
-    return df if scan_partitions(df) >= floor else df.repartition(floor)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism * 2)

@@ -63,12 +63,17 @@ def fit_setup(setup: Pipeline | CrossValidator, df: DataFrame) -> PipelineModel:
     """Fit; of a cross-validation, the best model refitted on all of ``df``.
 
     The data is kept while fitting, since every iteration reads it again.
+    A table that the caller keeps already stays kept.
     """
-    df.persist(StorageLevel.MEMORY_AND_DISK)
+    level = df.storageLevel
+    own = not (level.useMemory or level.useDisk)
+    if own:
+        df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         model = setup.fit(df)
     finally:
-        df.unpersist()
+        if own:
+            df.unpersist()
     return model.bestModel if isinstance(setup, CrossValidator) else model
 
 

@@ -108,6 +108,8 @@ def start_scoring(
     stopped instead of at the newest message. The prediction column is named
     directly or by ``model``.
     """
+    if prediction is None and model is None:
+        raise ValueError("name the prediction column, or give the model")
     prediction = prediction or model_columns(model).prediction
     writer = (
         scored.writeStream.outputMode("append")

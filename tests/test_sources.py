@@ -53,11 +53,33 @@ def test_csv_needs_a_schema_and_suffix_decides(spark, tmp_path):
     assert [tuple(r) for r in read_dataset(spark, path, SCHEMA).collect()] == [(1, "x", 2.5)]
     with pytest.raises(ValueError, match="schema"):
         read_dataset(spark, path)
-    for wrong in (lambda p: read_dataset(spark, p), lambda p: stream_dataset(spark, p, SCHEMA)):
+    for wrong in (
+        lambda p: read_dataset(spark, p, fmt="orc"),
+        lambda p: stream_dataset(spark, p, SCHEMA),
+    ):
         with pytest.raises(ValueError, match="suffix"):
             wrong(str(tmp_path / "t.orc"))
 
 
+def test_batch_path_without_suffix_is_parquet(spark, tmp_path):
+    path = str(tmp_path / "flows")
+    spark.range(3).write.parquet(path)
+    assert read_dataset(spark, path).count() == 3
+
+
+def test_stream_of_partitioned_folder(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    df = spark.createDataFrame([(1, "x", 2.5), (2, "y", 3.5)], SCHEMA)
+    df.write.partitionBy(df.columns[1]).parquet(path)
+    stream = stream_dataset(spark, path, SCHEMA)
+    query = stream.writeStream.format("memory").queryName("parted").trigger(availableNow=True).start()
+    query.awaitTermination()
+    names = df.columns
+    assert {tuple(r) for r in spark.table("parted").select(names).collect()} == {
+        tuple(r) for r in df.collect()
+    }
+
+
 def test_stream_of_folder_and_of_file_see_the_same_rows(spark, data, tmp_path):
     batch = read_dataset(spark, f"{data}/events.parquet")
     folder = str(tmp_path / "events.parquet")
