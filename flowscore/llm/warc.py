@@ -179,6 +179,16 @@ def write_archives(
     return stored(with_origins(pages).mapInArrow(run, "archive string"), "archives")
 
 
+def _by_archive(rows: DataFrame) -> DataFrame:
+    """Rows dealt by archive, over as many tasks as there are archives.
+
+    The rows are small and the files behind them are not, so the number is
+    given: left to itself, Spark would put them all into one task.
+    """
+    count = rows.select("archive").distinct().count()
+    return rows.repartition(max(1, count), "archive")
+
+
 def normalise(archives: DataFrame, folder: str, level: int = 6) -> DataFrame:
     """Rewrite each archive with a gzip member per record; the sidecars' rows, stored.
 
@@ -211,7 +221,7 @@ def normalise(archives: DataFrame, folder: str, level: int = 6) -> DataFrame:
                     columns = [pa.array(column) for column in zip(*rows, strict=True)]
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return stored(archives.repartition("archive").mapInArrow(run, INDEX_SCHEMA), "index")
+    return stored(_by_archive(archives).mapInArrow(run, INDEX_SCHEMA), "index")
 
 
 def read_sidecars(spark, folder: str) -> DataFrame:
@@ -261,7 +271,7 @@ def read_records(index: DataFrame) -> DataFrame:
             columns = [pa.array(column, kind) for column, kind in zip(values, types, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    placed = index.select("archive", "offset", "length").repartition("archive")
+    placed = _by_archive(index.select("archive", "offset", "length"))
     return placed.sortWithinPartitions("archive", "offset").mapInArrow(run, RECORD_SCHEMA)
 
 
