@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowscore.llm import langid
-from flowscore.llm.bpe import decode, encode, read_ranks
+from flowscore.llm.bpe import encode_and_decode, read_ranks
 from flowscore.llm.decontam import contamination
 from flowscore.llm.hashing import id_filter, parted
 from flowscore.llm.linededup import dedup_lines
@@ -77,8 +77,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids, decoded_sha256``: the ids, and the digest of what they decode to."""
     ranks = read_ranks(public_tokenizers.path(RANK_FILE))
-    texts = encode(docs, ranks, public_tokenizers.PATTERN)
-    decoded = decode(texts, ranks)
+    decoded = encode_and_decode(docs, ranks, public_tokenizers.PATTERN)
     return decoded.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),

@@ -11,6 +11,7 @@ import base64
 import heapq
 import json
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ _ID_BITS, _RANK_AT = 24, 40
 _ID, _NONE = (1 << _ID_BITS) - 1, (1 << 23) - 1
 # Words longer than this are merged with a heap: the fold takes quadratic time.
 FOLD_BYTES = 512
+# Documents of a chunk that are decoded into one Arrow batch.
+DECODED_AT_ONCE = 1000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -134,7 +137,6 @@ def token_arrays(ranks: dict[bytes, int], pairs: dict[tuple[int, int], int]) ->
     keys = np.array([left << _ID_BITS | right for left, right in pairs], np.int64)
     order = np.argsort(keys)
     return {
-        "pairs": pairs,
         "byte_ids": np.array([ranks[bytes([b])] for b in range(256)], np.int64),
         "tokens": pa.array(list(ranks), pa.binary()),
         "ids": np.array(list(ranks.values()), np.int64),
@@ -149,6 +151,12 @@ class _Tokens:
     def __init__(self, arrays: dict) -> None:
         self.__dict__.update(arrays)
 
+    @cached_property
+    def pairs(self) -> dict[tuple[int, int], int]:
+        """As a dict, which only words too long for the fold need."""
+        left, right = (self.keys >> _ID_BITS).tolist(), (self.keys & _ID).tolist()
+        return dict(zip(zip(left, right, strict=True), self.merged.tolist(), strict=True))
+
     def pieces(self, distinct: pa.Array) -> pa.Array:
         """The pieces of each word: its bytes, or what needs no more merging."""
         words = distinct.cast(pa.binary())
@@ -205,41 +213,79 @@ def _chunks(words: DataFrame, arrays: dict) -> DataFrame:
     return words.mapInArrow(run, schema)
 
 
-def _reassembled(chunks: DataFrame) -> DataFrame:
-    """Each document's ids, from the merged words of its chunk."""
+class _Decoder:
+    """Adds ``packed`` and ``decoded`` to batches of ``doc_id, ids``."""
+
+    def __init__(self, by_id: list[bytes]) -> None:
+        self.data = np.frombuffer(b"".join(by_id), np.uint8)
+        self.lengths = np.array([len(token) for token in by_id], np.int64)
+        self.begins = np.cumsum(self.lengths) - self.lengths
+
+    def __call__(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        packed, decoded = [], []
+        for ids in batch.column("ids"):
+            if not ids.is_valid:
+                packed.append(None)
+                decoded.append(None)
+                continue
+            values = ids.values.to_numpy(zero_copy_only=False)
+            packed.append(values.astype("<u4").tobytes())
+            sizes = self.lengths[values]
+            at = np.repeat(self.begins[values] - (np.cumsum(sizes) - sizes), sizes)
+            decoded.append(self.data[at + np.arange(len(at))].tobytes())
+        columns = [batch.column("doc_id"), batch.column("ids")]
+        columns += [pa.array(packed, pa.binary()), pa.array(decoded, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "packed", "decoded"])
+
+
+def _tokens_by_id(ranks: dict[bytes, int]) -> list[bytes]:
+    by_id = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        by_id[rank] = token
+    return by_id
+
+
+IDS_SCHEMA = "doc_id bigint, ids array<int>"
+DECODED_SCHEMA = f"{IDS_SCHEMA}, packed binary, decoded binary"
+
+
+def _documents(chunk: pa.RecordBatch, row: int) -> pa.RecordBatch:
+    """The ids of the documents of one chunk, from its merged words."""
+    doc_ids, sizes, places, pieces = (chunk.column(c).slice(row, 1).flatten() for c in range(4))
+    flat = pieces.flatten().to_numpy(zero_copy_only=False) & _ID
+    lengths = pc.list_value_length(pieces).to_numpy(zero_copy_only=False)
+    begins = np.cumsum(lengths) - lengths
+    at = places.to_numpy(zero_copy_only=False)
+    size_of = lengths[at]
+    ends = np.cumsum(size_of, dtype=np.int64)
+    first = np.repeat(begins[at] - (ends - size_of), size_of)
+    ids = flat[first + np.arange(len(first))]
+    edges = np.concatenate([[0], np.cumsum(sizes.to_numpy(zero_copy_only=False))])
+    bounds = np.concatenate([[0], ends])[edges].astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids.astype(np.int32)))
+    return pa.RecordBatch.from_arrays([doc_ids, lists], names=["doc_id", "ids"])
+
+
+def _reassembled(chunks: DataFrame, by_id: list[bytes] | None = None) -> DataFrame:
+    """Each document's ids, from the merged words of its chunk, decoded if ``by_id`` is given."""
+    shared = chunks.sparkSession.sparkContext.broadcast(by_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = None if shared.value is None else _Decoder(shared.value)
         for batch in batches:
             for row in range(batch.num_rows):
-                doc_ids, sizes, places, pieces = (
-                    batch.column(c).slice(row, 1).flatten() for c in range(4)
-                )
-                flat = pieces.flatten().to_numpy(zero_copy_only=False) & _ID
-                lengths = pc.list_value_length(pieces).to_numpy(zero_copy_only=False)
-                begins = np.cumsum(lengths) - lengths
-                at = places.to_numpy(zero_copy_only=False)
-                size_of = lengths[at]
-                ends = np.cumsum(size_of, dtype=np.int64)
-                first = np.repeat(begins[at] - (ends - size_of), size_of)
-                ids = flat[first + np.arange(len(first))]
-                edges = np.concatenate([[0], np.cumsum(sizes.to_numpy(zero_copy_only=False))])
-                bounds = np.concatenate([[0], ends])[edges].astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [doc_ids, pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids.astype(np.int32)))],
-                    names=["doc_id", "ids"],
-                )
-
-    return chunks.mapInArrow(run, "doc_id bigint, ids array<int>")
+                found = _documents(batch, row)
+                if decoder is None:
+                    yield found
+                    continue
+                for low in range(0, found.num_rows, DECODED_AT_ONCE):
+                    yield decoder(found.slice(low, DECODED_AT_ONCE))
 
+    return chunks.mapInArrow(run, IDS_SCHEMA if by_id is None else DECODED_SCHEMA)
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """``doc_id, ids``: the tokens of each row's whole text, one row for each.
 
-    Every match of ``pattern`` is encoded by itself, as one token if it is one,
-    else by merging the neighbours of the smallest rank until none is left; no
-    special tokens. Null and empty texts have no tokens. Repeated rows and null
-    doc_ids are kept as they are; other columns are ignored; no rows give none.
-    """
+def _merged_chunks(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """The chunks of ``docs``, their distinct words merged by the fold."""
     pairs = ranked_pairs(ranks)
     # (?U): white space is Unicode's, as the pattern means it.
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"(?U){pattern}"), F.lit(0))
@@ -247,7 +293,23 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     chunks = _chunks(words_of, token_arrays(ranks, pairs))
     table = F.array(rank_map(pairs))
     merged = F.transform(table, lambda m: F.transform("pieces", lambda p: merge_word(p, m)))
-    return _reassembled(chunks.select("doc_ids", "sizes", "places", F.get(merged, F.lit(0)).alias("pieces")))
+    return chunks.select("doc_ids", "sizes", "places", F.get(merged, F.lit(0)).alias("pieces"))
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """``doc_id, ids``: the tokens of each row's whole text, one row for each.
+
+    Every match of ``pattern`` is encoded by itself, as one token if it is one,
+    else by merging the neighbours of the smallest rank until none is left; no
+    special tokens. Null and empty texts have no tokens. Repeated rows and null
+    doc_ids are kept as they are; other columns are ignored; no rows give none.
+    """
+    return _reassembled(_merged_chunks(docs, ranks, pattern))
+
+
+def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """``decode(encode(docs))``, the ids decoded by the worker that puts them together."""
+    return _reassembled(_merged_chunks(docs, ranks, pattern), _tokens_by_id(ranks))
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -256,32 +318,11 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     Decoding concatenates the bytes of the tokens; they need not be valid UTF-8.
     Null ids give null.
     """
-    size = max(ranks.values(), default=-1) + 1
-    by_id = [b""] * size
-    for token, rank in ranks.items():
-        by_id[rank] = token
-    shared = encoded.sparkSession.sparkContext.broadcast(by_id)
-    schema = "doc_id bigint, ids array<int>, packed binary, decoded binary"
+    shared = encoded.sparkSession.sparkContext.broadcast(_tokens_by_id(ranks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data = np.frombuffer(b"".join(shared.value), np.uint8)
-        lengths = np.array([len(token) for token in shared.value], np.int64)
-        begins = np.cumsum(lengths) - lengths
+        decoder = _Decoder(shared.value)
         for batch in batches:
-            packed, decoded = [], []
-            for ids in batch.column("ids"):
-                if not ids.is_valid:
-                    packed.append(None)
-                    decoded.append(None)
-                    continue
-                values = ids.values.to_numpy(zero_copy_only=False)
-                packed.append(values.astype("<u4").tobytes())
-                sizes = lengths[values]
-                ends = np.cumsum(sizes)
-                at = np.repeat(begins[values] - (ends - sizes), sizes)
-                decoded.append(data[at + np.arange(len(at))].tobytes())
-            columns = [batch.column("doc_id"), batch.column("ids")]
-            columns += [pa.array(packed, pa.binary()), pa.array(decoded, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "packed", "decoded"])
-
-    return encoded.select("doc_id", "ids").mapInArrow(run, schema)
+            yield decoder(batch)
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, DECODED_SCHEMA)

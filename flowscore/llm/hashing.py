@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 _BASE = 0x9E3779B97F4A7C15
-_CHUNK_BYTES = 1 << 22
+_CHUNK_BYTES = 1 << 20
 _U = np.uint64
 
 
@@ -66,7 +66,7 @@ POWERS = _Powers()
 def text_chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, row bounds within the bytes) for runs of whole texts.
 
-    A run holds about 4 MB, more only if one text alone is longer. Null is empty.
+    A run holds about 1 MB, more only if one text alone is longer. Null is empty.
     """
     binary = column.fill_null("").cast(pa.large_binary())
     offsets = np.frombuffer(binary.buffers()[1], np.int64)[

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowscore.llm import langid, toxicity
-from flowscore.llm.bpe import decode, encode, read_ranks
+from flowscore.llm.bpe import encode_and_decode, read_ranks
 from flowscore.llm.chat import format_chats, loss_text, read_turns
 from flowscore.llm.decontam import contamination
 from flowscore.llm.linededup import dedup_lines
@@ -45,8 +45,8 @@ def op5_minhash_near_dedup(spark, sf_dir):
 
 def op1_byte_bpe(spark, sf_dir):
     ranks = read_ranks(public_tokenizers.path(RANK_FILE))
-    tokens = encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    return decode(tokens, ranks).select(
+    docs = table(spark, sf_dir, "documents")
+    return encode_and_decode(docs, ranks, public_tokenizers.PATTERN).select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2("packed", 256).alias("ids_sha256"),

@@ -61,6 +61,8 @@ def test_bpe_equals_the_library_and_comes_back(spark, odd, documents, none):
     extra = spark.createDataFrame([(100 + i, t) for i, t in enumerate(strange)], "doc_id bigint, text string")
     docs = odd.select("doc_id", "text").unionByName(extra).unionByName(documents.select("doc_id", "text"))
     rows = bpe.decode(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS).collect()
+    at_once = bpe.encode_and_decode(docs, RANKS, public_tokenizers.PATTERN).collect()
+    assert sorted(map(repr, at_once)) == sorted(map(repr, rows))
     want = sorted((r.doc_id or -1, r.text or "") for r in docs.collect())
     encode = library().encode_ordinary
     assert len(rows) == len(want)
