@@ -25,7 +25,7 @@ import workload as w
 from flowscore.functions.confusion import confusion_class as class_of
 from flowscore.operators import messages as M
 from flowscore.operators import metrics as X
-from flowscore.operators import ranking, sampling, scoring
+from flowscore.operators import paging, ranking, sampling, scoring
 from flowscore.operators.ensemble import MODES, VotingEnsemble
 from flowscore.plans import evaluation, setups, training
 from flowscore.session import run_path
@@ -218,9 +218,10 @@ def log_loss(spark, sf_dir):
     return table.select(F.round("logLoss", 9).alias("logLoss"))
 
 
-def area(name):
+def area(name, **options):
     def run(spark, sf_dir):
-        table = ranking.ranking_metrics(w.event_flows(spark, sf_dir), w.LABEL, "value")
+        flows = w.event_flows(spark, sf_dir)
+        table = ranking.ranking_metrics(flows, w.LABEL, "value", **options)
         return table.select(F.round(name, 9).alias(name))
 
     return run
@@ -255,6 +256,11 @@ def replayed(**options):
     return run
 
 
+def first_by_time(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return paging.paginate(events, 300, ["ts", "event_id"], pages=2, carry=["event_id"])
+
+
 def replay_counts(spark, sf_dir):
     return R.replay_positive_counts(
         w.event_flows(spark, sf_dir), 300, ["value", "event_id"], label=w.LABEL
@@ -427,6 +433,8 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ensemble_roundtrip": ensemble_roundtrip,
         "metric_auc_roc": area("areaUnderROC"),
         "metric_auc_pr": area("areaUnderPR"),
+        "metric_auc_roc_ranges": area("areaUnderROC", rows_per_range=500),
+        "metric_auc_pr_ranges": area("areaUnderPR", rows_per_range=500),
         "metric_weighted_f1": class_metric("f1"),
         "metric_accuracy": class_metric("accuracy"),
         "metric_weighted_precision": class_metric("weightedPrecision"),
@@ -448,6 +456,7 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "repartition_dataset": respread,
         "replay_batches": replayed(),
         "replay_first_batches": replayed(batches=2, fmt="json"),
+        "replay_first_by_time": first_by_time,
         "replay_positive_counts": replay_counts,
         "train_pipeline": trained_metrics(lambda: embedding_setup("DT")),
         "train_cross_validator": trained_metrics(
@@ -765,6 +774,11 @@ def own_sql() -> dict[str, str]:
             + json_text.format(kind=json_kind)
             + " AS value FROM paged WHERE row_no < 600"
         ),
+        "replay_first_by_time": (
+            "SELECT row_no // 300 AS batch_no, row_no, event_id FROM (SELECT event_id, "
+            "row_number() OVER (ORDER BY ts NULLS FIRST, event_id NULLS FIRST) - 1 AS row_no "
+            "FROM events) WHERE row_no < 600"
+        ),
         "replay_positive_counts": (
             f"WITH {pages_sql('value, event_id')} SELECT batch_no, count(*) AS events, "
             "count(*) FILTER (WHERE label = 1) AS positives FROM paged GROUP BY batch_no"
@@ -814,6 +828,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     out = own_sql()
+    for name in ("metric_auc_roc", "metric_auc_pr"):
+        out[f"{name}_ranges"] = out[name]
     if (llm := optional_module(LLM_QUERIES)) is not None:
         out |= llm.ORACLE_SQL
         pipeline = optional_module(PIPELINE)

@@ -9,15 +9,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     ArrayType,
     DataType,
+    DateType,
     MapType,
     NumericType,
+    StringType,
     StructType,
+    TimestampNTZType,
+    TimestampType,
     VariantType,
 )
 
@@ -27,15 +31,15 @@ from flowscore.session import stage_table
 # Bits of monotonically_increasing_id below the partition number.
 SLOT_BITS = 33
 
-# A top-k of at most this many rows is left to Spark's own ordered limit.
-TOP_K_LIMIT = 10_000
-
 # Cells of the histogram that finds where the first rows end.
 CUTOFF_CELLS = 4096
 
 # Times the histogram is refined.
 CUTOFF_ROUNDS = 3
 
+# Bytes of a text that place it in a cell: as many as a double tells apart.
+PREFIX_BYTES = 6
+
 
 def _order_columns(df: DataFrame, order_by: Sequence[str], shuffle_seed: int | None):
     keys = [column(name) for name in order_by]
@@ -44,49 +48,86 @@ def _order_columns(df: DataFrame, order_by: Sequence[str], shuffle_seed: int | N
     return [F.xxhash64(F.lit(shuffle_seed), *keys), *keys]
 
 
+def _measure(lead: Column, kind: DataType) -> Column | None:
+    """A double that never decreases in ``lead``; ``None`` for kinds without one."""
+    if isinstance(kind, NumericType):
+        return lead.cast("double")
+    if isinstance(kind, TimestampType):
+        return F.unix_micros(lead).cast("double")
+    if isinstance(kind, (DateType, TimestampNTZType)):
+        return F.unix_date(lead.cast("date")).cast("double")
+    if kind == StringType():
+        start = F.hex(F.substring(F.encode(lead, "UTF-8"), 1, PREFIX_BYTES))
+        return F.conv(F.rpad(start, 2 * PREFIX_BYTES, "0"), 16, 10).cast("double")
+    return None
+
+
+def _at_most(lead: Column, kind: DataType, measure: Column, top: Row) -> Column:
+    """Is ``lead`` in the cell of ``top`` or before it? As the file scan takes it, if it can be."""
+    if isinstance(kind, (NumericType, StringType)):
+        return lead <= F.lit(top.value)
+    if isinstance(kind, TimestampType):
+        return lead <= F.timestamp_micros(F.lit(int(top.measure)))
+    if isinstance(kind, DateType):
+        return lead <= F.date_from_unix_date(F.lit(int(top.measure)))
+    return measure <= F.lit(top.measure)
+
+
 def _before_cutoff(df: DataFrame, lead: Column, first: int) -> DataFrame:
-    """Drop rows that cannot be among the ``first`` lowest by the numeric ``lead``.
+    """Drop rows that cannot be among the ``first`` lowest by ``lead``.
 
     A superset of the wanted rows is left, so this saves work and never changes
     a result. A few far values can make one round's histogram coarse; later
-    rounds look only at what the one before has left.
+    rounds look only at what the one before has left. Booleans, binaries and
+    nested keys are left to the sort.
     """
-    for _ in range(CUTOFF_ROUNDS):
-        df, narrowed = _cut_once(df, lead, first)
-        if not narrowed:
-            break
+    kind = df.select(lead).schema[0].dataType
+    measure = _measure(lead, kind)
+    narrowed = measure is not None
+    rounds = 0
+    while narrowed and rounds < CUTOFF_ROUNDS:
+        df, narrowed = _cut_once(df, lead, kind, measure, first)
+        rounds += 1
     return df
 
 
-def _cut_once(df: DataFrame, lead: Column, first: int) -> tuple[DataFrame, bool]:
+def _cut_once(
+    df: DataFrame, lead: Column, kind: DataType, measure: Column, first: int
+) -> tuple[DataFrame, bool]:
     """One round, and whether another may be worth it.
 
     Two scans of one column count the rows per histogram cell; what lies above
-    the cell where the count reaches ``first`` goes, as a plain comparison the
-    file scan can use.
+    the cell where the count reaches ``first`` goes. Cells are in the order of
+    the sort: null, minus infinity, finite values, infinity, NaN.
     """
-    size = lead.cast("double")
-    low, high = df.agg(F.min(size), F.max(size)).first()
-    if low is None or not float("-inf") < low < high < float("inf"):
-        return df, False
-    # Never decreasing in lead; null leads come first, as in the sort.
-    cell = F.coalesce(
-        F.width_bucket(size, F.lit(low), F.lit(high), F.lit(CUTOFF_CELLS)),
-        F.lit(-1).cast("long"),
+    endless = float("inf")
+    finite = F.when(F.abs(measure) < F.lit(endless), measure)
+    low, high = df.agg(F.min(finite), F.max(finite)).first()
+    if low is None:
+        low = high = 0.0
+    inner = F.width_bucket(measure, F.lit(low), F.lit(high), F.lit(CUTOFF_CELLS))
+    cell = (
+        F.when(measure.isNull(), -1)
+        .when(F.isnan(measure), CUTOFF_CELLS + 3)
+        .when(measure == F.lit(endless), CUTOFF_CELLS + 2)
+        .when(measure == F.lit(-endless), 0)
+        .otherwise(F.coalesce(inner, F.lit(1).cast("long")))
+    )
+    cells = df.groupBy(cell.cast("long").alias("cell")).agg(
+        F.count("*").alias("n"), F.max(lead).alias("value"), F.max(measure).alias("measure")
     )
-    cells = df.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.max(lead).alias("top"))
     reached = (
-        cells.select("cell", "top", F.sum("n").over(W.orderBy("cell")).alias("upto"))
+        cells.select("cell", "value", "measure", F.sum("n").over(W.orderBy("cell")).alias("upto"))
         .filter(F.col("upto") >= first)
         .orderBy("cell")
         .first()
     )
     if reached is None:
         return df, False
-    if reached.top is None:
+    if reached.cell == -1:
         return df.filter(lead.isNull()), False
-    left = df.filter(lead.isNull() | (lead <= F.lit(reached.top)))
-    return left, reached.upto > 2 * first and reached.top < high
+    left = df.filter(lead.isNull() | _at_most(lead, kind, measure, reached))
+    return left, reached.upto > 2 * first and -endless < reached.measure < high
 
 
 def _sorted_slots(placed: DataFrame, total_order: Sequence[Column], names: Sequence[str]):
@@ -144,13 +185,9 @@ def number_rows(
     Anything else, pass through ``session.stage_table`` first.
     """
     keys = _order_columns(df, order_by, shuffle_seed)
-    hashed = shuffle_seed is not None
-    numeric = isinstance(df.schema[order_by[0]].dataType, NumericType)
-    wanted = _before_cutoff(df, keys[0], first) if first and (hashed or numeric) else df
+    wanted = _before_cutoff(df, keys[0], first) if first else df
     placed = _placed(wanted)
     total_order = [*keys, F.col("__content"), F.col("__source")]
-    if first is not None and first <= TOP_K_LIMIT:
-        placed = placed.orderBy(*total_order).limit(first)
     names = df.columns if carry is None else list(carry)
     needed = dict.fromkeys([*names, *order_by, "__content", "__source"])
     placed = placed.select(*quote_all(needed))
@@ -164,8 +201,7 @@ def number_rows(
         .count()
         .select("__part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("__start"))
     )
-    # One row per partition of the sort above: bounded by the shuffle partitions.
-    numbered = staged.withColumn("__part", part).join(F.broadcast(starts), "__part")
+    numbered = staged.withColumn("__part", part).join(starts, "__part")
     result = numbered.select((F.col("__start") + place).alias(index), *quote_all(names))
     return result if first is None else result.filter(column(index) < first)
 

@@ -8,8 +8,8 @@ partition key would run in one task, so the total is built in two levels:
 2. distinct scores are cut into ranges of about equal size; running totals are
    taken inside a range, and the totals of the ranges before it are added.
 
-The only unpartitioned step is over the range totals, at most ``MAX_RANGES``
-rows per group.
+The only unpartitioned step is over the range totals, one for each million
+distinct scores and group. Every size of input takes this plan.
 """
 
 from __future__ import annotations
@@ -28,7 +28,6 @@ from flowscore.operators.metrics import as_array
 from flowscore.session import stage_table
 
 ROWS_PER_RANGE = 1_000_000
-MAX_RANGES = 10_000
 
 
 def _score_counts(df: DataFrame, label: str, score: str, by: Sequence[str]) -> DataFrame:
@@ -49,15 +48,13 @@ def _score_counts(df: DataFrame, label: str, score: str, by: Sequence[str]) -> D
     return written.filter("__s IS NOT NULL AND __pos + __neg > 0")
 
 
-def _range_splits(scores: DataFrame, rows_per_range: int) -> list[float] | None:
-    """Bounds of the score ranges; ``None`` when the written ``scores`` fit in one."""
-    wanted = min(MAX_RANGES, -(-scores.count() // rows_per_range))
-    if wanted <= 1:
-        return None
+def _range_splits(scores: DataFrame, rows_per_range: int) -> list[float]:
+    """Bounds of at least two ranges over the written ``scores``."""
+    wanted = max(2, -(-scores.count() // rows_per_range))
     steps = [step / wanted for step in range(1, wanted)]
     cuts = scores.approxQuantile("__s", steps, 1.0 / (4 * wanted))
     ends = {float("-inf"), float("inf")}
-    return [float("-inf"), *sorted(set(cuts) - ends), float("inf")]
+    return [float("-inf"), *(sorted(set(cuts) - ends) or [0.0]), float("inf")]
 
 
 def _running_totals(keys: Sequence[str]) -> list[Column]:
@@ -70,16 +67,6 @@ def _running_totals(keys: Sequence[str]) -> list[Column]:
     return [F.sum("__pos").over(down).alias("__tp"), F.sum("__neg").over(down).alias("__fp")]
 
 
-def _curve_in_one_range(scores: DataFrame, by: Sequence[str]) -> DataFrame:
-    whole = W.partitionBy(*quote_all(by))
-    return scores.select(
-        "*",
-        *_running_totals(quote_all(by)),
-        F.sum("__pos").over(whole).alias("__P"),
-        F.sum("__neg").over(whole).alias("__N"),
-    )
-
-
 def _curve_over_ranges(scores: DataFrame, by: Sequence[str], splits: list[float]) -> DataFrame:
     group = quote_all(by)
     # NaN sorts above every number, and "keep" gives it the range above all others.
@@ -131,12 +118,7 @@ def ranking_metrics(
     """
     scores = _score_counts(df, label, score, by)
     splits = _range_splits(scores, rows_per_range)
-    curve = (
-        _curve_in_one_range(scores, by)
-        if splits is None
-        else _curve_over_ranges(scores, by, splits)
-    )
-
+    curve = _curve_over_ranges(scores, by, splits)
     points = curve.selectExpr(
         *quote_all(by),
         *[f"CAST({c} AS DOUBLE) AS {c[2:]}" for c in ("__tp", "__fp", "__pos", "__neg")],
