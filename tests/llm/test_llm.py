@@ -18,7 +18,7 @@ from conftest import DATA
 from flowscore.llm import bpe, chat, decontam, langid, linededup, minhash, pii, topk, toxicity, warc
 from flowscore.llm import queries as Q
 from flowscore.llm.graph import components
-from flowscore.llm.hashing import SPACED, shingle_sets
+from flowscore.llm.hashing import ALNUM, SPACED, mix, shingle_sets, words
 
 RANKS = bpe.read_ranks(public_tokenizers.path(Q.RANK_FILE))
 DOCS = "doc_id bigint, text string, lang string, component_id string"
@@ -260,6 +260,35 @@ def test_toxicity(spark, none):
     assert toxicity.score(none, *toxicity.train(none, labels)).count() == 0
 
 
+def test_toxicity_counts_are_those_of_the_expression(spark):
+    # "vile" and "so bad" are toxic; others share 20 bits of the hash of the word or of the pair.
+    rows = [(i, f"w{i % 7} w{i % 11} " + ("vile so bad" if i % 2 else "bad so fine"), i % 2) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model, curve = toxicity.train(docs, docs)
+    text = " ".join(["vile", "so", "bad", *(f"q{i}" for i in range(4_000_000))]).encode()
+    hashes, first, _ = words(np.frombuffer(text, np.uint8), np.array([0, len(text)]), ALNUM)
+    low = hashes >> np.uint64(34)
+    pair = mix(np.concatenate([low[:1] * np.uint64(0), low[:-1]]) << np.uint64(30) | low) & np.uint64((1 << 20) - 1)
+    same = lambda at, values, i: 4 + np.flatnonzero(values[4:] & np.uint64((1 << 20) - 1) == at)[i]
+    at = [same(low[0] & np.uint64((1 << 20) - 1), low, 0), same(pair[2], pair, 0)]
+    word = lambda i: f"q{i - 3}"
+    asked = [(1, word(at[0])), (2, f"{word(at[1] - 1)} {word(at[1])}"), (3, "vile"), (4, "unseen so bad")]
+    scored = toxicity.score(spark.createDataFrame(asked, "doc_id bigint, text string"), model, curve)
+    got = {r.doc_id: r.ratio for r in scored.collect()}
+    assert got[1] == got[2] == 0 and got[3] > 0 and got[4] > 0
+
+
+def test_toxicity_entries_are_joined_as_they_are_broadcast(spark, monkeypatch):
+    rows = [(i, f"w{i % 7} w{i % 11} " + ("vile so bad" if i % 2 else "bad so fine"), i % 2) for i in range(2000)]
+    docs = spark.createDataFrame([*rows, (None, "", 1), (5, None, 0)], "doc_id bigint, text string, toxic int")
+    got = []
+    for hot in (1, 4096):
+        monkeypatch.setattr(toxicity, "HOT", hot)
+        model, curve = toxicity.train(docs, docs)
+        got.append(sorted((r.doc_id or -1, round(r.ratio, 9)) for r in toxicity.score(docs, model, curve).collect()))
+    assert got[0] == got[1] and len(got[0]) == len(rows) + 2 and len({x for _, x in got[0]}) > 2
+
+
 # --- 7, lines ------------------------------------------------------------------
 
 
