@@ -23,10 +23,19 @@ PATTERNS = {
     "card": r"(?<![\d-])(?:\d{16}|(?:\d{4}[ -]){3}\d{4})(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "access_key": r"\bAKIA[0-9A-Z]{16}\b",
-    "secret": r"(?<=password=)[0-9A-Za-z]{8,}|(?<=token = \")[0-9A-Za-z]{16,}",
+    "secret": "",
     "man": r"\b(?:Mr|Herr|Señor|Monsieur|г-н)\.? (?:\p{Lu}\p{Ll}+)",
     "woman": r"\b(?:Mrs|Ms|Miss|Frau|Señora|Madame|г-жа)\.? (?:\p{Lu}\p{Ll}+)",
 }
+# A value after ":" without quotes needs a digit, or it is a word of prose; what is
+# of another kind, as a mail address, keeps that kind.
+_OTHER = "|".join(PATTERNS[k] for k in ("email", "card", "access_key"))
+_ASSIGNED = rf"""["']?\s*(?:=\s*["']?|:\s*["']|:\s*(?=[A-Za-z]*[0-9]))(?!{_OTHER})"""
+PATTERNS["secret"] = (
+    rf"(?i:password|secret|api_key){_ASSIGNED}[0-9A-Za-z]{{8,}}|(?i:token){_ASSIGNED}[0-9A-Za-z]{{16,}}"
+)
+# What stands before the value of a secret is found with it and stays.
+VALUE = "([0-9A-Za-z]+)$"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 NAMES = {
     ("man", "latin"): ["Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leon", "Martin", "Noah", "Oscar", "Paul"],
@@ -39,9 +48,7 @@ NAMES = {
 def kind_of(entity: Column) -> Column:
     out = F.lit(None).cast("string")
     for kind, pattern in reversed(PATTERNS.items()):
-        # Looking around is for finding; the entity alone has nothing around it.
-        core = pattern.replace(r"(?<=password=)", "").replace(r"(?<=token = \")", "")
-        out = F.when(entity.rlike(f"^(?:{core})$"), kind).otherwise(out)
+        out = F.when(entity.rlike(f"^(?:{pattern})$"), kind).otherwise(out)
     return out
 
 
@@ -51,6 +58,7 @@ def canonical(kind: Column, entity: Column) -> Column:
         F.when(kind == "email", F.lower(entity))
         .when(kind.isin("phone", "card", "ssn"), F.regexp_replace(entity, r"\D", ""))
         .when(kind.isin("man", "woman"), F.regexp_extract(entity, r"(\p{L}+)$", 1))
+        .when(kind == "secret", F.regexp_extract(entity, VALUE, 1))
         .otherwise(entity)
     )
 
@@ -64,10 +72,11 @@ def _nibble(digest: Column, i: Column) -> Column:
 def _spelled(digest: Column, text: Column, fixed: Column) -> Column:
     """Letters and digits replaced from position ``fixed`` on, all else kept.
 
-    A digit gives a digit, a letter one of its case; a hexadecimal text in
-    lower case stays hexadecimal.
+    A digit gives a digit, a letter one of its case; a hexadecimal text of one
+    case stays hexadecimal.
     """
     hexadecimal = text.rlike("^[0-9a-f]*[a-f][0-9a-f]*$")
+    upper_hexadecimal = text.rlike("^[0-9A-F]*[A-F][0-9A-F]*$")
     lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
     def letter(c: Column, i: Column) -> Column:
@@ -76,6 +85,7 @@ def _spelled(digest: Column, text: Column, fixed: Column) -> Column:
         return (
             F.when(i < fixed, c)
             .when(hexadecimal, pick("0123456789abcdef", 16))
+            .when(upper_hexadecimal, pick("0123456789ABCDEF", 16))
             .when(c.rlike("[0-9]"), pick(digits, 10))
             .when(c.rlike("[a-z]"), pick(lower, 26))
             .when(c.rlike("[A-Z]"), pick(upper, 26))
@@ -151,6 +161,7 @@ def rendered(kind: Column, mention: Column, drawn: Column) -> Column:
         F.when(kind.isin("phone", "card", "ssn"), number)
         .when(kind == "email", F.array_join(same_case, ""))
         .when(kind.isin("man", "woman"), F.concat(title, drawn))
+        .when(kind == "secret", F.concat(F.regexp_replace(mention, VALUE, ""), drawn))
         .otherwise(drawn)
     )
 
@@ -203,7 +214,10 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     drawn = draw_surrogates(mentions.select("kind", "entity").distinct(), key)
     joined = mentions.join(drawn, ["kind", "entity"])
     shown = rendered(F.col("kind"), F.col("mention"), F.col("drawn"))
-    found_in = joined.select("_doc", "_version", F.struct("n", "kind", shown.alias("text")).alias("s"))
+    alone = F.when(F.col("kind") == "secret", F.col("drawn")).otherwise(shown)
+    found_in = joined.select(
+        "_doc", "_version", F.struct("n", "kind", shown.alias("text"), alone.alias("alone")).alias("s")
+    )
     per_doc = found_in.groupBy("_doc", "_version").agg(F.array_sort(F.collect_list("s")).alias("_s"))
     # Only texts that have entities are shuffled.
     rest = own.where(F.coalesce(~F.col("text").rlike(ANY), F.lit(True)))
@@ -217,5 +231,5 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     return out.select(
         *columns,
         F.coalesce(F.transform("_s", lambda s: s["kind"]), none).alias("kinds"),
-        F.coalesce(F.transform("_s", lambda s: s["text"]), none).alias("surrogates"),
+        F.coalesce(F.transform("_s", lambda s: s["alone"]), none).alias("surrogates"),
     )

@@ -129,6 +129,22 @@ def test_surrogates_keep_kind_format_and_identity(spark):
     assert pii.replace_entities(docs, "key").count() == len(rows)
 
 
+def test_secrets_of_any_case_and_spelling(spark):
+    values = ["9233A8ECBB01D2F4", "a1b2c3d4e5f60718", "hunter2hunter2", "Zx9Zx9Zx9", "abcdefgh", "Q1w2e3r4t5"]
+    text = (
+        f'TOKEN = "{values[0]}" and "token": "{values[1]}", PASSWORD: {values[2]}; secret =  \'{values[3]}\' '
+        f"password={values[4]} API_KEY={values[5]}, the secret: everything, password=me@mail.example.com"
+    )
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    row = pii.replace_entities(docs, "key").head()
+    assert row.kinds == ["secret"] * 6 + ["email"] and not any(v in row.text for v in values)
+    shape = lambda v: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", v)))
+    assert re.fullmatch("[0-9A-F]{16}", row.surrogates[0]) and re.fullmatch("[0-9a-f]{16}", row.surrogates[1])
+    assert [shape(v) for v in row.surrogates[2:6]] == [shape(v) for v in values[2:]]
+    blank = lambda t, found: [t := t.replace(v, "") for v in found][-1]
+    assert blank(row.text, row.surrogates) == blank(text, [*values, "me@mail.example.com"])
+
+
 def test_surrogates_are_distinct_and_not_real(spark):
     names = [chr(65 + i // 20) + "abcdefghijklmnopqrst"[i % 20] for i in range(300)] + ["Adam", "Hugo"]
     entities = spark.createDataFrame([("man", n) for n in names], "kind string, entity string")
