@@ -11,6 +11,7 @@ from flowscore.llm.bpe import encode_and_decode, read_ranks
 from flowscore.llm.chat import format_chats, loss_text, read_turns
 from flowscore.llm.decontam import contamination
 from flowscore.llm.linededup import dedup_lines
+from flowscore.llm.merkle import fold, leaf_digest, manifest, proof_digest
 from flowscore.llm.minhash import NearRule, near_duplicates
 from flowscore.llm.pii import replace_entities
 from flowscore.llm.topk import top_products
@@ -125,7 +126,33 @@ def op10_exact_topk_search(spark, sf_dir):
     return top_products(table(spark, sf_dir, "embeddings"))
 
 
+def op11_merkle_manifest(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    fields = [F.col(name) for name in ("doc_id", "source", "lang", "n_chars")]
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    changed = chosen & F.contains("text", F.lit("\n"))
+    rows = docs.select(
+        "doc_id",
+        "source",
+        leaf_digest(*fields, F.col("text")).alias("leaf"),
+        F.when(changed, leaf_digest(*fields, F.translate("text", "\n", ""))).alias("tampered"),
+    )
+    found = manifest(rows, "source", ["doc_id"], "leaf", carry=["doc_id", "tampered"])
+    folded = fold(F.coalesce("tampered", "leaf"), F.col("siblings"))
+    checked = found.withColumn("folded_root", folded)
+    return checked.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        proof_digest(F.col("siblings")).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES = {
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op1_byte_bpe": op1_byte_bpe,
     "op6_toxicity": op6_toxicity,
     "op7_line_dedup": op7_line_dedup,
@@ -247,7 +274,67 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 WHERE rank <= 10
 """
 
+# The unsigned CRC-32 of an integer's decimal digits, bit by bit; 3988292384 is its polynomial.
+CRC32_SQL = """xor(4294967295, list_reduce(
+  list_prepend(4294967295::BIGINT, [CAST(ord(c) AS BIGINT) FOR c IN string_split(CAST({0} AS VARCHAR), '')]),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))))"""
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    """Levels, runs and root of the trees over ``leaves (grp, i, node)``, as CTEs ``name_...``."""
+    return f"""
+{name}_nodes(grp, lvl, i, node, total) AS (
+  SELECT grp, 0, i, node, count(*) OVER (PARTITION BY grp) FROM {leaves}
+  UNION ALL
+  SELECT grp, lvl + 1, i // 3, sha256(string_agg(node, '' ORDER BY i)), any_value((total + 2) // 3)
+  FROM {name}_nodes WHERE total > 1 GROUP BY grp, lvl, i // 3),
+{name}_runs AS (
+  SELECT grp, lvl, i // 3 AS r, list(node ORDER BY i) AS nodes FROM {name}_nodes
+  WHERE total > 1 GROUP BY grp, lvl, i // 3),
+{name}_root AS (SELECT grp, node FROM {name}_nodes WHERE total = 1)"""
+
+
+def _path_sql(name: str, tree: str, start: str) -> str:
+    """Proof and folded node of the rows of ``start (id, grp, i, proof, folded)`` up a tree."""
+    left, right = "array_to_string(nodes[1:i % 3], '')", "array_to_string(nodes[i % 3 + 2:], '')"
+    return f"""
+{name}_steps(id, grp, lvl, i, proof, folded) AS (
+  SELECT id, grp, 0, i, proof, folded FROM {start}
+  UNION ALL
+  SELECT id, grp, lvl + 1, i // 3, proof || {left} || {right}, sha256({left} || folded || {right})
+  FROM {name}_steps JOIN {tree}_runs USING (grp, lvl) WHERE r = i // 3),
+{name} AS (
+  SELECT id, grp, arg_max(proof, lvl) AS proof, arg_max(folded, lvl) AS folded
+  FROM {name}_steps GROUP BY id, grp)"""
+
+
+_FIELD_SQL = "coalesce(CAST(strlen(CAST({0} AS VARCHAR)) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+_FIELDS_SQL = " || ".join(_FIELD_SQL.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+_BARE_SQL = _FIELD_SQL.format("replace(text, chr(10), '')")
+
+MERKLE_SQL = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, coalesce('g' || source, '') AS grp,
+    sha256({_FIELDS_SQL} || {_FIELD_SQL.format("text")}) AS node,
+    CASE WHEN {CRC32_SQL.format("doc_id")} % 2 = 0 THEN sha256({_FIELDS_SQL} || {_BARE_SQL}) END AS tampered
+  FROM documents),
+placed AS (
+  SELECT *, row_number() OVER (ORDER BY grp, doc_id NULLS FIRST, node) AS id,
+    row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, node) - 1 AS i
+  FROM leaves),{_tree_sql("low", "placed")},
+subroots AS (
+  SELECT '' AS grp, row_number() OVER (ORDER BY grp) - 1 AS i, node, grp AS of FROM low_root),{_tree_sql("top", "subroots")},
+begun AS (SELECT id, grp, i, '' AS proof, coalesce(tampered, node) AS folded FROM placed),{_path_sql("up", "low", "begun")},
+passed AS (
+  SELECT up.id, subroots.grp, subroots.i, proof, folded FROM up JOIN subroots ON subroots.of = up.grp),{_path_sql("done", "top", "passed")}
+SELECT doc_id, placed.node AS leaf, low_root.node AS subroot, top_root.node AS root,
+  sha256(proof) AS proof_sha256, folded AS folded_root, folded = top_root.node AS verified
+FROM placed JOIN low_root USING (grp) JOIN done ON done.id = placed.id CROSS JOIN top_root
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_merkle_manifest": MERKLE_SQL,
     "op7_line_dedup": LINE_SQL,
     "op8_chat_formatting": CHAT_SQL,
     "op9_warc_normaliser": WARC_SQL,
