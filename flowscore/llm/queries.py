@@ -14,6 +14,7 @@ from flowscore.llm.linededup import dedup_lines
 from flowscore.llm.merkle import fold, leaf_digest, manifest, proof_digest
 from flowscore.llm.minhash import NearRule, near_duplicates
 from flowscore.llm.pii import replace_entities
+from flowscore.llm.prefixtrie import prefix_trie, rebuilt
 from flowscore.llm.topk import top_products
 from flowscore.llm.warc import archived
 
@@ -151,7 +152,13 @@ def op11_merkle_manifest(spark, sf_dir):
     )
 
 
+def op12_conversation_prefix_trie(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return prefix_trie(rebuilt(rows))
+
+
 QUERIES = {
+    "op12_conversation_prefix_trie": op12_conversation_prefix_trie,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op1_byte_bpe": op1_byte_bpe,
     "op6_toxicity": op6_toxicity,
@@ -333,7 +340,50 @@ SELECT doc_id, placed.node AS leaf, low_root.node AS subroot, top_root.node AS r
 FROM placed JOIN low_root USING (grp) JOIN done ON done.id = placed.id CROSS JOIN top_root
 """
 
+TRIE_SQL = f"""
+WITH told AS (
+  SELECT conv_id, turn, strlen(coalesce(text, '')) AS size,
+    sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS key
+  FROM conversations WHERE conv_id IS NOT NULL),
+turns AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, key) AS n FROM told),
+convs AS (
+  SELECT conv_id, {CRC32_SQL.format("conv_id")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM told)),
+rebuilt AS (
+  SELECT c.conv_id, 0 AS part, n, key, size FROM convs c JOIN turns t
+    ON t.conv_id = c.conv_id - c.conv_id % 5 AND n <= h
+  UNION ALL
+  SELECT c.conv_id, 1, n, key, size FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND n > h),
+seqs AS (
+  SELECT c.conv_id, coalesce(list(key ORDER BY part, n) FILTER (WHERE key IS NOT NULL), []) AS keys,
+    coalesce(list(size ORDER BY part, n) FILTER (WHERE key IS NOT NULL), []) AS sizes
+  FROM convs c LEFT JOIN rebuilt r ON r.conv_id = c.conv_id GROUP BY c.conv_id),
+reach AS (SELECT conv_id, keys, sizes, unnest(range(0, len(keys) + 1)) AS d FROM seqs),
+members AS (
+  SELECT conv_id, d, len(keys) AS own, sha256(array_to_string(keys[1:d], '')) AS name,
+    sha256(array_to_string(keys[1:d - 1], '')) AS above, CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS size
+  FROM reach),
+nodes AS (
+  SELECT d, name, any_value(above) AS above, any_value(size) AS size, min(conv_id) AS conv_id, count(*) AS n_convs,
+    string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE own = d) AS ends
+  FROM members GROUP BY d, name),
+kids AS (SELECT above AS name, d - 1 AS d, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1, 2),
+full_nodes AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (name, d)),
+chains AS (
+  SELECT DISTINCT a.name AS top, a.d AS top_d, b.name, b.d FROM members a JOIN members b
+    ON a.conv_id = b.conv_id AND a.d <= b.d),
+below AS (
+  SELECT top AS name, top_d AS d, count(*) FILTER (WHERE n_children = 0) AS n_leaves,
+    sum((n_convs - 1) * size) AS saved_tokens
+  FROM chains JOIN full_nodes USING (name, d) GROUP BY 1, 2)
+SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, CAST(f.n_convs AS BIGINT) AS n_convs,
+  CAST(f.n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+  CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(f.ends, '')) AS ends_sha256
+FROM full_nodes f JOIN below USING (name, d) LEFT JOIN full_nodes p ON f.d > 0 AND p.name = f.above AND p.d = f.d - 1
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_conversation_prefix_trie": TRIE_SQL,
     "op11_merkle_manifest": MERKLE_SQL,
     "op7_line_dedup": LINE_SQL,
     "op8_chat_formatting": CHAT_SQL,
