@@ -11,6 +11,7 @@ from flowscore.llm.bpe import encode_and_decode, read_ranks
 from flowscore.llm.chat import format_chats, loss_text, read_turns
 from flowscore.llm.decontam import contamination
 from flowscore.llm.linededup import dedup_lines
+from flowscore.llm.lmscore import lm_scores
 from flowscore.llm.merkle import fold, leaf_digest, manifest, proof_digest
 from flowscore.llm.minhash import NearRule, near_duplicates
 from flowscore.llm.pii import replace_entities
@@ -157,7 +158,13 @@ def op12_conversation_prefix_trie(spark, sf_dir):
     return prefix_trie(rebuilt(rows))
 
 
+def op13_lm_scoring(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm_scores(docs, public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
+
+
 QUERIES = {
+    "op13_lm_scoring": op13_lm_scoring,
     "op12_conversation_prefix_trie": op12_conversation_prefix_trie,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op1_byte_bpe": op1_byte_bpe,
