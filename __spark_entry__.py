@@ -32,6 +32,7 @@ from flowscore.session import run_path
 from flowscore.sources import read_dataset, stream_dataset
 from flowscore.streaming import replay as R
 from flowscore.streaming import scoring as S
+from flowscore.streaming.faults import fail_once, run_with_restarts
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 EVENT_COLUMNS = ["event_id", "user_id", "event_type", "value", "props"]
@@ -368,29 +369,74 @@ def stream_ensemble(spark, sf_dir):
     return rows.select("event_id", "ensemble_prediction")
 
 
-def reported_stream(spark, sf_dir, keep_rows):
+STREAM_FILES = 4
+
+
+def message_stream(spark, sf_dir):
+    """Events as messages in several files, one for each micro-batch."""
+    path = run_path(spark, "messages") + "/messages.parquet"
+    messages = messages_of(w.event_flows(spark, sf_dir), "csv")
+    messages.repartition(STREAM_FILES).write.parquet(path)
+    return stream_dataset(spark, path, messages.schema, max_files_per_trigger=1)
+
+
+def split_stream(spark, sf_dir, again=()):
+    """Scored and rejected messages and the report; some batches fail once before their commit."""
+    path = run_path(spark, "split")
+    report, output, rejected = (f"{path}/{name}" for name in ("report", "rows", "rejected"))
+    stream = message_stream(spark, sf_dir)
+    model = w.event_models()["value_rule"]
+    handler = S.split_batches(w.MESSAGE_SCHEMA, model, report, output, rejected)
+    handler = fail_once(handler, again)
+    faults = run_with_restarts(
+        lambda: S.start_batches(stream, handler, f"{path}/checkpoint", "available-now")
+    )
+    if faults != len(again):
+        raise RuntimeError(f"{faults} batches failed, not {len(again)}")
+    return (
+        S.read_batches(spark, output, report),
+        S.read_batches(spark, rejected, report),
+        S.read_report(spark, report),
+    )
+
+
+def stream_rejected(spark, sf_dir):
+    _, rejected, _ = split_stream(spark, sf_dir, again=[1])
+    return rejected.select(F.col("offset").alias("pos"), "partition", "reason", "payload")
+
+
+def stream_restarted(spark, sf_dir):
+    rows, _, _ = split_stream(spark, sf_dir, again=[0, STREAM_FILES - 1])
+    return rows.select("event_id", "value", "prediction")
+
+
+def stream_totals(spark, sf_dir):
+    _, _, report = split_stream(spark, sf_dir, again=[2])
+    return report.agg(
+        F.count("*").alias("batches"),
+        *[F.sum(name).alias(name) for name in ("events", "positives", "rejected")],
+    )
+
+
+def stream_throughput(spark, sf_dir):
+    """Totals of a query that keeps no rows, and whether every batch was timed."""
     path = run_path(spark, "report")
     S.start_scoring(
         scored_stream(spark, sf_dir),
         checkpoint=f"{path}/checkpoint",
         report=f"{path}/report",
-        output=f"{path}/rows" if keep_rows else None,
         prediction="prediction",
         trigger="available-now",
     ).awaitTermination()
-    return S.read_report(spark, f"{path}/report")
-
-
-def stream_totals(spark, sf_dir):
-    return reported_stream(spark, sf_dir, keep_rows=True).agg(
-        F.sum("events").alias("events"), F.sum("positives").alias("positives")
+    rate = F.col("events") / F.col("seconds")
+    return S.read_report(spark, f"{path}/report").agg(
+        F.sum("events").alias("events"),
+        F.sum("positives").alias("positives"),
+        F.bool_and(F.col("seconds") > 0).alias("timed"),
+        F.bool_and(F.abs(F.col("events_per_second") / rate - 1) < 1e-9).alias("rated"),
     )
 
 
-def stream_throughput(spark, sf_dir):
-    return reported_stream(spark, sf_dir, keep_rows=False)
-
-
 def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "read_dataset": read_whole,
@@ -475,6 +521,8 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_score_ensemble": stream_ensemble,
         "stream_batch_report": stream_totals,
         "stream_throughput": stream_throughput,
+        "stream_rejected_rows": stream_rejected,
+        "stream_restart_rows": stream_restarted,
     }
 
 
@@ -795,8 +843,27 @@ def own_sql() -> dict[str, str]:
             "WHERE f.event_type NOT IN ('view', 'purchase')"
         ),
         "stream_batch_report": (
+            f"WITH {SCORED_SQL} SELECT CAST({STREAM_FILES} AS BIGINT) AS batches, "
+            "CAST(count(*) FILTER (WHERE event_type NOT IN ('view', 'purchase')) AS BIGINT) AS events, "
+            "CAST(count(*) FILTER (WHERE prediction = 1 AND event_type NOT IN ('view', 'purchase')) "
+            "AS BIGINT) AS positives, "
+            "CAST(count(*) FILTER (WHERE event_type IN ('view', 'purchase')) AS BIGINT) AS rejected "
+            "FROM scored"
+        ),
+        "stream_throughput": (
             f"WITH {SCORED_SQL} SELECT CAST(count(*) AS BIGINT) AS events, "
-            "CAST(count(*) FILTER (WHERE prediction = 1) AS BIGINT) AS positives FROM scored "
+            "CAST(count(*) FILTER (WHERE prediction = 1) AS BIGINT) AS positives, "
+            "true AS timed, true AS rated FROM scored WHERE event_type NOT IN ('view', 'purchase')"
+        ),
+        "stream_rejected_rows": (
+            f"WITH {FLOWS_SQL} SELECT event_id AS pos, CAST(user_id % 4 AS INTEGER) AS partition, "
+            "CASE WHEN event_type = 'view' THEN 'missing: event_id' ELSE 'no field could be read' END "
+            "AS reason, CASE WHEN event_type = 'view' "
+            "THEN concat_ws(',', 'bad', user_id, event_type, value, k) ELSE '' END AS payload "
+            "FROM flows WHERE event_type IN ('view', 'purchase')"
+        ),
+        "stream_restart_rows": (
+            f"WITH {SCORED_SQL} SELECT event_id, value, prediction FROM scored "
             "WHERE event_type NOT IN ('view', 'purchase')"
         ),
     }

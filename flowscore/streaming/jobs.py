@@ -13,7 +13,12 @@ from flowscore.operators.ensemble import VotingEnsemble
 from flowscore.sinks import topic_sink
 from flowscore.sources import as_schema, read_dataset, read_topic
 from flowscore.streaming.replay import replay
-from flowscore.streaming.scoring import score_messages, start_scoring
+from flowscore.streaming.scoring import (
+    score_messages,
+    split_batches,
+    start_batches,
+    start_scoring,
+)
 
 
 def load_models(paths: Sequence[str], ensemble: str | None = None) -> Transformer:
@@ -35,21 +40,28 @@ def score_topic(
     fmt: str = "csv",
     ensemble: str | None = None,
     output: str | None = None,
+    rejected: str | None = None,
     trigger: str = "micro-batch",
     interval: str = "1 second",
     **limits,
 ) -> StreamingQuery:
     """Start scoring a topic with saved models; ``schema`` is a struct or a schema file.
 
-    ``limits`` are those of ``kafka_source_options``. The report folder gets a
-    row per batch, ``output`` the scored records. The caller awaits the query.
+    ``limits`` are those of ``kafka_source_options``. The report gets a row per
+    batch, ``output`` the scored records and ``rejected`` the messages that lack a
+    required field, with the reason; see ``read_report`` and ``read_batches``. The
+    caller awaits the query.
     """
     model = load_models(models, ensemble)
     messages = read_topic(spark, brokers, topic, **limits)
-    scored = score_messages(messages, as_schema(spark, schema), model, fmt)
-    return start_scoring(
-        scored, checkpoint, report, output, model=model, trigger=trigger, interval=interval
-    )
+    schema = as_schema(spark, schema)
+    if rejected is None:
+        scored = score_messages(messages, schema, model, fmt)
+        return start_scoring(
+            scored, checkpoint, report, output, model=model, trigger=trigger, interval=interval
+        )
+    handler = split_batches(schema, model, report, output, rejected, fmt)
+    return start_batches(messages, handler, checkpoint, trigger, interval)
 
 
 def replay_to_topic(

@@ -13,7 +13,8 @@ SCHEMA = w.MESSAGE_SCHEMA
 
 @pytest.fixture(scope="module")
 def records(spark, data):
-    return w.event_flows(spark, data).drop(w.LABEL)
+    # A session of its own, as a streaming query has: see ``report_batches``.
+    return w.event_flows(spark.newSession(), data).drop(w.LABEL)
 
 
 def message_stream(spark, folder, **limits):
@@ -57,7 +58,7 @@ def test_stream_scores_like_batch_and_resumes_from_the_checkpoint(spark, records
 
     put(records.filter("event_id >= 400"), folder)
     start(spark, tmp_path, folder, trigger="available-now").awaitTermination()
-    scored = spark.read.parquet(str(tmp_path / "rows"))
+    scored = S.read_batches(spark, str(tmp_path / "rows"), str(tmp_path / "report"))
     expected = w.event_models()["value_rule"].transform(records)
     columns = ["event_id", "value", "k", "prediction"]
     order = lambda rows: sorted(tuple(r) for r in rows)
@@ -96,7 +97,9 @@ def test_a_batch_run_again_replaces_its_report_and_rows(spark, records, tmp_path
     got = {r.batch_id: (r.events, r.positives) for r in S.read_report(spark, report).collect()}
     positives = scored.filter("prediction = 1").count()
     assert got == {0: (records.count(), positives), 1: (positives, positives)}
-    assert spark.read.parquet(rows).count() == records.count() + positives
+    visible = S.read_batches(spark, rows, report)
+    assert visible.count() == records.count() + positives
+    assert spark.read.parquet(rows).count() == visible.count() + 10
 
 
 def test_a_batch_is_computed_once(spark, records, tmp_path):
@@ -108,7 +111,7 @@ def test_a_batch_is_computed_once(spark, records, tmp_path):
                 seen.add(1)
                 yield row
 
-        counted = spark.createDataFrame(records.rdd.mapPartitions(count), records.schema)
+        counted = records.sparkSession.createDataFrame(records.rdd.mapPartitions(count), records.schema)
         scored = w.event_models()["value_rule"].transform(counted)
         S.report_batches("prediction", str(tmp_path / "report"), output)(scored, 0)
         assert seen.value == records.count()
