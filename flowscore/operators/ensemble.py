@@ -105,7 +105,8 @@ class VotingEnsemble(
         """Members are fitted already; lets the ensemble stand in for an estimator."""
         return self.copy(params) if params else self
 
-    def _verdict(self, ballots: list[str]) -> Column:
+    def verdict(self, ballots: list[str]) -> Column:
+        """The ensemble's prediction from its members' prediction columns, in their order."""
         mode = self.getMode()
         if mode == "attack":
             return V.attack_vote(ballots)
@@ -122,7 +123,7 @@ class VotingEnsemble(
             self.getPredictionsCol(): V.ballot,
             self.getRawPredictionCol(): lambda b: V.vote_counts(b, self.getNumClasses()),
             self.getProbabilityCol(): lambda b: V.vote_shares(b, self.getNumClasses()),
-            self.getPredictionCol(): self._verdict,
+            self.getPredictionCol(): self.verdict,
         }
         clash = sorted(set(added).intersection(dataset.columns))
         if clash:

@@ -37,7 +37,7 @@ def decode_messages(
 def _check_names(schema: StructType, *names: str) -> None:
     for name in names:
         if name in schema.fieldNames():
-            raise ValueError(f"schema has a field named {name!r}; pass another name for it")
+            raise ValueError(f"schema has a field named {name!r}; pass another name, e.g. for meta")
 
 
 def _decoded(

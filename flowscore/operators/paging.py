@@ -67,7 +67,8 @@ def _at_most(lead: Column, kind: DataType, measure: Column, top: Row) -> Column:
     if isinstance(kind, (NumericType, StringType)):
         return lead <= F.lit(top.value)
     if isinstance(kind, TimestampType):
-        return lead <= F.timestamp_micros(F.lit(int(top.measure)))
+        # Not from the measure: a double is too coarse for times after the year 2255.
+        return lead <= F.timestamp_micros(F.lit(top.micros))
     if isinstance(kind, DateType):
         return lead <= F.date_from_unix_date(F.lit(int(top.measure)))
     return measure <= F.lit(top.measure)
@@ -113,11 +114,16 @@ def _cut_once(
         .when(measure == F.lit(-endless), 0)
         .otherwise(F.coalesce(inner, F.lit(1).cast("long")))
     )
+    # A time is carried as a whole number: Python's own may not hold it.
+    is_time = isinstance(kind, TimestampType)
     cells = df.groupBy(cell.cast("long").alias("cell")).agg(
-        F.count("*").alias("n"), F.max(lead).alias("value"), F.max(measure).alias("measure")
+        F.count("*").alias("n"),
+        F.max(F.lit(None) if is_time else lead).alias("value"),
+        F.max(F.unix_micros(lead) if is_time else F.lit(None)).alias("micros"),
+        F.max(measure).alias("measure"),
     )
     reached = (
-        cells.select("cell", "value", "measure", F.sum("n").over(W.orderBy("cell")).alias("upto"))
+        cells.select("cell", "value", "micros", "measure", F.sum("n").over(W.orderBy("cell")).alias("upto"))
         .filter(F.col("upto") >= first)
         .orderBy("cell")
         .first()
@@ -206,6 +212,60 @@ def number_rows(
     return result if first is None else result.filter(column(index) < first)
 
 
+def number_by_position(
+    df: DataFrame,
+    index: str = "row_no",
+    starts: DataFrame | None = None,
+    files: Sequence[str] | None = None,
+) -> DataFrame:
+    """Add ``index`` = 0, 1, 2, ... in the order the rows are stored: by file path, then place.
+
+    ``df`` is read from parquet files, whose rows have a place in their file.
+    Nothing but one count per file is shuffled, nothing is written, and the
+    numbers are the same whatever tasks read the files. ``starts`` are those of
+    ``file_starts``, if they are known; ``files`` names the only files to read.
+    """
+    starts = (file_starts(df) if starts is None else starts).select("__file", "__start")
+    place = F.col("_metadata.row_index")
+    wanted = df if files is None else df.filter(_file().isin(list(files)))
+    placed = wanted.select(*quote_all(df.columns), _file().alias("__file"), place.alias("__place"))
+    numbered = placed.join(F.broadcast(starts) if _few(starts) else starts, "__file")
+    return numbered.select(
+        (F.col("__start") + F.col("__place")).alias(index), *quote_all(df.columns)
+    )
+
+
+# Files whose starts are sent to every executor; beyond, Spark chooses the join.
+BROADCAST_FILES = 100_000
+
+
+def _few(starts: DataFrame) -> bool:
+    return starts.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES
+
+
+def _file() -> Column:
+    return F.col("_metadata.file_path")
+
+
+def file_starts(df: DataFrame) -> DataFrame:
+    """``__file, __start, __rows`` of the files of ``df``, in the order of their paths."""
+    counts = df.select(_file().alias("__file")).groupBy("__file").agg(F.count("*").alias("__rows"))
+    before = W.orderBy("__file").rowsBetween(W.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("__rows").over(before), F.lit(0))
+    return counts.select("__file", start.alias("__start"), "__rows")
+
+
+def sorted_table(
+    df: DataFrame, order_by: Sequence[str], first: int | None = None, shuffle_seed: int | None = None
+) -> DataFrame:
+    """The rows in the order of ``number_rows``, written once: ``number_by_position`` numbers them."""
+    keys = _order_columns(df, order_by, shuffle_seed)
+    placed = _placed(_before_cutoff(df, keys[0], first) if first else df)
+    total_order = [*keys, F.col("__content"), F.col("__source")]
+    spread = placed.repartitionByRange(*total_order).sortWithinPartitions(*total_order)
+    return stage_table(spread.select(*quote_all(df.columns)), "sorted")
+
+
 def paginate(
     df: DataFrame,
     rows: int,

@@ -11,12 +11,15 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
-from flowscore.operators.sampling import bernoulli_sample, repartition_dataset
+from flowscore.operators.sampling import bernoulli_sample, fold_number, repartition_dataset
 from flowscore.plans.setups import load_setup, make_evaluator, setup_columns, setup_kind
 from flowscore.sinks import append_csv
 from flowscore.sources.datasets import dataset_name, read_dataset
 from flowscore.sources.schemas import as_schema
 
+# The column that tells the folds of a cross-validation.
+FOLD = "__fold"
+
 LOG_SCHEMA = StructType(
     [
         StructField("cores", IntegerType()),
@@ -97,13 +100,15 @@ def train(
     metric_label: float = 1.0,
     folds: int = 2,
     parallelism: int | None = None,
+    fold_keys: str | Sequence[str] | None = None,
     names: Mapping[str, str] | None = None,
 ) -> tuple[PipelineModel, DataFrame]:
     """Fit a setup on a dataset; returns the model and its one-row log.
 
     Setup and dataset are paths, or objects, which the log then calls by
     ``names["setup"]`` and ``names["dataset"]``; ``schema`` is a struct or the
-    path of a schema file. ``output`` and ``log`` are
+    path of a schema file. With ``fold_keys`` a row's fold hangs on these columns
+    and ``seed`` only, not on the partitions. ``output`` and ``log`` are
     written when given; an existing model is replaced, a log is added to.
     """
     names = dict(names or {})
@@ -117,6 +122,11 @@ def train(
         names.setdefault("model", dataset_name(output))
     if setup_kind(setup) == "cross-validator":
         setup = configure_cross_validator(setup, metric, metric_label, folds, parallelism)
+        if fold_keys is not None:
+            if FOLD in dataset.columns:
+                raise ValueError(f"input column {FOLD!r} is also the column of the folds")
+            dataset = dataset.withColumn(FOLD, fold_number(fold_keys, folds, seed))
+            setup = setup.setFoldCol(FOLD)
 
     data = prepare_training_data(dataset, train_ratio, partitions, seed)
     start = time.perf_counter()

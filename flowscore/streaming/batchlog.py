@@ -16,6 +16,7 @@ from __future__ import annotations
 import time
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -26,6 +27,8 @@ from flowscore.functions.names import quote_all
 # start in microseconds, so a later one has the larger number.
 KEY = ("batch_id", "attempt")
 SEGMENT_BATCHES = 64
+# Spark's name for a folder that is not there.
+NOT_THERE = "PATH_NOT_FOUND"
 SIDES = 2
 
 
@@ -54,12 +57,13 @@ class BatchLog:
         sides = [f"{self._segment_path(number)}/side={side}" for side in range(SIDES)]
         rows: list[tuple] = []
         for side in sides:
-            reader = spark.read.schema(self.schema).option("ignoreMissingFiles", "true")
             try:
-                rows += [tuple(row) for row in reader.parquet(side).collect()]
-            except Exception as error:  # noqa: BLE001
-                if "PATH_NOT_FOUND" not in str(error):
+                found = spark.read.schema(self.schema).parquet(side).collect()
+            except AnalysisException as error:
+                if error.getCondition() != NOT_THERE:
                     raise
+                found = []
+            rows += map(tuple, found)
         for row in sorted(rows, key=lambda r: r[1]):
             self._rows[row[0]] = row
 
@@ -73,6 +77,15 @@ class BatchLog:
         side = f"{self._segment_path(number)}/side={batch_id % SIDES}"
         rows.write.mode("overwrite").parquet(side)
 
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """``read``, and no rows where nothing was logged yet."""
+        try:
+            return self.read(spark)
+        except AnalysisException as error:
+            if error.getCondition() != NOT_THERE:
+                raise
+            return spark.createDataFrame([], self.schema)
+
     def read(self, spark: SparkSession) -> DataFrame:
         """One row per batch: the one written last."""
         every = spark.read.schema(self.schema).parquet(f"{self.path}/segment=*/side=*")

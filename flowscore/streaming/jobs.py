@@ -71,9 +71,10 @@ def replay_to_topic(
     brokers: str | Sequence[str],
     topic: str,
     rows: int,
-    order_by: Sequence[str],
+    order_by: Sequence[str] | None = None,
     **options,
 ) -> DataFrame:
-    """Send a dataset to a topic in paced batches; ``options`` are those of ``replay``."""
+    """Send a dataset to a topic in paced batches, in its own order if no other is
+    given; ``options`` are those of ``replay``."""
     flows = read_dataset(spark, dataset, as_schema(spark, schema))
     return replay(flows, topic_sink(brokers, topic), rows, order_by, **options)

@@ -106,3 +106,13 @@ def embedding_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
         array_to_vector(F.col("embedding").cast("array<double>")).alias("vector"),
         (F.col("label") % 2).cast("double").alias(LABEL),
     )
+
+
+def planted_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training table whose label one of two features gives away."""
+    vectors = read_dataset(spark, f"{sf_dir}/embeddings.parquet")
+    label = (F.col("label") % 2).cast("double")
+    noise = F.get("embedding", F.lit(0)).cast("double")
+    return vectors.select(
+        "vec_id", label.alias("planted"), noise.alias("noise"), label.alias(LABEL)
+    )
