@@ -36,7 +36,7 @@ from flowscore.streaming.faults import fail_once, run_with_restarts
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 EVENT_COLUMNS = ["event_id", "user_id", "event_type", "value", "props"]
-FOLD_SETTINGS = {"metric": "f1", "folds": 3, "parallelism": 4, "fold_keys": "vec_id"}
+FOLD_SETTINGS = {"metric": "f1", "folds": 2, "parallelism": 4, "fold_keys": "vec_id"}
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -759,7 +759,7 @@ def training_sql() -> dict[str, str]:
     )
     digits = "substr(md5('42|' || vec_id), 1, 8)"
     out["cross_validation_folds"] = (
-        f"SELECT CAST(CAST('0x' || {digits} AS BIGINT) % 3 AS INTEGER) AS fold, count(*) AS rows "
+        f"SELECT CAST(CAST('0x' || {digits} AS BIGINT) % 2 AS INTEGER) AS fold, count(*) AS rows "
         "FROM embeddings GROUP BY 1"
     )
     out["content_sample"] = "SELECT count(*) AS rows, true AS same, true AS share_fits FROM events"
