@@ -1,8 +1,10 @@
 """Byte-level BPE with given ranks: encoding by a fold over distinct words, decoding.
 
-Texts are split by a pattern, the distinct words of a chunk of documents are
-merged by higher-order functions against a literal map of ranked pairs, and the
-words of each document are replaced by their ids. Nothing is shuffled.
+Texts are split by a pattern, the distinct words of a task are merged by
+higher-order functions against a literal map of ranked pairs, and the words of
+each document are replaced by their ids. Documents travel in chunks of about a
+megabyte of text; a word is merged in the first chunk that holds it and kept for
+those that follow. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -27,8 +29,11 @@ _ID_BITS, _RANK_AT = 24, 40
 _ID, _NONE = (1 << _ID_BITS) - 1, (1 << 23) - 1
 # Words longer than this are merged with a heap: the fold takes quadratic time.
 FOLD_BYTES = 512
-# Documents of a chunk that are decoded into one Arrow batch.
-DECODED_AT_ONCE = 1000
+# Text of a chunk, one row of the fold; more only if one text alone is longer.
+CHUNK_BYTES = 1 << 20
+# Bytes of merged words that a task keeps. Beyond it, it begins anew: a word that
+# comes again is merged again.
+KEPT_BYTES = 1 << 22
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -138,18 +143,26 @@ def token_arrays(ranks: dict[bytes, int], pairs: dict[tuple[int, int], int]) ->
     order = np.argsort(keys)
     return {
         "byte_ids": np.array([ranks[bytes([b])] for b in range(256)], np.int64),
-        "tokens": pa.array(list(ranks), pa.binary()),
-        "ids": np.array(list(ranks.values()), np.int64),
+        "ids": ranks,
         "keys": keys[order],
         "merged": np.array(list(pairs.values()), np.int64)[order],
     }
 
 
+def _id_count(ranks: dict[bytes, int]) -> int:
+    return max(ranks.values(), default=-1) + 1
+
+
 class _Tokens:
-    """Turns distinct words into the pieces that the fold begins with."""
+    """Numbers the words of a task and turns new ones into what the fold begins with.
+
+    A word that is a token has its id for a number; the others follow the ids in
+    order of appearance, until more than ``KEPT_BYTES`` of them are known.
+    """
 
     def __init__(self, arrays: dict) -> None:
         self.__dict__.update(arrays)
+        self.forget()
 
     @cached_property
     def pairs(self) -> dict[tuple[int, int], int]:
@@ -157,11 +170,28 @@ class _Tokens:
         left, right = (self.keys >> _ID_BITS).tolist(), (self.keys & _ID).tolist()
         return dict(zip(zip(left, right, strict=True), self.merged.tolist(), strict=True))
 
-    def pieces(self, distinct: pa.Array) -> pa.Array:
+    def forget(self) -> None:
+        self.numbers = dict(self.ids)
+        self.kept = self.kept_bytes = 0
+
+    def numbered(self, distinct: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+        """The number of each word, and those seen for the first time."""
+        numbers, base, new = self.numbers, _id_count(self.ids) + self.kept, []
+        out = np.empty(len(distinct), np.int32)
+        for i, word in enumerate(distinct):
+            number = numbers.get(word)
+            if number is None:
+                number = numbers[word] = base + len(new)
+                new.append(word)
+            out[i] = number
+        self.kept += len(new)
+        self.kept_bytes += sum(map(len, new))
+        return out, new
+
+    def pieces(self, words: list[bytes]) -> pa.Array:
         """The pieces of each word: its bytes, or what needs no more merging."""
-        words = distinct.cast(pa.binary())
-        raw = np.frombuffer(b"".join(words.to_pylist()), np.uint8)
-        widths = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        widths = np.array([len(word) for word in words], np.int64)
         ends, sizes = np.cumsum(widths), widths.copy()
         ids = self.byte_ids[raw]
         ranks = np.full(len(ids), _NONE, np.int64)
@@ -171,15 +201,9 @@ class _Tokens:
             ranks[:-1] = np.where(self.keys[at] == asked, self.merged[at], _NONE)
         ranks[ends - 1] = _NONE
         keep = np.ones(len(ids), bool)
-        whole = pc.index_in(words, value_set=self.tokens)
-        known = np.flatnonzero(whole.is_valid().to_numpy(zero_copy_only=False))
-        done = [(w, [self.ids[whole[int(w)].as_py()]]) for w in known]
         for w in np.flatnonzero(widths > FOLD_BYTES):
-            if not whole[int(w)].is_valid:
-                own = ids[ends[w] - widths[w] : ends[w]].tolist()
-                done.append((w, merge_long_word(own, self.pairs)))
-        for w, merged in done:
             first, end = ends[w] - widths[w], ends[w]
+            merged = merge_long_word(ids[first:end].tolist(), self.pairs)
             ids[first : first + len(merged)] = merged
             ranks[first:end] = _NONE
             keep[first + len(merged) : end] = False
@@ -190,25 +214,52 @@ class _Tokens:
         return pa.ListArray.from_arrays(pa.array(bounds), pa.array(values))
 
 
+def _cuts(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows of at most ``limit`` bytes, one row at least."""
+    ends, low = np.cumsum(sizes), 0
+    while low < len(sizes):
+        before = ends[low - 1] if low else 0
+        high = max(int(np.searchsorted(ends, before + limit, "right")), low + 1)
+        yield low, high
+        low = high
+
+
 def _chunks(words: DataFrame, arrays: dict) -> DataFrame:
-    """One row for each Arrow batch of documents: its distinct words and where they are."""
+    """A row for each chunk of documents: the numbers of their words, the pieces of new ones.
+
+    ``base`` words of the task were numbered before; 0 begins a new numbering.
+    """
     shared = words.sparkSession.sparkContext.broadcast(arrays)
     schema = (
-        "doc_ids array<bigint>, sizes array<int>, places array<int>, pieces array<array<bigint>>"
+        "doc_ids array<bigint>, sizes array<int>, places array<int>, base int, "
+        "pieces array<array<bigint>>"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _Tokens(shared.value)
         for batch in batches:
             lists = batch.column("words")
-            coded = pc.dictionary_encode(lists.flatten())
-            sizes = pc.list_value_length(lists).cast(pa.int32())
-            columns = [batch.column("doc_id"), sizes, coded.indices]
-            columns.append(tokens.pieces(coded.dictionary))
-            arrays = [pa.ListArray.from_arrays([0, len(c)], c) for c in columns]
-            yield pa.RecordBatch.from_arrays(
-                arrays, names=["doc_ids", "sizes", "places", "pieces"]
-            )
+            counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            widths = pc.binary_length(lists.flatten()).to_numpy(zero_copy_only=False)
+            total = np.concatenate([[0], np.cumsum(widths, dtype=np.int64)])
+            edges = np.concatenate([[0], np.cumsum(counts)])
+            for low, high in _cuts(np.diff(total[edges]), CHUNK_BYTES):
+                if tokens.kept_bytes > KEPT_BYTES:
+                    tokens.forget()
+                coded = pc.dictionary_encode(lists.slice(low, high - low).flatten())
+                base = tokens.kept
+                numbers, new = tokens.numbered(coded.dictionary.cast(pa.binary()).to_pylist())
+                columns = [
+                    batch.column("doc_id").slice(low, high - low),
+                    pa.array(counts[low:high].astype(np.int32)),
+                    pa.array(numbers[coded.indices.to_numpy(zero_copy_only=False)]),
+                    tokens.pieces(new),
+                ]
+                columns = [pa.ListArray.from_arrays([0, len(c)], c) for c in columns]
+                columns.insert(3, pa.array([base], pa.int32()))
+                yield pa.RecordBatch.from_arrays(
+                    columns, names=["doc_ids", "sizes", "places", "base", "pieces"]
+                )
 
     return words.mapInArrow(run, schema)
 
@@ -239,7 +290,7 @@ class _Decoder:
 
 
 def _tokens_by_id(ranks: dict[bytes, int]) -> list[bytes]:
-    by_id = [b""] * (max(ranks.values(), default=-1) + 1)
+    by_id = [b""] * _id_count(ranks)
     for token, rank in ranks.items():
         by_id[rank] = token
     return by_id
@@ -249,39 +300,52 @@ IDS_SCHEMA = "doc_id bigint, ids array<int>"
 DECODED_SCHEMA = f"{IDS_SCHEMA}, packed binary, decoded binary"
 
 
-def _documents(chunk: pa.RecordBatch, row: int) -> pa.RecordBatch:
-    """The ids of the documents of one chunk, from its merged words."""
-    doc_ids, sizes, places, pieces = (chunk.column(c).slice(row, 1).flatten() for c in range(4))
-    flat = pieces.flatten().to_numpy(zero_copy_only=False) & _ID
-    lengths = pc.list_value_length(pieces).to_numpy(zero_copy_only=False)
-    begins = np.cumsum(lengths) - lengths
-    at = places.to_numpy(zero_copy_only=False)
-    size_of = lengths[at]
-    ends = np.cumsum(size_of, dtype=np.int64)
-    first = np.repeat(begins[at] - (ends - size_of), size_of)
-    ids = flat[first + np.arange(len(first))]
-    edges = np.concatenate([[0], np.cumsum(sizes.to_numpy(zero_copy_only=False))])
-    bounds = np.concatenate([[0], ends])[edges].astype(np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids.astype(np.int32)))
-    return pa.RecordBatch.from_arrays([doc_ids, lists], names=["doc_id", "ids"])
-
-
-def _reassembled(chunks: DataFrame, by_id: list[bytes] | None = None) -> DataFrame:
-    """Each document's ids, from the merged words of its chunk, decoded if ``by_id`` is given."""
-    shared = chunks.sparkSession.sparkContext.broadcast(by_id)
+class _Merged:
+    """The ids of the numbered words of a task: a token's own, or those of a merged word."""
+
+    def __init__(self, id_count: int) -> None:
+        self.id_count = id_count
+        self.forget()
+
+    def forget(self) -> None:
+        self.flat = np.arange(self.id_count, dtype=np.int32)
+        self.bounds = np.arange(self.id_count + 1, dtype=np.int64)
+
+    def documents(self, chunk: pa.RecordBatch, row: int) -> pa.RecordBatch:
+        """The ids of the documents of one chunk; its merged words are kept."""
+        doc_ids, sizes, places = (chunk.column(c).slice(row, 1).flatten() for c in range(3))
+        pieces = chunk.column(4).slice(row, 1).flatten()
+        if chunk.column(3)[row].as_py() == 0:
+            self.forget()
+        merged = pieces.flatten().to_numpy(zero_copy_only=False).astype(np.int64) & _ID
+        lengths = pc.list_value_length(pieces).to_numpy(zero_copy_only=False)
+        self.flat = np.concatenate([self.flat, merged.astype(np.int32)])
+        new_bounds = self.bounds[-1] + np.cumsum(lengths, dtype=np.int64)
+        self.bounds = np.concatenate([self.bounds, new_bounds])
+        at = places.to_numpy(zero_copy_only=False)
+        size_of = self.bounds[at + 1] - self.bounds[at]
+        ends = np.cumsum(size_of)
+        first = np.repeat(self.bounds[at] - (ends - size_of), size_of)
+        ids = self.flat[first + np.arange(len(first))]
+        edges = np.concatenate([[0], np.cumsum(sizes.to_numpy(zero_copy_only=False))])
+        bounds = np.concatenate([[0], ends])[edges].astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids))
+        return pa.RecordBatch.from_arrays([doc_ids, lists], names=["doc_id", "ids"])
+
+
+def _reassembled(chunks: DataFrame, ranks: dict[bytes, int], decoded: bool) -> DataFrame:
+    """Each document's ids, from the merged words of its task, and what they decode to."""
+    shared = chunks.sparkSession.sparkContext.broadcast(_tokens_by_id(ranks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = None if shared.value is None else _Decoder(shared.value)
+        decoder = _Decoder(shared.value)
+        merged = _Merged(len(shared.value))
         for batch in batches:
             for row in range(batch.num_rows):
-                found = _documents(batch, row)
-                if decoder is None:
-                    yield found
-                    continue
-                for low in range(0, found.num_rows, DECODED_AT_ONCE):
-                    yield decoder(found.slice(low, DECODED_AT_ONCE))
+                found = merged.documents(batch, row)
+                yield decoder(found) if decoded else found
 
-    return chunks.mapInArrow(run, IDS_SCHEMA if by_id is None else DECODED_SCHEMA)
+    return chunks.mapInArrow(run, DECODED_SCHEMA if decoded else IDS_SCHEMA)
 
 
 def _merged_chunks(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
@@ -293,7 +357,8 @@ def _merged_chunks(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> Da
     chunks = _chunks(words_of, token_arrays(ranks, pairs))
     table = F.array(rank_map(pairs))
     merged = F.transform(table, lambda m: F.transform("pieces", lambda p: merge_word(p, m)))
-    return chunks.select("doc_ids", "sizes", "places", F.get(merged, F.lit(0)).alias("pieces"))
+    merged = F.get(merged, F.lit(0)).alias("pieces")
+    return chunks.select("doc_ids", "sizes", "places", "base", merged)
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
@@ -302,14 +367,15 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     Every match of ``pattern`` is encoded by itself, as one token if it is one,
     else by merging the neighbours of the smallest rank until none is left; no
     special tokens. Null and empty texts have no tokens. Repeated rows and null
-    doc_ids are kept as they are; other columns are ignored; no rows give none.
+    doc_ids are kept as they are; other columns are ignored; no rows give none. A
+    text longer than a chunk is a chunk of its own.
     """
-    return _reassembled(_merged_chunks(docs, ranks, pattern))
+    return _reassembled(_merged_chunks(docs, ranks, pattern), ranks, decoded=False)
 
 
 def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """``decode(encode(docs))``, the ids decoded by the worker that puts them together."""
-    return _reassembled(_merged_chunks(docs, ranks, pattern), _tokens_by_id(ranks))
+    return _reassembled(_merged_chunks(docs, ranks, pattern), ranks, decoded=True)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:

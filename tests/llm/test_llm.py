@@ -73,6 +73,33 @@ def test_bpe_equals_the_library_and_comes_back(spark, odd, documents, none):
     assert bpe.encode(none, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_of_repeated_letters_long_words_and_many_chunks(spark, monkeypatch):
+    # A chunk of a few words, few kept: the numbering begins anew many times.
+    monkeypatch.setattr(bpe, "CHUNK_BYTES", 60)
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 200)
+    draw = random.Random(5)
+    texts = ["z" * 100_000, "ab" * 250 + " " + "é" * 400, "x" * 512, "x" * 513, "", None]
+    texts.append(" ".join(f"w{draw.randrange(4000):x}q" for _ in range(20_000)))
+    texts += [" ".join(f"k{draw.randrange(60)}vz" for _ in range(12)) for _ in range(300)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(2)
+    got = {r.doc_id: r.ids for r in bpe.encode(docs, RANKS, public_tokenizers.PATTERN).collect()}
+    encode = library().encode_ordinary
+    assert got == {i: encode(t or "") for i, t in rows}
+
+
+def test_a_task_merges_a_word_once_and_forgets_beyond_its_bound():
+    tokens = bpe._Tokens(bpe.token_arrays(RANKS, bpe.ranked_pairs(RANKS)))
+    first, new = tokens.numbered([b"qzqzq", b"the", b"xqxqxq"])
+    assert new == [b"qzqzq", b"xqxqxq"] and first[1] == RANKS[b"the"]
+    again, new = tokens.numbered([b"xqxqxq", b"qzqzq"])
+    assert new == [] and list(again) == [first[2], first[0]]
+    tokens.forget()
+    assert tokens.kept == 0 and tokens.numbered([b"qzqzq"])[1] == [b"qzqzq"]
+    assert list(bpe._cuts(np.array([5, 90, 0, 0]), 90)) == [(0, 1), (1, 4)]
+    assert list(bpe._cuts(np.array([], int), 90)) == []
+
+
 def test_heap_merges_equal_the_library():
     pairs = bpe.ranked_pairs(RANKS)
     draw = random.Random(3)
