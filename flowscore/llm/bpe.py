@@ -54,14 +54,17 @@ def ranked_pairs(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
 
 
 def rank_map(pairs: dict[tuple[int, int], int]) -> Column:
-    """The pairs as a literal: buckets of keys and ids, so that a look-up is short."""
-    buckets: list[dict] = [{"k": [], "v": []} for _ in range(_BUCKETS)]
+    """The pairs as a literal: buckets of keys and ranks, so that a look-up is short.
+
+    Ranks are at their place in a piece; the first of a bucket is for missing keys.
+    """
+    buckets: list[dict] = [{"k": [], "v": [_NONE << _RANK_AT]} for _ in range(_BUCKETS)]
     for (left, right), rank in pairs.items():
         bucket = buckets[(left * _SPREAD + right) % _BUCKETS]
         bucket["k"].append(left << _ID_BITS | right)
-        bucket["v"].append(rank)
+        bucket["v"].append(rank << _RANK_AT)
     text = json.dumps(buckets, separators=(",", ":"))
-    return F.from_json(F.lit(text), "array<struct<k:array<bigint>,v:array<int>>>")
+    return F.from_json(F.lit(text), "array<struct<k:array<bigint>,v:array<bigint>>>")
 
 
 def _let(value: Column, body) -> Column:
@@ -74,10 +77,10 @@ def _rank(ranked: Column, left: Column, right: Column) -> Column:
     key = left * (_ID + 1) + right
 
     def look(bucket: Column) -> Column:
-        found = F.get(bucket["v"], F.array_position(bucket["k"], key).cast("int") - 1)
-        return F.coalesce(found, F.lit(_NONE)).cast("bigint") * (1 << _RANK_AT)
+        return F.get(bucket["v"], F.array_position(bucket["k"], key).cast("int"))
 
-    return _let(F.get(ranked, ((left * _SPREAD + right) % _BUCKETS).cast("int")), look)
+    place = (left * _SPREAD + right).bitwiseAND(F.lit(_BUCKETS - 1))
+    return _let(F.get(ranked, place.cast("int")), look)
 
 
 def merge_word(pieces: Column, ranked: Column) -> Column:
