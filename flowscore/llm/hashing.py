@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-_BASE = 0x9E3779B97F4A7C15
+_STEP = 0x9E3779B97F4A7C15
 _CHUNK_BYTES = 1 << 20
 _U = np.uint64
 
@@ -39,28 +39,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class _Powers:
-    """Powers of the base and of its inverse modulo 2**64, as many as asked for.
+def span_hashes(data: np.ndarray, first: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """One hash for each span of bytes, ``first`` to ``after``; spans ascend.
 
-    They are kept where they are used, never sent along with a job's code.
+    Eight bytes at a time are mixed with their place in the span. The sum of what
+    comes out is mixed with the length, so no pattern of bytes cancels out.
     """
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, _U)
-
-    def __reduce__(self):
-        return _Powers, ()
-
-    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, _CHUNK_BYTES)
-            inverse = pow(_BASE, -1, 1 << 64)
-            self.up = np.cumprod(np.full(size, _BASE, _U))
-            self.down = np.cumprod(np.full(size, inverse, _U))
-        return self.up[:n], self.down[:n]
-
-
-POWERS = _Powers()
+    widths = (after - first).astype(np.int64)
+    blocks = (widths + 7) // 8
+    ends = np.cumsum(blocks)
+    total = int(ends[-1]) if len(ends) else 0
+    nth = np.arange(total) - np.repeat(ends - blocks, blocks)
+    begin = np.repeat(first, blocks) + 8 * nth
+    left = np.repeat(widths, blocks) - 8 * nth
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    value = np.zeros(total, _U)
+    for k in range(8):
+        value |= np.where(left > k, padded[begin + k], 0).astype(_U) << _U(8 * k)
+    value = mix(mix(value) + (nth.astype(_U) + _U(1)) * _U(_STEP))
+    sums = np.zeros(total + 1, _U)
+    np.cumsum(value, out=sums[1:])
+    return mix(sums[ends] - sums[ends - blocks] + widths.astype(_U) * _U(_STEP))
 
 
 def text_chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -94,10 +93,7 @@ def words(
     on[1:-1] = codes != 0
     first = np.flatnonzero(on[1:-1] & (~on[:-2] | cut[:-1]))
     after = np.flatnonzero(on[1:-1] & (~on[2:] | cut[1:])) + 1
-    up, down = POWERS.of(n)
-    sums = np.zeros(n + 1, _U)
-    np.cumsum(codes * up, out=sums[1:])
-    hashes = mix((sums[after] - sums[first]) * down[first])
+    hashes = span_hashes((codes - _U(1)).astype(np.uint8), first, after)
     return hashes, first, np.searchsorted(bounds, first, "right") - 1
 
 

@@ -20,11 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType
 from pyspark.sql.window import Window
 
-from flowscore.llm.hashing import POWERS, SPACED, id_filter, mix, parted, text_chunks, words
+from flowscore.llm.hashing import SPACED, id_filter, parted, span_hashes, text_chunks, words
 from flowscore.llm.scratch import discard, stored
 
 MIN_WORDS = 50
-_U = np.uint64
 ROW = ["doc", "version"]
 _LINES = "doc bigint, version bigint, pos int, h bigint, forward int, backward int"
 
@@ -60,10 +59,7 @@ def line_rows(docs: DataFrame, least: int) -> DataFrame:
             version = batch.column("version").to_numpy()
             for low, data, bounds in text_chunks(batch.column("text")):
                 starts, stops, per_text = _line_bounds(data, bounds)
-                up, down = POWERS.of(len(data) + 1)
-                sums = np.zeros(len(data) + 1, _U)
-                np.cumsum((data.astype(_U) + _U(1)) * up[: len(data)], out=sums[1:])
-                h = mix((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(_U))
+                h = span_hashes(data, starts, stops)
                 _, at, _ = words(data, bounds, SPACED)
                 counts = np.bincount(
                     np.searchsorted(starts, at, "right") - 1, minlength=len(starts)

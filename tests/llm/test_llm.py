@@ -18,7 +18,7 @@ from conftest import DATA
 from flowscore.llm import bpe, chat, decontam, langid, linededup, minhash, pii, topk, toxicity, warc
 from flowscore.llm import queries as Q
 from flowscore.llm.graph import components
-from flowscore.llm.hashing import ALNUM, SPACED, mix, shingle_sets, words
+from flowscore.llm.hashing import ALNUM, SPACED, mix, shingle_sets, span_hashes, words
 
 RANKS = bpe.read_ranks(public_tokenizers.path(Q.RANK_FILE))
 DOCS = "doc_id bigint, text string, lang string, component_id string"
@@ -47,6 +47,45 @@ def documents(spark):
     return spark.read.parquet(f"{DATA}/documents.parquet")
 
 
+# --- hashes of words and lines -------------------------------------------------
+
+
+def thue_morse(n: int, one: str, other: str) -> str:
+    return "".join(one if bin(i).count("1") % 2 == 0 else other for i in range(n))
+
+
+def test_patterned_words_and_lines_stay_apart(spark):
+    tail = " ".join(f"w{i}" for i in range(9))
+    patterns = {}
+    for i, size in enumerate((1024, 2048, 4096)):
+        patterns[10 * i] = thue_morse(size, "a", "b")
+        patterns[10 * i + 1] = thue_morse(size, "b", "a")
+    for table in (SPACED, ALNUM):
+        data = np.frombuffer(" ".join(patterns.values()).encode(), np.uint8)
+        assert len(set(words(data, np.array([0, len(data)]), table)[0].tolist())) == 6
+    schema = "doc_id bigint, text string"
+    docs = spark.createDataFrame([(i, f"{t} {tail}") for i, t in patterns.items()], schema)
+    assert all(r.kept for r in minhash.near_duplicates(docs, minhash.NearRule()).collect())
+    items = [(str(i), f"{t} {tail}") for i, t in patterns.items() if i % 10 == 0]
+    items = spark.createDataFrame(items, "item_id string, text string")
+    found = decontam.contamination(docs, items).where("size(covered) > 0").collect()
+    assert sorted(r.doc_id for r in found) == [0, 10, 20]
+    lines = [(i, "\n".join([t] * 60)) for i, t in patterns.items()]
+    kept = linededup.dedup_lines(spark.createDataFrame(lines, schema)).collect()
+    assert all(patterns[r.doc_id] in r.text for r in kept) and len(kept) == 6
+
+
+def test_span_hashes_take_every_byte_place_and_length():
+    draw = random.Random(9)
+    spans = [bytes(draw.randrange(2) for _ in range(draw.randrange(40))) for _ in range(4000)]
+    ends = np.cumsum([len(x) for x in spans])
+    first = np.concatenate([[0], ends[:-1]])
+    got = span_hashes(np.frombuffer(b"".join(spans), np.uint8), first, ends)
+    assert len(set(got.tolist())) == len(set(spans))
+    assert len({(x, int(h)) for x, h in zip(spans, got, strict=True)}) == len(set(spans))
+    assert len(span_hashes(np.zeros(0, np.uint8), first[:0], ends[:0])) == 0
+
+
 # --- 1, byte-level BPE ---------------------------------------------------------
 
 
