@@ -358,6 +358,31 @@ def sweep(spark, sf_dir):
     return timed_runs(report, "setup", "dataset", "model", "train_ratio", "partitions")
 
 
+def sweep_manifest(spark, sf_dir):
+    """A sweep that goes on where a shorter one ended, and whether it kept those runs."""
+    manifest = run_path(spark, "manifest")
+    flows = {"embeddings.parquet": w.embedding_flows(spark, sf_dir)}
+    setup = {family: embedding_setup(family, **family_params(family)) for family in ("DT", "LR")}
+    first = training.training_sweep(
+        spark, {"DT": setup["DT"]}, flows, partitions=[4], manifest=manifest, train_ratio=0.7
+    )
+    first = first.selectExpr("setup", "partitions", "training_time AS first_time").collect()
+    early = spark.createDataFrame(first, "setup string, partitions int, first_time double")
+    runs = training.training_sweep(
+        spark, setup, flows, partitions=[4, 8], manifest=manifest, train_ratio=0.7
+    )
+    runs = runs.join(F.broadcast(early), ["setup", "partitions"], "left")
+    return runs.select(
+        "setup",
+        "dataset",
+        "model",
+        "train_ratio",
+        "partitions",
+        (F.col("training_time") > 0).alias("timed"),
+        F.coalesce(F.col("training_time") == F.col("first_time"), F.lit(False)).alias("kept"),
+    )
+
+
 def pca_features(spark, sf_dir):
     """What must hold of the components, whatever their signs: order, no correlation."""
     flows = w.embedding_flows(spark, sf_dir)
@@ -567,6 +592,7 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         "train_report": train_report,
         "training_sweep": sweep,
+        "training_manifest": sweep_manifest,
         "fit_decision_tree": fit_family("DT"),
         "fit_gbt": fit_family("GBT"),
         "fit_logistic_regression": fit_family("LR"),
@@ -754,6 +780,7 @@ def training_sql() -> dict[str, str]:
         f"SELECT setup, setup || '_embeddings.parquet' AS model, CAST(n AS INTEGER) AS partitions, {log} "
         "FROM (VALUES ('DT'), ('LR')) s(setup), (VALUES (4), (8)) p(n)"
     )
+    out["training_manifest"] = f"SELECT *, setup = 'DT' AND partitions = 4 AS kept FROM ({out['training_sweep']})"
     out["pca_features"] = (
         "SELECT count(*) AS rows, true AS ordered, true AS uncorrelated, true AS predicted FROM embeddings"
     )

@@ -6,9 +6,11 @@ import time
 from collections.abc import Mapping, Sequence
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from flowscore.operators.sampling import bernoulli_sample, fold_number, repartition_dataset
@@ -30,6 +32,9 @@ LOG_SCHEMA = StructType(
         StructField("training_time", DoubleType()),
     ]
 )
+SWEEP_SCHEMA = StructType([*LOG_SCHEMA.fields, StructField("partitions", IntegerType())])
+# What tells one run of a sweep from another.
+RUN_KEY = ["setup", "dataset", "cores", "partitions", "train_ratio"]
 
 
 def configure_cross_validator(
@@ -148,22 +153,52 @@ def train(
     return model, report
 
 
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The runs of a manifest of ``training_sweep``; none if there is no such folder yet.
+
+    Of runs under one key, which only sessions at the same time leave, the
+    fastest counts.
+    """
+    try:
+        found = spark.read.schema(SWEEP_SCHEMA).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], SWEEP_SCHEMA)
+    rest = [c for c in SWEEP_SCHEMA.names if c not in RUN_KEY]
+    best = F.min_by(F.struct(*rest), "training_time").alias("run")
+    return found.groupBy(*RUN_KEY).agg(best).select(*RUN_KEY, "run.*").select(*SWEEP_SCHEMA.names)
+
+
 def training_sweep(
     spark: SparkSession,
     setups: Mapping[str, Pipeline | CrossValidator],
     datasets: Mapping[str, str | DataFrame],
     partitions: Sequence[int | None] = (None,),
+    manifest: str | None = None,
     **options,
 ) -> DataFrame:
     """Training time of every setup on every dataset at every partition count.
 
     The runs follow one another, each with the whole cluster, so that their
     times can be compared; ``cores`` is the session's, ``partitions`` is added.
+
+    ``manifest`` is a folder to which every run is added as it ends. Runs found
+    in it under the same setup, dataset, cores, partitions and ratio are not done
+    again, so a sweep that broke off goes on, and sessions of other sizes add
+    theirs. The result then holds all runs of the manifest.
     """
+    cores = spark.sparkContext.defaultParallelism
+    ratio = float(options.get("train_ratio", 1.0))
+    done = set()
+    if manifest is not None:
+        done = {tuple(r) for r in read_manifest(spark, manifest).select(*RUN_KEY).collect()}
     rows = []
     for dataset_key, dataset in datasets.items():
         for setup_key, setup in setups.items():
             for count in partitions:
+                if (setup_key, dataset_key, cores, count, ratio) in done:
+                    continue
                 names = {
                     "setup": setup_key,
                     "dataset": dataset_key,
@@ -173,5 +208,9 @@ def training_sweep(
                     spark, setup, dataset, partitions=count, names=names, **options
                 )
                 rows.append((*report.first(), count))
-    fields = [*LOG_SCHEMA.fields, StructField("partitions", IntegerType())]
-    return spark.createDataFrame(rows, StructType(fields))
+                if manifest is not None:
+                    run = spark.createDataFrame(rows[-1:], SWEEP_SCHEMA).coalesce(1)
+                    run.write.mode("append").parquet(manifest)
+    if manifest is not None:
+        return read_manifest(spark, manifest)
+    return spark.createDataFrame(rows, SWEEP_SCHEMA)

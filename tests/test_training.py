@@ -141,6 +141,37 @@ def test_sweep_logs_every_run(spark, flows):
     assert all(r.training_time > 0 and r.train_ratio == 0.7 for r in rows)
 
 
+def test_manifest_skips_what_is_done_and_takes_other_sessions(spark, flows, tmp_path, monkeypatch):
+    path = str(tmp_path / "manifest")
+    assert training.read_manifest(spark, path).count() == 0
+    planned = {"DT": setup("DT")}
+    options = {"partitions": [2, None], "manifest": path}
+    first = training.training_sweep(spark, planned, {"e": flows}, **options).collect()
+    assert sorted((r.partitions is None, r.cores) for r in first) == [(False, 8), (True, 8)]
+
+    # A session of four cores did the same runs: they are others.
+    four = [(4, *r[1:]) for r in first]
+    four = spark.createDataFrame(four, training.SWEEP_SCHEMA)
+    four.write.mode("append").parquet(path)
+
+    def no_more(*args, **kwargs):
+        raise AssertionError("a run was done again")
+
+    monkeypatch.setattr(training, "train", no_more)
+    again = training.training_sweep(spark, planned, {"e": flows}, **options)
+    assert sorted(again.collect(), key=repr) == sorted([*first, *four.collect()], key=repr)
+    with pytest.raises(AssertionError):
+        training.training_sweep(spark, planned, {"e": flows}, train_ratio=0.5, **options)
+
+
+def test_manifest_takes_the_faster_of_two_runs_at_the_same_time(spark, tmp_path):
+    path = str(tmp_path / "manifest")
+    runs = [(8, "DT", "e", "DT_e", 1.0, 3.0, None), (8, "DT", "e", "DT_e", 1.0, 2.0, None)]
+    for run in runs:
+        spark.createDataFrame([run], training.SWEEP_SCHEMA).write.mode("append").parquet(path)
+    assert [tuple(r) for r in training.read_manifest(spark, path).collect()] == [runs[1]]
+
+
 def test_pipeline_setup_kind(spark):
     assert setups.setup_kind(Pipeline(stages=[])) == "pipeline"
     assert setups.setup_kind(setup("DT", grid={"maxDepth": [1]})) == "cross-validator"
