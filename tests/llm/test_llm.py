@@ -459,7 +459,9 @@ def test_archived_pages(spark):
 
 
 def test_top_products_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(topk, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(topk, "ANNULUS_ROWS", 16)
+    monkeypatch.setattr(topk, "LIST_BYTES", 2000)
+    monkeypatch.setattr(topk, "PIVOTS", 12)
     draw = np.random.default_rng(0)
     v = draw.normal(size=(400, 5)).round(3)
     v[100:250] = v[100]
@@ -477,6 +479,42 @@ def test_top_products_equal_brute_force(spark, monkeypatch):
     assert topk.top_products(table.where("vec_id IN (0, 5)").limit(2)).count() <= 1
 
 
+def test_top_products_of_odd_vectors(spark):
+    rows = [
+        (0, [1.0, 2.0]), (1, []), (2, [1e300, 0.0]), (3, [3.0]), (4, [0.0, 1.0, 5.0]), (5, [float("inf"), 0.0]),
+        (6, [2.0e6, 2.0e6]), (7, [-1e-9, 1.0]), (100, [0.0, 0.0, 1.0]),
+    ]
+    got = topk.top_products(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), k=3)
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in got.collect()}
+    unit = 1024 * 1024
+    assert got == {
+        (0, 1): (3, 3 * unit), (0, 2): (4, 2 * unit), (0, 3): (7, 2 * unit - 1024),
+        (100, 1): (4, 5 * unit), (100, 2): (0, 0), (100, 3): (3, 0),
+    }
+
+
+def test_annuli_are_left_out_once_no_bound_reaches_the_floor():
+    draw = np.random.default_rng(2)
+    v = np.rint(draw.normal(size=(8192, 4)) * 4096).astype(np.int64)
+    v[:64] = np.rint(draw.normal(size=(64, 4)) * 40).astype(np.int64) + 20_000
+    norm2 = float((v * v).sum(axis=1).max())
+    lifted = topk._lifted(v, norm2)
+    gaps = topk._distances(lifted, lifted[:1])[:, 0]
+    order = np.argsort(gaps, kind="stable")
+    ids, v, gaps = order.astype(np.int64), v[order], gaps[order]
+    at = np.flatnonzero(ids < 8)
+    away = topk._distances(np.hstack([v[at].astype(float), np.zeros((8, 1))]), lifted[:1])[:, 0]
+    floors = np.full(8, topk.NO_FLOOR, np.int64)
+    row, place, score, visited = topk.expand(ids[at], v[at], away, floors, ids, v, gaps, 10, norm2)
+    assert visited < 8192 // topk.ANNULUS_ROWS // 2
+    for i, x in enumerate(at):
+        products = v @ v[x]
+        want = sorted((-int(products[j]), int(ids[j])) for j in range(len(ids)) if j != x)[:10]
+        assert [(-int(s), int(ids[p])) for r, p, s in zip(row, place, score, strict=True) if r == i] == want
+    again = topk.expand(ids[at], v[at], away, np.full(8, 2**62), ids, v, gaps, 10, norm2)
+    assert len(again[0]) == 0 and again[3] == 0
+
+
 # --- the pipeline --------------------------------------------------------------
 
 
