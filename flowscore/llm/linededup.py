@@ -165,7 +165,8 @@ def dedup_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     Lines end at line feeds. A run of lines of at least ``least`` words
     (separated by white space) that occurs again, in this or another text, is
     kept where it occurs first, by doc_id (null first) and place, and taken out
-    elsewhere; shorter runs stay. Columns ``n_lines`` and ``removed`` (places
+    elsewhere; shorter runs stay. A later copy may overlap the first, as where one
+    line stands many times: the lines that both hold are then taken out too. Columns ``n_lines`` and ``removed`` (places
     from 0) are added, replacing any of that name; all others, repeated rows
     included, are passed through. Null text stays null and has no lines, empty
     text is one empty line; a text may lose all lines and is empty then. Rows of

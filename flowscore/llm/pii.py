@@ -44,6 +44,9 @@ NAMES = {
     ("woman", "cyrillic"): ["Анна", "Вера", "Галина", "Дарья", "Елена", "Жанна", "Ирина", "Ксения"],
 }
 
+# Attempts that keep the length of an address.
+WIDER_AFTER = 6
+
 
 def kind_of(entity: Column) -> Column:
     out = F.lit(None).cast("string")
@@ -112,6 +115,9 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column
     # The top level of a mail domain, a country code, an issuer's digit stay.
     host_end = n - F.length(F.substring_index(entity, ".", -1))
     mail = F.concat(_spelled(digest, F.substring(entity, F.lit(1), host_end), F.lit(0)), F.substring(entity, host_end + 1, n))
+    # A format may have fewer values than entities: later attempts are longer, one letter each.
+    more = F.substring(digest, F.lit(1), attempt - WIDER_AFTER + 1)
+    mail = F.concat(F.when(attempt >= WIDER_AFTER, more).otherwise(""), mail)
     spelled_card = _spelled(digest, F.substring(entity, F.lit(1), n - 1), F.lit(1))
     check = (F.lit(20) + _luhn(entity) - _luhn(F.concat(spelled_card, F.lit("0")))) % 10
     octet = lambda i: (_nibble(digest, F.lit(i)) % 254 + 1).cast("string")
@@ -159,7 +165,7 @@ def rendered(kind: Column, mention: Column, drawn: Column) -> Column:
     title = F.regexp_replace(mention, r"\p{L}+$", "")
     return (
         F.when(kind.isin("phone", "card", "ssn"), number)
-        .when(kind == "email", F.array_join(same_case, ""))
+        .when(kind == "email", F.concat(F.array_join(same_case, ""), F.substring(drawn, F.length(mention) + 1, F.length(drawn))))
         .when(kind.isin("man", "woman"), F.concat(title, drawn))
         .when(kind == "secret", F.concat(F.regexp_replace(mention, VALUE, ""), drawn))
         .otherwise(drawn)
@@ -170,7 +176,8 @@ def draw_surrogates(entities: DataFrame, key: str) -> DataFrame:
     """``kind, entity, drawn`` for the distinct ``kind, entity``: no two alike, none real.
 
     The smallest entity keeps a surrogate that several draw; the others, and
-    those that drew an entity of the corpus, draw again.
+    those that drew an entity of the corpus, draw again. After WIDER_AFTER rounds
+    addresses get longer, so that they end where a format has too few values.
     """
     real = entities.select("kind", F.col("entity").alias("drawn"))
     pending = entities.withColumn("attempt", F.lit(0))

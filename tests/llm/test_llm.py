@@ -211,6 +211,16 @@ def test_secrets_of_any_case_and_spelling(spark):
     assert blank(row.text, row.surrogates) == blank(text, [*values, "me@mail.example.com"])
 
 
+def test_surrogates_end_where_a_format_has_too_few_values(spark):
+    real = [f"{i}@{j}.co" for i in range(8) for j in range(8)]
+    entities = spark.createDataFrame([("email", x) for x in real], "kind string, entity string")
+    drawn = {r.entity: r.drawn for r in pii.draw_surrogates(entities, "key").collect()}
+    assert sorted(drawn) == sorted(real) and len(set(drawn.values())) == 64
+    assert not set(drawn.values()) & set(real)
+    row = spark.createDataFrame([("email", "1@2.CO", "ab3@4.co")], "k string, m string, d string")
+    assert row.select(pii.rendered(F.col("k"), F.col("m"), F.col("d")).alias("x")).head().x == "ab3@4.co"
+
+
 def test_surrogates_are_distinct_and_not_real(spark):
     names = [chr(65 + i // 20) + "abcdefghijklmnopqrst"[i % 20] for i in range(300)] + ["Adam", "Hugo"]
     entities = spark.createDataFrame([("man", n) for n in names], "kind string, entity string")
