@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowscore.llm.scratch import bounded_batches
+
 _BUCKETS = 1 << 16
 _SPREAD = 40503
 # A piece of a word is one integer: from the top the id that it and its right
@@ -33,7 +35,7 @@ FOLD_BYTES = 512
 CHUNK_BYTES = 1 << 20
 # Bytes of merged words that a task keeps. Beyond it, it begins anew: a word that
 # comes again is merged again.
-KEPT_BYTES = 1 << 22
+KEPT_BYTES = 1 << 23
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -353,6 +355,7 @@ def _reassembled(chunks: DataFrame, ranks: dict[bytes, int], decoded: bool) -> D
 
 def _merged_chunks(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """The chunks of ``docs``, their distinct words merged by the fold."""
+    bounded_batches(docs.sparkSession)
     pairs = ranked_pairs(ranks)
     # (?U): white space is Unicode's, as the pattern means it.
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"(?U){pattern}"), F.lit(0))
@@ -387,6 +390,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     Decoding concatenates the bytes of the tokens; they need not be valid UTF-8.
     Null ids give null.
     """
+    bounded_batches(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast(_tokens_by_id(ranks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from flowscore.session import run_path
 
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+# Bytes after which an Arrow batch of texts is sent to a Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let the session's Arrow batches end after BATCH_BYTES, unless they end sooner already.
+
+    Batches of 10,000 rows hold as much as the texts are long, once in the
+    executor and again in each Python worker of a task. A row is never split.
+    """
+    number, unit = re.fullmatch(r"(\d+)([kmgtp]?)b?", spark.conf.get(BATCH_SETTING).lower()).groups()
+    if int(number) << 10 * " kmgtp".index(unit or " ") > BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once to the shared folder and read back; see ``discard``."""

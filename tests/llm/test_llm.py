@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from conftest import DATA
-from flowscore.llm import bpe, chat, decontam, langid, linededup, minhash, pii, topk, toxicity, warc
+from flowscore.llm import bpe, chat, decontam, langid, linededup, minhash, pii, scratch, topk, toxicity, warc
 from flowscore.llm import queries as Q
 from flowscore.llm.graph import components
 from flowscore.llm.hashing import ALNUM, SPACED, mix, shingle_sets, span_hashes, words
@@ -552,3 +552,28 @@ def test_ranks_are_read():
     with open(public_tokenizers.path(Q.RANK_FILE), "rb") as lines:
         token, rank = next(lines).split()
     assert RANKS[base64.b64decode(token)] == int(rank)
+
+
+# --- Arrow batches ---------------------------------------------------------------
+
+
+def arrow_batches(df):
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    return [r.n for r in df.select("text").mapInArrow(run, "n bigint").collect()]
+
+
+@pytest.mark.parametrize("name", ["op1"])
+def test_long_texts_do_not_travel_in_one_batch(spark, name):
+    run = {"op1": lambda df: bpe.encode(df, RANKS, public_tokenizers.PATTERN)}[name]
+    long = spark.range(40, numPartitions=1).selectExpr("id AS doc_id", "repeat('some words ', 50000) AS text")
+    was = spark.conf.get(scratch.BATCH_SETTING)
+    try:
+        for given, most in (("64m", scratch.BATCH_BYTES), ("1m", 1 << 20), ("1g", scratch.BATCH_BYTES)):
+            spark.conf.set(scratch.BATCH_SETTING, given)
+            run(long)
+            assert max(arrow_batches(long)) <= most + 600_000
+    finally:
+        spark.conf.set(scratch.BATCH_SETTING, was)
