@@ -9,6 +9,8 @@ the digits is added to the scores; the network learns what the context adds.
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 
 # Positions of a window, and how many of them a window after the first one scores.
@@ -209,7 +211,7 @@ class Attention:
             if gate is None:
                 d_states += d_inputs
             else:
-                np.add.at(grads[gate], gate_row, d_inputs * states)
+                _add_rows(grads[gate], gate_row, d_inputs * states)
                 d_states += d_inputs * w[gate][gate_row]
         dy = np.zeros_like(y)
         dy[scored] = d_states
@@ -231,26 +233,83 @@ class Attention:
             grads[name] += flat(x).T @ flat(dt)
             dx += dt @ w[name].T
         grads["p"][: ids.shape[1]] += dx.sum(axis=0)
-        np.add.at(grads["e"], ids.ravel(), flat(dx))
+        _add_rows(grads["e"], ids.ravel(), flat(dx))
         return loss, grads
 
+    def copy(self) -> Attention:
+        """The same model with weights of its own."""
+        out = copy.copy(self)
+        out.weights = {name: w.copy() for name, w in self.weights.items()}
+        return out
+
     def fit(self, windows: list[list[int]], steps: int, batch: int = 64, rate: float = 0.01, seed: int = 5) -> None:
         """Adam over windows drawn at random; every position of a window counts."""
         windows = [w[: WINDOW + 1] for w in windows if len(w) > 1]
         if not windows:
             return
         draw = np.random.default_rng(seed)
-        first = {name: np.zeros_like(value) for name, value in self.weights.items()}
-        second = {name: np.zeros_like(value) for name, value in self.weights.items()}
-        for step in range(1, steps + 1):
+        adam = Adam(self.weights)
+        for step in range(steps):
             chosen = [windows[i] for i in draw.integers(0, len(windows), batch)]
             _, grads = self.gradients(*padded(chosen))
-            now = rate * (1 - (step - 1) / steps)
-            for name, g in grads.items():
-                first[name] += 0.1 * (g - first[name])
-                second[name] += 0.01 * (g * g - second[name])
-                slope = first[name] / (1 - 0.9**step)
-                self.weights[name] -= now * slope / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)
+            adam.step(grads, rate * (1 - step / steps))
+
+    def learn(self, adam: Adam, ids: np.ndarray, sizes: np.ndarray, begin: int, rate: float, batch: int = 512) -> None:
+        """One pass of ``adam`` over all ids of the sequences that ``ids`` holds one after the other.
+
+        Every id is a target once, in windows side by side whose order is drawn
+        at random; the context of a sequence starts with ``begin``.
+        """
+        starts, inputs = _shifted(ids, sizes, begin)
+        counts = -(-sizes // WINDOW)
+        owner = np.repeat(np.arange(len(sizes)), counts)
+        first = (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)) * WINDOW
+        order = np.random.default_rng(len(owner)).permutation(len(owner))
+        place = np.arange(WINDOW)
+        for low in range(0, len(order), batch):
+            some = order[low : low + batch]
+            at = first[some][:, None] + place
+            there = at < sizes[owner[some]][:, None]
+            flat = np.where(there, starts[owner[some]][:, None] + at, 0)
+            _, grads = self.gradients(inputs[flat], ids[flat], there)
+            adam.step(grads, rate)
+
+
+class Adam:
+    """Adam's moments of some weights, which its steps change in place."""
+
+    def __init__(self, weights: dict[str, np.ndarray]) -> None:
+        self.weights, self.steps = weights, 0
+        self.first = {name: np.zeros_like(value) for name, value in weights.items()}
+        self.second = {name: np.zeros_like(value) for name, value in weights.items()}
+
+    def step(self, grads: dict[str, np.ndarray], rate: float) -> None:
+        self.steps += 1
+        for name, g in grads.items():
+            first, second = self.first[name], self.second[name]
+            first += 0.1 * (g - first)
+            second += 0.01 * (g * g - second)
+            slope = first / (1 - 0.9**self.steps)
+            self.weights[name] -= rate * slope / (np.sqrt(second / (1 - 0.99**self.steps)) + 1e-8)
+
+
+def _add_rows(out: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """Add each of ``values`` to its row of ``out``; rows may repeat."""
+    if not len(rows):
+        return
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    begin = np.flatnonzero(np.diff(rows, prepend=rows[0] - 1))
+    out[rows[begin]] += np.add.reduceat(values[order], begin, axis=0)
+
+
+def _shifted(ids: np.ndarray, sizes: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each sequence starts, and the id before every id."""
+    starts = np.cumsum(sizes) - sizes
+    inputs = np.empty_like(ids)
+    inputs[1:] = ids[:-1]
+    inputs[starts[sizes > 0]] = begin
+    return starts, inputs
 
 
 def padded(windows: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -274,10 +333,7 @@ def score_streams(model: Attention, ids: np.ndarray, sizes: np.ndarray, begin: i
     out = np.zeros(len(ids))
     if not len(ids):
         return out
-    starts = np.cumsum(sizes) - sizes
-    inputs = np.empty_like(ids)
-    inputs[1:] = ids[:-1]
-    inputs[starts[sizes > 0]] = begin
+    starts, inputs = _shifted(ids, sizes, begin)
     counts = np.where(sizes > 0, 1 + np.maximum(0, -(-(sizes - WINDOW) // STRIDE)), 0)
     owner = np.repeat(np.arange(len(sizes)), counts)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)

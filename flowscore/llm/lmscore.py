@@ -4,9 +4,9 @@ Texts are cut into words once, in chunks of some megabytes: a chunk keeps its
 distinct words, and each document the places of its words among them. The chunks'
 words are shuffled by word, counted over all learning documents, and go back to
 their chunks, where every document is scored. What the
-corpus says about single words and subword ids comes from all of it; the network
-on top is first fitted on a bounded sample and then by replicas, each on its part
-of a fixed share of the corpus, whose weights are averaged.
+corpus says about single words and subword ids comes from all of it; so does the
+network on top: fitted on some windows to begin with, it goes on in replicas, one for
+each task, which read every learning document whole and whose weights are averaged.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from flowscore.llm.attention import Attention, Codes, score_streams, spectral_order
-from flowscore.llm.scratch import stored
+from flowscore.llm.attention import Adam, Attention, Codes, score_streams, spectral_order
+from flowscore.llm.scratch import bounded_batches, stored
 
 # Bytes of text in a chunk, unless one text alone has more.
 CHUNK_BYTES = 16 << 20
@@ -34,20 +34,22 @@ SMOOTHING = 0.1
 WORDS_A_ROW = 4096
 # Weight of the words' shares in the corpus beside the network.
 COUNT_SHARE = 0.4
-# Words of a training window, and of how many windows one is kept, by a hash.
-WINDOW_WORDS, KEPT = 16, 8
-# The first fit sees at most so many windows, the least by a hash of DRAW_BITS.
-FIT_WINDOWS, FIT_STEPS, DRAW_BITS = 20_000, 500, 56
-# How often it sees each of them at most.
-FIT_EPOCHS = 6
-# Of how many kept windows a replica reads one, the replicas, and a replica's share of steps.
-REFINED, REPLICAS, WINDOWS_A_STEP = 16, 8, 64
-REFINE_RATE = 0.002
+# Words of a window of the first fit, which sees at most so many, the least by a hash of DRAW_BITS.
+WINDOW_WORDS, FIT_WINDOWS, FIT_STEPS, DRAW_BITS = 16, 20_000, 500, 56
+# How often it sees each of them at most, and how many at a time.
+FIT_EPOCHS, WINDOWS_A_STEP = 6, 64
+# Step size of the replicas that read everything.
+LEARN_RATE = 0.002
+# Weights of a replica that travel in one row.
+WEIGHTS_A_ROW = 1 << 14
+# Words that are cut into subword ids at a time, and ids that are scored at a time.
+WORDS_A_TIME, IDS_A_TIME = 1 << 15, 1 << 19
 
 ENCODED = (
     "kind string, chunk bigint, doc_id bigint, held_out boolean, places array<int>, "
-    "place int, n array<bigint>, words array<string>, first boolean, last boolean, draw bigint"
+    "place int, n array<bigint>, words array<string>"
 )
+WINDOWS = "words array<string>, first boolean, last boolean, draw bigint"
 _FIELDS = [
     ("kind", pa.string()),
     ("chunk", pa.int64()),
@@ -57,9 +59,6 @@ _FIELDS = [
     ("place", pa.int32()),
     ("n", pa.list_(pa.int64())),
     ("words", pa.list_(pa.string())),
-    ("first", pa.bool_()),
-    ("last", pa.bool_()),
-    ("draw", pa.int64()),
 ]
 _SCHEMA = pa.schema(_FIELDS)
 
@@ -100,39 +99,48 @@ def _batch(kind: str, size: int, **columns: pa.Array) -> pa.RecordBatch:
     )
 
 
-def _windows(lists: pa.ListArray, learned: np.ndarray, draws: np.ndarray) -> pa.RecordBatch | None:
-    """Runs of words that the network may learn from: one of KEPT, by a hash of text and place."""
+def _windows(lists: pa.ListArray, draws: np.ndarray, share: float) -> pa.RecordBatch:
+    """Runs of words that the first fit may see: a share of them, by a hash of text and place."""
     sizes = pc.list_value_length(lists).to_numpy()
-    counts = np.where(learned, -(-sizes // WINDOW_WORDS), 0)
+    counts = -(-sizes // WINDOW_WORDS)
     row = np.repeat(np.arange(len(sizes)), counts)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
     mixed = (draws[row].astype(np.uint64) + nth.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
     mixed ^= mixed >> np.uint64(32)
-    kept = np.flatnonzero(mixed % np.uint64(KEPT) == 0)
-    if not len(kept):
-        return None
-    row, nth, mixed = row[kept], nth[kept], mixed[kept]
+    draw = (mixed >> np.uint64(64 - DRAW_BITS)).astype(np.int64)
+    kept = np.flatnonzero(draw <= int(share * 2**DRAW_BITS))
+    row, nth = row[kept], nth[kept]
     starts = lists.offsets.to_numpy()[:-1][row] + nth * WINDOW_WORDS
     widths = np.minimum(WINDOW_WORDS, sizes[row] - nth * WINDOW_WORDS)
     at = np.repeat(starts, widths) + np.arange(widths.sum()) - np.repeat(np.cumsum(widths) - widths, widths)
     bounds = np.append(0, np.cumsum(widths)).astype(np.int32)
-    return _batch(
-        "window",
-        len(kept),
-        words=pa.ListArray.from_arrays(pa.array(bounds), lists.values.take(pa.array(at))),
-        first=pa.array(nth == 0),
-        last=pa.array((nth + 1) * WINDOW_WORDS >= sizes[row]),
-        draw=pa.array((mixed >> np.uint64(64 - DRAW_BITS)).astype(np.int64)),
+    words = pa.ListArray.from_arrays(pa.array(bounds), lists.values.take(pa.array(at)))
+    ends = [pa.array(nth == 0), pa.array((nth + 1) * WINDOW_WORDS >= sizes[row])]
+    return pa.RecordBatch.from_arrays(
+        [words, *ends, pa.array(draw[kept])], names=["words", "first", "last", "draw"]
     )
 
 
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, put together until they hold the text of a chunk."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= CHUNK_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def encode(docs: DataFrame) -> DataFrame:
-    """Documents as places in their chunk's words, the words of each chunk, and windows."""
+    """Documents as places in their chunk's words, and the words of each chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _chunked(batches):
             for low, high in _runs(batch.column("text")):
                 part = batch.slice(low, high - low)
                 held = part.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
@@ -156,16 +164,12 @@ def encode(docs: DataFrame) -> DataFrame:
                     words=pa.ListArray.from_arrays(bounds, coded.dictionary),
                     n=pa.ListArray.from_arrays(bounds, pa.array(counts.astype(np.int64))),
                 )
-                windows = _windows(lists, ~held, part.column("draw").to_numpy())
-                if windows is not None:
-                    yield windows
 
     doc_id = F.col("doc_id").cast("bigint")
     rows = docs.select(
         doc_id.alias("doc_id"),
         "text",
         held_out(doc_id).alias("held_out"),
-        F.xxhash64("text", doc_id).alias("draw"),
         F.monotonically_increasing_id().alias("row"),
     )
     return rows.mapInArrow(run, ENCODED)
@@ -193,9 +197,12 @@ class Subwords:
 
     def all_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of some words, one after the other, and how many each has."""
-        ids = [self.ids(word) for word in words.to_pylist()]
-        sizes = np.array([len(i) for i in ids], np.int64)
-        return np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum())), sizes
+        found, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for low in range(0, len(words), WORDS_A_TIME):
+            ids = [self.ids(word) for word in words.slice(low, WORDS_A_TIME).to_pylist()]
+            sizes.append(np.array([len(i) for i in ids], np.int64))
+            found.append(np.fromiter(chain.from_iterable(ids), np.int32, int(sizes[-1].sum())))
+        return np.concatenate(found), np.concatenate(sizes)
 
     def window(self, words: list[str], first: bool, last: bool) -> list[int]:
         """The ids of some words of a text, with what stands before its first and after its last."""
@@ -258,52 +265,92 @@ def _piece_counts(words: DataFrame, subwords: Subwords) -> np.ndarray:
     return out
 
 
-def _refined(windows: DataFrame, model: Attention, subwords: Subwords) -> Attention:
-    """The mean of replicas that went on from ``model``, each over its windows once."""
-    spark = windows.sparkSession
-    shared = spark.sparkContext.broadcast((model, subwords))
-    names = list(model.weights)
+def _spread(begins: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """Places of the items of runs that begin somewhere, one run after the other."""
+    return np.repeat(begins - (np.cumsum(widths) - widths), widths) + np.arange(widths.sum())
+
+
+def refined(learned: DataFrame, model: Attention, subwords: Subwords) -> Attention:
+    """``model`` after every text of ``learned``: the mean of replicas that went on from it.
+
+    Each task is a replica and reads all its texts once, every subword id and end
+    as a target. Weights are summed by their place, so that a task holds one model.
+    """
+    shared = learned.sparkSession.sparkContext.broadcast((model, subwords))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        replica, words = shared.value
-        seen = 0
+        given, words = shared.value
+        # A worker that runs several tasks gets the same object again.
+        replica = given.copy()
+        adam, seen = Adam(replica.weights), 0
         for batch in batches:
-            for low in range(0, batch.num_rows, 4096):
-                part = batch.slice(low, 4096)
-                ids = [words.window(*row) for row in zip(*(part.column(c).to_pylist() for c in ("words", "first", "last")), strict=True)]
-                replica.fit(ids, -(-len(ids) // WINDOWS_A_STEP), rate=REFINE_RATE)
-                seen += len(ids)
+            lists = text_words(batch.column("text"))
+            lengths = pc.list_value_length(lists).to_numpy()
+            coded = pc.dictionary_encode(lists.flatten())
+            pieces, widths = words.all_ids(coded.dictionary)
+            begins, sizes = np.append(np.cumsum(widths) - widths, len(pieces)), np.append(widths, 1)
+            ends = np.cumsum(lengths)
+            tokens = np.insert(coded.indices.to_numpy(), ends, len(widths))
+            ids = np.append(pieces, np.int32(words.end))[_spread(begins[tokens], sizes[tokens])]
+            of_doc = np.add.reduceat(sizes[tokens], ends - lengths + np.arange(len(lengths)))
+            replica.learn(adam, ids, of_doc, words.end, LEARN_RATE)
+            seen += len(ids)
         if seen:
-            data = [np.ascontiguousarray(replica.weights[name]).tobytes() for name in names]
+            for name, w in replica.weights.items():
+                flat = w.ravel()
+                rows = [flat[i : i + WEIGHTS_A_ROW].tobytes() for i in range(0, len(flat), WEIGHTS_A_ROW)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([name] * len(rows)),
+                        pa.array(np.arange(len(rows), dtype=np.int32)),
+                        pa.array(rows, pa.binary()),
+                        pa.array(np.full(len(rows), seen)),
+                    ],
+                    names=["name", "part", "data", "seen"],
+                )
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {}
+        for batch in batches:
+            for name, part, data, seen in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                total, n = sums.get((name, part), (0.0, 0))
+                sums[name, part] = total + np.frombuffer(data, np.float32) * np.float64(seen), n + seen
+        for (name, part), (total, n) in sums.items():
+            columns = [[name], pa.array([part], pa.int32()), [(total / n).astype(np.float32).tobytes()], [n]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names), pa.array(data, pa.binary()), pa.array([seen] * len(names), pa.int64())],
-                names=["name", "data", "seen"],
+                [c if isinstance(c, pa.Array) else pa.array(c) for c in columns],
+                names=["name", "part", "data", "seen"],
             )
 
-    chosen = windows.where(F.col("draw") % REFINED == 0)
-    dealt = chosen.repartition(REPLICAS).sortWithinPartitions("draw", "words")
-    table = dealt.mapInArrow(run, "name string, data binary, seen bigint").toArrow().to_pylist()
-    for name in names:
-        rows = [r for r in table if r["name"] == name]
-        total = sum(r["seen"] for r in rows)
-        if total:
-            shape = model.weights[name].shape
-            arrays = [np.frombuffer(r["data"], np.float32).reshape(shape) * (r["seen"] / total) for r in rows]
-            model.weights[name] = np.sum(arrays, axis=0, dtype=np.float32)
+    schema = "name string, part int, data binary, seen bigint"
+    parts = learned.select("text").mapInArrow(run, schema)
+    # Sorted, so that sums are the same however the rows arrive.
+    parts = parts.repartition("name", "part").sortWithinPartitions("name", "part", "seen", "data")
+    table = parts.mapInArrow(summed, schema).toArrow().sort_by([("name", "ascending"), ("part", "ascending")])
+    for name, w in model.weights.items():
+        data = table.filter(pc.equal(table.column("name"), name)).column("data").to_pylist()
+        if data:
+            model.weights[name] = np.frombuffer(b"".join(data), np.float32).reshape(w.shape).copy()
     return model
 
 
-def fit_network(windows: DataFrame, counts: np.ndarray, subwords: Subwords) -> Attention:
-    """The attention model: a first fit on FIT_WINDOWS windows at most, then replicas."""
+def fit_network(learned: DataFrame, corpus: Corpus, counts: np.ndarray, subwords: Subwords) -> Attention:
+    """The attention model: begun on FIT_WINDOWS windows at most, then over all of ``doc_id, text``."""
+    most = corpus.tokens / WINDOW_WORDS + corpus.texts
+    share = min(1.0, FIT_WINDOWS / max(1.0, most))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _windows(text_words(batch.column("text")), batch.column("draw").to_numpy(), share)
+
     fields = ("words", "first", "last")
-    share = min(1.0, FIT_WINDOWS / max(1, windows.count()))
-    least = windows.where(F.col("draw") <= int(share * 2**DRAW_BITS)).orderBy("draw", "words")
-    sample = least.select(*fields).limit(FIT_WINDOWS).toArrow().to_pylist()
+    drawn = learned.select("text", F.xxhash64("text", "doc_id").alias("draw")).mapInArrow(run, WINDOWS)
+    sample = drawn.orderBy("draw", "words").limit(FIT_WINDOWS).select(*fields).toArrow().to_pylist()
     ids = [subwords.window(*(row[name] for name in fields)) for row in sample]
     codes = Codes(spectral_order(ids, len(counts)), counts)
     model = Attention(codes, len(counts))
     model.fit(ids, min(FIT_STEPS, -(-FIT_EPOCHS * len(ids) // WINDOWS_A_STEP)), WINDOWS_A_STEP)
-    return _refined(windows, model, subwords)
+    return refined(learned, model, subwords)
 
 
 @dataclass
@@ -355,24 +402,21 @@ def _scored(
 
         places = docs.column("places").combine_chunks()
         lengths = pc.list_value_length(places).to_numpy()
-        ends = np.cumsum(lengths)
-        tokens = np.insert(places.flatten().to_numpy(), ends, len(order))
-        starts = ends - lengths + np.arange(len(lengths))
-        base = np.add.reduceat(told.log10_share(counts)[tokens], starts)
-        known = np.add.reduceat((counts > 0)[tokens].astype(np.int64), starts)
-        of_doc = np.add.reduceat(sizes[tokens], starts)
-
+        values, ends = places.flatten().to_numpy(), np.cumsum(lengths)
+        smoothed, totals = told.log10_share(counts), np.append(0, np.cumsum(lengths.astype(np.int64) + 1))
+        base, known = np.zeros(len(lengths)), np.zeros(len(lengths), np.int64)
         score, network_score, low = np.zeros(len(lengths)), np.zeros(len(lengths)), 0
-        while low < len(lengths):  # some documents at a time, a million ids or one document
-            upto = np.cumsum(of_doc[low:])
-            high = low + max(1, int(np.searchsorted(upto, 1 << 20, "right")))
-            last = starts[high] if high < len(starts) else len(tokens)
-            own = tokens[starts[low] : last]
+        while low < len(lengths):  # some documents at a time
+            high = max(int(np.searchsorted(totals, totals[low] + IDS_A_TIME // 2, "right")) - 1, low + 1)
+            begin = ends[low] - lengths[low]
+            own = np.insert(values[begin : ends[high - 1]], ends[low:high] - begin, len(order))
+            first = totals[low:high] - totals[low]
+            base[low:high] = np.add.reduceat(smoothed[own], first)
+            known[low:high] = np.add.reduceat((counts[own] > 0).astype(np.int64), first)
             width = sizes[own]
-            at = np.repeat(begins[own] - (np.cumsum(width) - width), width) + np.arange(width.sum())
-            by_id = score_streams(network, flat[at], of_doc[low:high], end)
+            of_doc = np.add.reduceat(width, first)
+            by_id = score_streams(network, flat[_spread(begins[own], width)], of_doc, end)
             by_word = np.add.reduceat(by_id, np.cumsum(width) - width)
-            first = starts[low:high] - starts[low]
             network_score[low:high] = np.add.reduceat(by_word, first)
             score[low:high] = np.add.reduceat(told.mixed(counts[own], by_word), first)
             low = high
@@ -408,6 +452,7 @@ def lm_scores(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     learned the counts are 0 and the network is as it was drawn. Runs jobs when called.
     """
     spark: SparkSession = docs.sparkSession
+    bounded_batches(spark)
     subwords = Subwords(path, pattern)
     encoded = stored(encode(docs), "lm-encoded")
     looked_up = stored(look_up(encoded), "lm-words")
@@ -416,7 +461,7 @@ def lm_scores(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     texts = encoded.where("kind = 'doc' AND NOT held_out").count()
     corpus = Corpus((tokens or 0) + texts, distinct + (texts > 0), texts)
     pieces = np.append(_piece_counts(words, subwords), texts)
-    windows = encoded.where("kind = 'window'").select("words", "first", "last", "draw")
-    model = fit_network(windows, pieces, subwords)
+    learned = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(~held_out())
+    model = fit_network(learned, corpus, pieces, subwords)
     lexicon = looked_up.select("chunk", "place", "word", "c")
     return _scored(encoded, lexicon, corpus, model, subwords)

@@ -565,9 +565,10 @@ def arrow_batches(df):
     return [r.n for r in df.select("text").mapInArrow(run, "n bigint").collect()]
 
 
-@pytest.mark.parametrize("name", ["op1"])
+@pytest.mark.parametrize("name", ["op1", "op7"])
 def test_long_texts_do_not_travel_in_one_batch(spark, name):
-    run = {"op1": lambda df: bpe.encode(df, RANKS, public_tokenizers.PATTERN)}[name]
+    encode = lambda df: bpe.encode(df, RANKS, public_tokenizers.PATTERN)
+    run = {"op1": encode, "op7": linededup.dedup_lines}[name]
     long = spark.range(40, numPartitions=1).selectExpr("id AS doc_id", "repeat('some words ', 50000) AS text")
     was = spark.conf.get(scratch.BATCH_SETTING)
     try:

@@ -13,9 +13,11 @@ import pytest
 from conftest import DATA
 from flowscore.llm import attention as A
 from flowscore.llm import lmscore as L
+from flowscore.llm.bpe import read_ranks
 from flowscore.llm.queries import RANK_FILE
 
 PATH, PATTERN = public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN
+NAMES = {rank: token for token, rank in read_ranks(PATH).items()}
 DOCS = "doc_id bigint, text string, held_out string, word string, kind string, score string"
 
 
@@ -135,3 +137,37 @@ def test_held_out_texts_are_likelier_than_by_either_part(spark):
     assert sum(r.score for r in held) > sum(r.network_score for r in held)
     # Single ids give 5.6 nats each, some 2.4 ids a word.
     assert sum(r.network_score for r in held) / sum(r.n_tokens for r in held) > -5.6 * 2.43 / math.log(10)
+
+
+def test_every_id_is_learned_once(monkeypatch):
+    model, draw = small_model(exact=False)
+    sizes = np.array([1, A.WINDOW, A.WINDOW + 1, 0, 200, 7])
+    ids = draw.integers(0, 50, int(sizes.sum()))
+    asked, real = [], model.gradients
+    monkeypatch.setattr(model, "gradients", lambda i, t, s: asked.append((i[s], t[s])) or real(i, t, s))
+    model.learn(A.Adam(model.weights), ids, sizes, 49, 0.01, batch=3)
+    want = []
+    for n, low in zip(sizes, np.cumsum(sizes) - sizes, strict=True):
+        own = ids[low : low + n].tolist()
+        want += zip([49, *own[:-1]], own, strict=True) if n else []
+    got = zip(*(np.concatenate(x).tolist() for x in zip(*asked, strict=True)), strict=True)
+    assert sorted(got) == sorted(want)
+
+
+def test_the_network_learns_from_every_document(spark):
+    subwords = L.Subwords(PATH, PATTERN)
+    # Each text has a subword id that no other text has; 128 of them would be one window learned.
+    rare = [i for i in range(1000, 20000) if re.fullmatch(" [a-z]{5,}", name_of(i))][:130]
+    rows = [(i, f"{name_of(token).strip()} the end") for i, token in enumerate(rare)]
+    learned = spark.createDataFrame([*rows, (None, None)], "doc_id bigint, text string").repartition(3)
+    model = A.Attention(A.Codes(np.arange(subwords.end + 1), np.ones(subwords.end + 1)), subwords.end + 1)
+    before = {name: w.copy() for name, w in model.weights.items()}
+    after = L.refined(learned, model, subwords).weights
+    assert (after["e"][rare] != before["e"][rare]).any(axis=1).all()
+    unseen = np.setdiff1d(np.arange(subwords.end), [i for _, text in rows for w in text.split() for i in subwords.ids(w)])
+    assert after["e"][unseen] == pytest.approx(before["e"][unseen])
+    assert all(np.isfinite(w).all() for w in after.values())
+
+
+def name_of(token):
+    return NAMES.get(token, b"").decode("utf-8", "replace")
