@@ -21,7 +21,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType
 from pyspark.sql.window import Window
 
 from flowscore.llm.hashing import SPACED, id_filter, parted, span_hashes, text_chunks, words
-from flowscore.llm.scratch import discard, stored
+from flowscore.llm.scratch import bounded_batches, discard, stored
 
 MIN_WORDS = 50
 ROW = ["doc", "version"]
@@ -172,6 +172,7 @@ def dedup_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     text is one empty line; a text may lose all lines and is empty then. Rows of
     equal doc_id and text count as one text. No rows give no rows.
     """
+    bounded_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("n_lines", "removed")]
     own = docs.select(*kept).withColumns(
         {
