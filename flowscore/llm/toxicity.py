@@ -2,14 +2,15 @@
 
 A toxic and an ordinary model share their last backoff, the continuation
 counts of words over both classes, so that an expression seen in neither class
-says little. A document's feature is the difference of the two log-likelihoods
-per word; a logistic curve, fitted on labelled documents that were not counted,
-turns it into a score.
+says little. A document's ratio is the difference of the two log-likelihoods
+per word. It is one feature; the other adds up what those expressions say whose
+class counts differ beyond chance. A logistic curve over both, fitted on
+labelled documents that were not counted, turns them into a score.
 
 Words and bigrams are counted exactly by Spark and keyed by 64-bit hashes. Each
-whose classes differ beyond chance is an entry of a stored table that grows with
+counted word, context and bigram is an entry of a stored table that grows with
 the input. Scoring looks texts up in it by a join; of fixed size are only a
-filter in front of that join and the commonest entries, which are broadcast.
+filter over words and contexts and the commonest entries, which are broadcast.
 """
 
 from __future__ import annotations
@@ -21,37 +22,41 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 
 from flowscore.llm.hashing import ALNUM, FILTER_BITS, folded, id_filter, passing, text_chunks, words
 from flowscore.llm.scratch import discard, stored
 
 DISCOUNT = 0.75
-# Standard deviations that class counts must differ by to count for a class.
+# Standard deviations that class counts must differ by to count for the second feature.
 SIGMAS = 4.0
 # Documents that the logistic curve is fitted on, at most.
 CURVE_DOCS = 20_000
 # Keys with at least this part of all rows are joined by broadcast: never more keys than that.
-HOT = 4096
-# Entries with at least this part of all words (or bigrams) are sent to the workers, 16 bytes
-# each: never more of a kind than that, whatever the input.
+HOT = 1 << 16
+# Entries with at least this part of all words (contexts, bigrams) are sent to the workers, 24
+# bytes each: never more of a kind than that, whatever the input.
 COMMON = 1 << 20
 _U = np.uint64
 
 
 @dataclass
 class Model:
-    """``key, value`` of every entry, and what is sent to the workers.
-
-    ``keys`` (sorted) and ``values`` are the commonest entries, ``bits`` a
-    filter over the keys of the others. The value of a word is its log-ratio,
-    that of a bigram what its log-ratio has above that of its word.
+    """``key, value, clear`` of every entry, and what is sent to the workers.
+
+    ``keys`` (sorted) and ``values`` (two rows: value, clear) are the commonest
+    entries, ``bits`` a filter over the keys of the other words and contexts.
+    The value of a word is its log-ratio above that of a word never seen, which
+    is ``unseen``; that of a context the log-ratio of its backoff weights; that
+    of a bigram what its log-ratio has above those of its context and word.
+    ``clear`` is the log-ratio of words and bigrams whose class counts differ
+    beyond chance (for a bigram above that of its word), else 0.
     """
 
     entries: DataFrame
     keys: np.ndarray
     values: np.ndarray
     bits: np.ndarray
+    unseen: float
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -67,9 +72,10 @@ def _bigrams(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return before, word, rows
 
 
-def _keys(before: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the entries of words and of bigrams."""
-    return folded([word]).view(np.int64), folded([before, word]).view(np.int64)
+def _keys(before: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the entries of words, of contexts and of bigrams."""
+    found = [word], [before, before, before], [before, word]
+    return tuple(folded(parts).view(np.int64) for parts in found)
 
 
 def count_bigrams(rows: DataFrame) -> DataFrame:
@@ -80,7 +86,7 @@ def count_bigrams(rows: DataFrame) -> DataFrame:
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
             for first, data, bounds in text_chunks(batch.column("text")):
                 before, word, row = _bigrams(data, bounds)
-                _, one_of, at = np.unique(_keys(before, word)[1], return_index=True, return_inverse=True)
+                _, one_of, at = np.unique(_keys(before, word)[2], return_index=True, return_inverse=True)
                 one = toxic[first + row].astype(np.float64)
                 n1 = np.bincount(at, one, len(one_of)).astype(np.int64)
                 n = np.bincount(at, minlength=len(one_of))
@@ -110,159 +116,198 @@ def _rare(share: Column) -> Column:
 
 
 def build_model(counts: DataFrame) -> Model:
-    """The entries: all words and bigrams whose class counts differ beyond chance.
+    """The entries: every word, context and bigram that was counted.
 
-    A class's probability is the discounted class count over its context, plus
-    the mass set free times the lower order; the lowest order is the
-    continuation count of the word over both classes. An expression whose class
-    counts do not differ beyond chance is rare evidence: both classes read it
-    from the shared lower order alone, and its ratio is that of the lower order.
+    A class gives a word after a context its discounted count there over that of
+    the context, plus the mass set free times the lower order; a context that the
+    class lacks frees all. The lower order is made alike of the word's continuation
+    counts in the class, and backs off to those over both classes. The first word
+    of a text stands after none and has the lower order.
     """
-    sums = [F.sum(c).alias(c) for c in ("n0", "n1")]
-    all_words = stored(counts.groupBy("word").agg(*sums, F.count("*").alias("pairs")), "words")
-    held = [F.sum((F.col(c) > 0).cast("bigint")) for c in ("n0", "n1")]
-    found = all_words.agg(F.count("*"), F.sum("pairs"), F.sum("n0"), F.sum("n1"), *held).head()
-    n_words, n_pairs, *per_class = [x or 0 for x in found]
+    held = [F.sum((F.col(f"n{c}") > 0).cast("bigint")) for c in "01"]
+    sums = [F.sum(f"n{c}") for c in "01"]
+    named = [x.alias(f"{name}{c}") for name, xs in (("n", sums), ("after", held)) for c, x in zip("01", xs, strict=True)]
+    all_words = stored(counts.groupBy("word").agg(F.count("*").alias("pairs"), *named), "words")
+    known = [F.sum((F.col(f"after{c}") > 0).cast("bigint")) for c in "01"]
+    totals = [F.sum(f"{name}{c}") for name in ("n", "after") for c in "01"]
+    found = all_words.agg(F.count("*"), F.sum("pairs"), *totals, *known).head()
+    n_words, n_pairs, n0, n1, *per_class = [x or 0 for x in found]
     # One word more than were counted: the unseen.
     shared = (F.col("pairs") + 0.5) / F.lit(n_pairs + 0.5 * (n_words + 1))
-    total = {c: float(max(1, n)) for c, n in zip("01", per_class[:2], strict=True)}
-    lower = {}
-    for c, n in zip("01", per_class[2:], strict=True):
-        free = max(DISCOUNT * n / total[c], 1 / total[c])
-        lower[c] = F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0)) / total[c] + F.lit(free) * shared
+    lower, free = {}, {}
+    for c, after, types in zip("01", per_class[:2], per_class[2:], strict=True):
+        free[c] = DISCOUNT * types / after if after else 1.0
+        kept = F.greatest(F.col(f"after{c}") - DISCOUNT, F.lit(0.0)) / F.lit(float(max(1, after)))
+        lower[c] = kept + F.lit(free[c]) * shared
+    unseen = float(np.log(free["1"]) - np.log(free["0"]))
+    share = F.lit(max(1, n1) / (max(1, n0) + max(1, n1)))
     ratio = F.log(lower["1"]) - F.log(lower["0"])
-    share = F.lit(total["1"] / (total["0"] + total["1"]))
     by_word = all_words.select(
         "word",
         "pairs",
         (F.col("n0") + F.col("n1")).alias("n"),
         *[lower[c].alias(f"lower{c}") for c in "01"],
-        F.when(~_rare(share), ratio).otherwise(0.0).alias("word_ratio"),
+        ratio.alias("word_ratio"),
+        F.when(~_rare(share), ratio).otherwise(0.0).alias("word_clear"),
+    )
+    counts = counts.where("before <> 0")
+    by_context = counts.groupBy("before").agg(
+        *[x.alias(f"seen{c}") for c, x in zip("01", sums, strict=True)],
+        *[x.alias(f"types{c}") for c, x in zip("01", held, strict=True)],
+        F.count("*").alias("pairs"),
     )
+    weight = [F.coalesce(DISCOUNT * F.col(f"types{c}") / F.nullif(F.col(f"seen{c}"), F.lit(0)), F.lit(1.0)) for c in "01"]
     by_context = stored(
-        counts.groupBy("before").agg(
-            *[F.greatest(F.sum(f"n{c}"), F.lit(1)).alias(f"seen{c}") for c in "01"],
-            *[F.sum((F.col(f"n{c}") > 0).cast("bigint")).alias(f"types{c}") for c in "01"],
-            F.count("*").alias("pairs"),
-        ),
-        "contexts",
+        by_context.select("*", *[w.alias(f"free{c}") for c, w in zip("01", weight, strict=True)]), "contexts"
     )
-    # No count up to SIGMAS differs that far: the rest needs no join.
-    pairs = _joined(counts.where(F.col("n0") + F.col("n1") > SIGMAS), by_context, "before", "pairs")
-    pairs = pairs.where(~_rare(F.col("seen1") / (F.col("seen0") + F.col("seen1"))))
+    context_ratio = F.log("free1") - F.log("free0")
+    pairs = _joined(counts, by_context.drop("types0", "types1"), "before", "pairs")
     pairs = _joined(pairs, by_word.drop("n"), "word", "pairs")
     log = {}
     for c in "01":
-        free = F.greatest(DISCOUNT * F.col(f"types{c}"), F.lit(1.0)) / F.col(f"seen{c}")
-        kept = F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0)) / F.col(f"seen{c}")
-        log[c] = F.log(kept + free * F.col(f"lower{c}"))
-    more = (log["1"] - log["0"] - F.col("word_ratio")).alias("value")
-    own = pairs.select("before", "word", more, (F.col("n0") + F.col("n1")).alias("n"))
-    plain = by_word.where("word_ratio <> 0").select(
-        F.lit(None).cast("bigint").alias("before"), "word", F.col("word_ratio").alias("value"), "n"
+        kept = F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0)) / F.greatest(f"seen{c}", F.lit(1))
+        log[c] = F.log(kept + F.col(f"free{c}") * F.col(f"lower{c}"))
+    clear = ~_rare(F.col("seen1") / (F.col("seen0") + F.col("seen1")))
+    ratio, null = log["1"] - log["0"], F.lit(None).cast("bigint")
+    own = pairs.select(
+        "before",
+        "word",
+        (ratio - context_ratio - F.col("word_ratio")).alias("value"),
+        F.when(clear, ratio - F.col("word_clear")).otherwise(0.0).alias("clear"),
+        (F.col("n0") + F.col("n1")).alias("n"),
+    )
+    plain = by_word.select(
+        null.alias("before"), "word", F.col("word_ratio") - F.lit(unseen), "word_clear", "n"
+    )
+    contexts = by_context.select(
+        "before", null.alias("word"), context_ratio, F.lit(0.0), F.col("seen0") + F.col("seen1")
     )
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            alone = batch.column("before").is_null().to_numpy(zero_copy_only=False)
-            before = batch.column("before").fill_null(0).to_numpy().view(_U)
-            key = np.where(alone, *_keys(before, batch.column("word").to_numpy().view(_U)))
+            given = [batch.column(c) for c in ("before", "word")]
+            kinds = _keys(*[c.fill_null(0).to_numpy().view(_U) for c in given])
+            lacks = [c.is_null().to_numpy(zero_copy_only=False) for c in given]
+            key = np.select(lacks, kinds[:2], kinds[2])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key), batch.column("value"), batch.column("n")], names=["key", "value", "n"]
+                [pa.array(key), pa.array(~(lacks[0] | lacks[1])), *(batch.column(i) for i in (2, 3, 4))],
+                names=["key", "pair", "value", "clear", "n"],
             )
 
-    every = own.unionByName(plain).mapInArrow(keyed, "key bigint, value double, n bigint")
-    entries = stored(every, "entries")
-    least = (total["0"] + total["1"]) / COMMON
+    every = own.union(plain).union(contexts)
+    entries = stored(every.mapInArrow(keyed, "key bigint, pair boolean, value double, clear double, n bigint"), "entries")
+    least = (n0 + n1) / COMMON
     common = entries.where(F.col("n") >= least).orderBy("key").toArrow()
-    rest = entries.where(F.col("n") < least).select("key", "value")
+    rest = entries.where(F.col("n") < least)
     bit = F.col("key").bitwiseAND(FILTER_BITS - 1)
-    places = rest.select(bit.alias("bit"))
+    places = rest.where("NOT pair").select(bit.alias("bit"))
     places = places.selectExpr("CAST(bit DIV 8 AS INT) AS byte", "shiftleft(1, CAST(bit % 8 AS INT)) AS bits")
     places = places.groupBy("byte").agg(F.bit_or("bits").cast("short").alias("bits")).toArrow()
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     bits[places.column("byte").to_numpy()] = places.column("bits").to_numpy().astype(np.uint8)
     discard(all_words, by_context)
-    return Model(rest, common.column("key").to_numpy(), common.column("value").to_numpy(), bits)
+    values = np.stack([common.column(c).to_numpy() for c in ("value", "clear")])
+    return Model(rest.select("key", "value", "clear"), common.column("key").to_numpy(), values, bits, unseen)
 
 
 def _looked_up(shared, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Per row the sum over common entries and the number of words; (row, key, times) to look up."""
-    common, values, bits = shared
+    """Per row the sums over common entries and the number of words; (row, key, times) to look up."""
+    common, values, bits, unseen = shared
     before, word, rows = _bigrams(data, bounds)
     n = len(bounds) - 1
-    key, row = np.concatenate(_keys(before, word)), np.concatenate([rows, rows])
-    base = np.zeros(n)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, key), len(common) - 1)
-        known = common[at] == key
-        base = np.bincount(row[known], values[at[known]], n).astype(np.float64)
-        key, row = key[~known], row[~known]
-    bit = key & (FILTER_BITS - 1)
-    maybe = (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-    key, row = key[maybe], row[maybe]
+    sizes = np.bincount(rows, minlength=n)
+    sums, asked = np.stack([sizes * unseen, np.zeros(n)]), []
+    counted = np.ones(len(word), bool)
+    for kind, key in enumerate(_keys(before, word)):
+        known = np.zeros(len(key), bool)
+        if len(common):
+            at = np.minimum(np.searchsorted(common, key), len(common) - 1)
+            known = common[at] == key
+            for total, value in zip(sums, values, strict=True):
+                total += np.bincount(rows[known], value[at[known]], n)
+        if kind < 2:
+            bit = key & (FILTER_BITS - 1)
+            maybe = (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+            counted &= known | maybe
+        else:
+            # A bigram is counted only if its word and its context are.
+            maybe = counted
+        asked.append((key[maybe & ~known], rows[maybe & ~known]))
+    key, row = (np.concatenate(x) for x in zip(*asked, strict=True))
     order = np.lexsort((key, row))
     key, row = key[order], row[order]
     first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
     times = np.diff(first, append=len(key))
-    return base, np.bincount(rows, minlength=n), row[first], key[first], times
+    return sums, sizes, row[first], key[first], times
 
 
-def with_ratio(docs: DataFrame, model: Model) -> tuple[DataFrame, DataFrame]:
-    """``doc_id`` (and ``toxic`` where there is one) with ``ratio``; the stored table it reads.
+def with_ratio(docs: DataFrame, model: Model) -> DataFrame:
+    """``doc_id`` (and ``toxic`` where there is one) with ``ratio`` and ``clear``, a row for each row.
 
-    The ratio is the difference of the log-likelihoods per word; 0 without words.
+    The ratio is the difference of the log-likelihoods per word; both are 0 without words.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.keys, model.values, model.bits))
+    given = (model.keys, model.values, model.bits, model.unseen)
+    shared = docs.sparkSession.sparkContext.broadcast(given)
     names = [c for c in ("doc_id", "toxic") if c in docs.columns]
-    given = docs.select(
-        F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("bigint"), *names[1:], "text"
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("_row"), *[F.col(c).cast("bigint") for c in names], "text"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids = batch.column("_row").to_numpy()
             for low, data, bounds in text_chunks(batch.column("text")):
-                base, n, row, key, times = _looked_up(shared.value, data, bounds)
-                edges = pa.array(np.searchsorted(row, np.arange(len(bounds))).astype(np.int32))
-                columns = [batch.column(c).slice(low, len(n)) for c in ("_row", *names)]
-                found = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in (key, times)]
+                sums, n, row, key, times = _looked_up(shared.value, data, bounds)
+                own, none = ids[low : low + len(n)], np.zeros(len(key))
+                # A row of its own for each text, under a key that no entry has but by chance.
+                head = folded([own.view(_U)] * 4).view(np.int64)
+                columns = [
+                    np.concatenate(x)
+                    for x in ((own, own[row]), (head, key), (-1 - n, times), (sums[0], none), (sums[1], none))
+                ]
+                given = [pa.concat_arrays([batch.column(c).slice(low, len(n)), pa.nulls(len(key), pa.int64())]) for c in names]
                 yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(base), pa.array(n), *found],
-                    names=["_row", *names, "base", "n_words", "keys", "times"],
+                    [*map(pa.array, columns), *given],
+                    names=["_row", "key", "times", "base", "base_clear", *names],
                 )
 
-    schema = given.drop("text").schema.add("base", "double").add("n_words", "long")
-    schema = schema.add("keys", ArrayType(LongType())).add("times", ArrayType(LongType()))
-    # Stored, so that the numbers of the rows stay as they are.
-    rows = stored(given.mapInArrow(run, schema), "looked_up")
-    asked = rows.select("_row", F.explode(F.arrays_zip("keys", "times")).alias("e"))
-    asked = asked.select("_row", F.col("e.keys").alias("key"), F.col("e.times").alias("times"))
-    hits = asked.join(model.entries.hint("merge"), "key")
-    more = hits.groupBy("_row").agg(F.sum(F.col("times") * F.col("value")).alias("more"))
-    # Only rows that ask for something are shuffled.
-    done = rows.where("size(keys) = 0").withColumn("more", F.lit(0.0))
-    open_rows = rows.where("size(keys) > 0").join(more.hint("merge"), "_row", "left")
-    every = done.unionByName(open_rows.select(*done.columns))
-    ratio = (F.col("base") + F.coalesce("more", F.lit(0.0))) / F.greatest("n_words", F.lit(1))
-    return every.select(*names, ratio.alias("ratio")), rows
-
-
-def fit_curve(ratio: np.ndarray, toxic: np.ndarray) -> tuple[float, float, float]:
-    """Shift, scale and offset of the logistic curve over the ratio's signed root.
-
-    By Newton's method, slightly ridged; the root tames short texts.
+    schema = "_row bigint, key bigint, times bigint, base double, base_clear double"
+    asked = rows.mapInArrow(run, ", ".join([schema, *[f"{c} bigint" for c in names]]))
+    met = asked.join(model.entries.hint("merge"), "key", "left")
+    own = F.col("times") < 0
+    sums = [
+        F.sum(F.when(own, F.col(base)).otherwise(F.col("times") * F.coalesce(value, F.lit(0.0)))).alias(value)
+        for base, value in (("base", "value"), ("base_clear", "clear"))
+    ]
+    n_words = F.sum(F.when(own, -1 - F.col("times")))
+    every = met.groupBy("_row").agg(n_words.alias("n_words"), *sums, *[F.max(c).alias(c) for c in names])
+    size = F.greatest("n_words", F.lit(1))
+    return every.select(*names, (F.col("value") / size).alias("ratio"), (F.col("clear") / size).alias("clear"))
+
+
+def _root(x: np.ndarray) -> np.ndarray:
+    return np.sign(x) * np.sqrt(np.abs(x))
+
+
+def fit_curve(features: np.ndarray, toxic: np.ndarray) -> tuple[list[float], list[float], float]:
+    """Shifts, scales and offset of the logistic curve over the features' signed roots.
+
+    ``features`` has a row for each document. By Newton's method, slightly
+    ridged; the root tames short texts.
     """
-    if not len(ratio):
-        return 0.0, 1.0, 0.0
-    ratio = np.sign(ratio) * np.sqrt(np.abs(ratio))
-    shift, spread = float(np.mean(ratio)), float(np.std(ratio)) or 1.0
-    x = np.stack([(ratio - shift) / spread, np.ones(len(ratio))], axis=1)
-    w = np.zeros(2)
+    width = features.shape[1]
+    if not len(features):
+        return [0.0] * width, [1.0] * width, 0.0
+    x = _root(features)
+    shift, spread = x.mean(axis=0), x.std(axis=0)
+    spread[spread == 0] = 1.0
+    x = np.concatenate([(x - shift) / spread, np.ones((len(x), 1))], axis=1)
+    w = np.zeros(width + 1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        curve = (x * (p * (1 - p))[:, None]).T @ x + np.eye(2) * 1e-2
+        curve = (x * (p * (1 - p))[:, None]).T @ x + np.eye(width + 1) * 1e-2
         w = w + np.linalg.solve(curve, x.T @ (toxic - p) - 1e-2 * w)
-    return shift, w[0] / spread, w[1]
+    return shift.tolist(), (w[:-1] / spread).tolist(), float(w[-1])
 
 
 def train(docs: DataFrame, labels: DataFrame):
@@ -288,23 +333,22 @@ def train(docs: DataFrame, labels: DataFrame):
     share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.lit(
         int(min(1.0, CURVE_DOCS / max(1, total)) * (1 << 20))
     )
-    ratios, read = with_ratio(passing(docs.where(curve & share), bits).join(marks, "doc_id"), model)
-    drawn = ratios.toArrow()
-    discard(read, marks)
-    return model, fit_curve(
-        drawn.column("ratio").to_numpy(), drawn.column("toxic").to_numpy().astype(np.float64)
-    )
+    drawn = with_ratio(passing(docs.where(curve & share), bits).join(marks, "doc_id"), model).toArrow()
+    discard(marks)
+    features = np.stack([drawn.column(c).to_numpy() for c in ("ratio", "clear")], axis=1)
+    return model, fit_curve(features, drawn.column("toxic").to_numpy().astype(np.float64))
 
 
-def score(docs: DataFrame, model: Model, curve: tuple[float, float, float]) -> DataFrame:
-    """``doc_id, ratio, score, predicted``: one row for each row, from the whole text.
+def score(docs: DataFrame, model: Model, curve: tuple[list[float], list[float], float]) -> DataFrame:
+    """``doc_id, ratio, clear, score, predicted``: one row for each row, from the whole text.
 
     Null and empty texts have ratio 0 and the score that it has. Repeated rows
     and null ids are kept; other columns are ignored.
     """
-    shift, scale, offset = curve
-    root = F.signum("ratio") * F.sqrt(F.abs("ratio"))
-    line = (root - F.lit(float(shift))) * F.lit(float(scale)) + F.lit(float(offset))
-    found, _ = with_ratio(docs.select("doc_id", "text"), model)
+    shifts, scales, line = curve[0], curve[1], F.lit(curve[2])
+    for name, shift, scale in zip(("ratio", "clear"), shifts, scales, strict=True):
+        root = F.signum(name) * F.sqrt(F.abs(name))
+        line = line + (root - F.lit(shift)) * F.lit(scale)
+    found = with_ratio(docs.select("doc_id", "text"), model)
     scored = found.withColumn("score", 1 / (1 + F.exp(-line)))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

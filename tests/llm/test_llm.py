@@ -2,9 +2,12 @@
 
 import base64
 import hashlib
+import itertools
+import math
 import random
 import re
 import struct
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -381,6 +384,46 @@ def test_toxicity_entries_are_joined_as_they_are_broadcast(spark, monkeypatch):
     assert got[0] == got[1] and len(got[0]) == len(rows) + 2 and len({x for _, x in got[0]}) > 2
 
 
+def brute_ratios(rows, asked):
+    """Log-likelihood ratios a word of Kneser-Ney bigrams, from the counts of (text, toxic)."""
+    tokens = lambda text: re.findall(r"[a-z0-9]+", text.lower())
+    pairs = [Counter(), Counter()]
+    for text, toxic in rows:
+        pairs[toxic].update(itertools.pairwise([None, *tokens(text)]))
+    both = set(pairs[0]) | set(pairs[1])
+    after = Counter(w for _, w in both)
+    d = toxicity.DISCOUNT
+
+    def chance(c, v, w):
+        own = Counter(y for _, y in pairs[c])
+        shared = (after[w] + 0.5) / (len(both) + 0.5 * (len(after) + 1))
+        lower = (max(own[w] - d, 0) + d * len(own) * shared) / len(pairs[c])
+        seen = {y: n for (x, y), n in pairs[c].items() if x == v}
+        if v is None or not seen:
+            return lower
+        return (max(seen.get(w, 0) - d, 0) + d * len(seen) * lower) / sum(seen.values())
+
+    out = []
+    for text in asked:
+        steps = list(itertools.pairwise([None, *tokens(text)]))
+        out.append(sum(math.log(chance(1, *s) / chance(0, *s)) for s in steps) / max(1, len(steps)))
+    return out
+
+
+@pytest.mark.parametrize("common", [1, 1 << 20])
+def test_toxicity_ratios_equal_brute_force(spark, monkeypatch, common):
+    # Most bigrams occur once or twice, many contexts and words in one class only.
+    monkeypatch.setattr(toxicity, "COMMON", common)
+    draw = random.Random(4)
+    text = lambda kind: " ".join(f"{kind if draw.random() < 0.4 else 'w'}{draw.randrange(12)}" for _ in range(9))
+    rows = [(text("xy"[i % 2]), i % 2) for i in range(60)]
+    asked = [text(kind) for kind in "xyz" * 10] + ["", "unseen", "unseen w1 x2 unseen", "W1 w1 w1 w1"]
+    model = toxicity.build_model(toxicity.count_bigrams(spark.createDataFrame(rows, "text string, toxic int")))
+    docs = spark.createDataFrame(list(enumerate(asked)), "doc_id bigint, text string")
+    got = {r.doc_id: r.ratio for r in toxicity.with_ratio(docs, model).collect()}
+    assert [got[i] for i in range(len(asked))] == pytest.approx(brute_ratios(rows, asked), abs=1e-9)
+
+
 # --- 7, lines ------------------------------------------------------------------
 
 
