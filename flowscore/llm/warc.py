@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowscore.llm.scratch import delete_folder, discard, stored
+from flowscore.llm.scratch import BATCH_BYTES, bounded_batches, delete_folder, discard, stored
 from flowscore.session import run_path
 
 REVISIT_BYTES = 100
@@ -230,49 +230,58 @@ def read_sidecars(spark, folder: str) -> DataFrame:
     return files.json(folder)
 
 
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of RECORD_SCHEMA for rows of the index; they end after BATCH_BYTES of payload."""
+    names = [part.split()[0] for part in RECORD_SCHEMA.split(", ")]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        values = zip(*rows, strict=True) if rows else [[]] * len(names)
+        columns = [pa.array(column, kind) for column, kind in zip(values, types, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    opened = (None, None)
+    for batch in batches:
+        rows, held = [], 0
+        columns = (batch.column(c).to_pylist() for c in ("archive", "offset", "length"))
+        for archive, offset, length in zip(*columns, strict=True):
+            if opened[0] != archive:
+                files, path = pafs.FileSystem.from_uri(archive)
+                opened = (archive, files.open_input_file(path))
+            opened[1].seek(offset)
+            record = zlib.decompress(opened[1].read(length), 31)
+            head, block = record.split(b"\r\n\r\n", 1)
+            field = parse_head(head)
+            payload = block[: int(field["content-length"])].split(b"\r\n\r\n", 1)[1]
+            digest = hashlib.sha256(payload).hexdigest()
+            stated = field["warc-payload-digest"].removeprefix("sha256:")
+            size, html = len(payload), payload.decode()
+            page = field["warc-record-id"].removeprefix("<urn:page:").removesuffix(">")
+            origin = field.get("warc-refers-to", "").removeprefix("<urn:page:").removesuffix(">")
+            held += size
+            if field["warc-type"] == "revisit":
+                size, digest, html = int(field["warc-payload-length"]), stated, None
+            elif digest != stated:
+                raise ValueError(f"payload of {page} in {archive} differs from its digest")
+            page_id = None if page == "none" else int(page)
+            rows.append(
+                (page_id, field["warc-target-uri"], size, digest, field["warc-type"],
+                 int(origin) if origin else None, html, archive, offset)
+            )
+            if held >= BATCH_BYTES:
+                yield made(rows)
+                rows, held = [], 0
+        yield made(rows)
+
+
 def read_records(index: DataFrame) -> DataFrame:
     """Records of RECORD_SCHEMA by the offsets of the index, each member by itself.
 
     Length and digest are counted over the payload read; a revisit has none, so
     for it they are those its head states, and ``html`` is null.
     """
-    names = [part.split()[0] for part in RECORD_SCHEMA.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened = (None, None)
-        for batch in batches:
-            rows = []
-            columns = (batch.column(c).to_pylist() for c in ("archive", "offset", "length"))
-            for archive, offset, length in zip(*columns, strict=True):
-                if opened[0] != archive:
-                    files, path = pafs.FileSystem.from_uri(archive)
-                    opened = (archive, files.open_input_file(path))
-                opened[1].seek(offset)
-                record = zlib.decompress(opened[1].read(length), 31)
-                head, block = record.split(b"\r\n\r\n", 1)
-                field = parse_head(head)
-                payload = block[: int(field["content-length"])].split(b"\r\n\r\n", 1)[1]
-                digest = hashlib.sha256(payload).hexdigest()
-                stated = field["warc-payload-digest"].removeprefix("sha256:")
-                size, html = len(payload), payload.decode()
-                page = field["warc-record-id"].removeprefix("<urn:page:").removesuffix(">")
-                origin = field.get("warc-refers-to", "").removeprefix("<urn:page:").removesuffix(">")
-                if field["warc-type"] == "revisit":
-                    size, digest, html = int(field["warc-payload-length"]), stated, None
-                elif digest != stated:
-                    raise ValueError(f"payload of {page} in {archive} differs from its digest")
-                page_id = None if page == "none" else int(page)
-                rows.append(
-                    (page_id, field["warc-target-uri"], size, digest, field["warc-type"],
-                     int(origin) if origin else None, html, archive, offset)
-                )
-            types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-            values = zip(*rows, strict=True) if rows else [[]] * len(names)
-            columns = [pa.array(column, kind) for column, kind in zip(values, types, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
     placed = _by_archive(index.select("archive", "offset", "length"))
-    return placed.sortWithinPartitions("archive", "offset").mapInArrow(run, RECORD_SCHEMA)
+    return placed.sortWithinPartitions("archive", "offset").mapInArrow(_records, RECORD_SCHEMA)
 
 
 def archived(pages: DataFrame) -> DataFrame:
@@ -285,6 +294,7 @@ def archived(pages: DataFrame) -> DataFrame:
     percent-encoded in the url.
     """
     spark = pages.sparkSession
+    bounded_batches(spark)
     folder = run_path(spark, "warc")
     raw = write_archives(pages, f"{folder}/raw")
     index = normalise(raw, f"{folder}/members")

@@ -495,6 +495,20 @@ def test_records_of_any_piece_size():
         assert list(warc.split_records(warc.inflated(pieces))) == records
 
 
+def test_records_are_read_in_batches_of_bounded_bytes(tmp_path):
+    made = [warc.record_bytes(i, "http://a", (b"%d" % i) * 500_000, None, "d") for i in range(30)]
+    members = [warc.zlib.compress(x, wbits=31) for x in made]
+    (tmp_path / "a").write_bytes(b"".join(members))
+    lengths = [len(x) for x in members]
+    index = pa.RecordBatch.from_arrays(
+        [pa.array([f"file://{tmp_path}/a"] * 30), pa.array(np.cumsum(lengths) - lengths), pa.array(lengths)],
+        names=["archive", "offset", "length"],
+    )
+    found = list(warc._records(iter([index])))
+    assert [x for b in found for x in b.column("page_id").to_pylist()] == list(range(30))
+    assert max(b.nbytes for b in found) <= scratch.BATCH_BYTES + 1_100_000
+
+
 def test_archived_pages(spark):
     body = "é" * 60
     rows = [(3, "u", body, 1), (1, None, body, 2), (2, "u", None, 3), (5, "u", "short", 4), (6, "u", "short", 5), (None, "u", body, 6)]
