@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowscore.llm.scratch import bounded_batches
+from flowscore.llm.scratch import bounded_batches, returning
 
 _BUCKETS = 1 << 16
 _SPREAD = 40503
@@ -240,6 +240,7 @@ def _chunks(words: DataFrame, arrays: dict) -> DataFrame:
         "pieces array<array<bigint>>"
     )
 
+    @returning
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _Tokens(shared.value)
         for batch in batches:
@@ -342,6 +343,7 @@ def _reassembled(chunks: DataFrame, ranks: dict[bytes, int], decoded: bool) -> D
     """Each document's ids, from the merged words of its task, and what they decode to."""
     shared = chunks.sparkSession.sparkContext.broadcast(_tokens_by_id(ranks))
 
+    @returning
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = _Decoder(shared.value)
         merged = _Merged(len(shared.value))
@@ -393,6 +395,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     bounded_batches(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast(_tokens_by_id(ranks))
 
+    @returning
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = _Decoder(shared.value)
         for batch in batches:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from flowscore.llm.hashing import ALNUM, id_filter, passing, text_chunks, words
-from flowscore.llm.scratch import discard, stored
+from flowscore.llm.scratch import discard, returning, stored
 
 WINDOW_WORDS = 10
 ANCHORS = 3
@@ -74,6 +74,7 @@ def term_counts(docs: DataFrame, terms: np.ndarray) -> np.ndarray:
     """How often each of the terms occurs in all documents."""
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
+    @returning
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         counts = np.zeros(len(known), np.int64)
@@ -109,6 +110,7 @@ def build_index(docs: DataFrame, terms: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(terms)
     schema = "doc_id bigint, doc bigint, version bigint, n_words bigint, term array<bigint>, pos array<int>"
 
+    @returning
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, term, pos = [], [], []
@@ -202,6 +204,7 @@ def _confirmed(spots: DataFrame, docs: DataFrame, windows: Windows) -> DataFrame
     known = docs.sparkSession.sparkContext.broadcast((windows.words, windows.items))
     schema = "doc bigint, version bigint, covered array<int>, items array<string>"
 
+    @returning
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, names = known.value
         for batch in batches:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
+from flowscore.llm.scratch import returning
+
 _STEP = 0x9E3779B97F4A7C15
 _CHUNK_BYTES = 1 << 20
 _U = np.uint64
@@ -147,6 +149,7 @@ def passing(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     """``doc_id, text`` of the documents that ``id_filter`` lets through."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
+    @returning
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column("bit").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -167,6 +170,7 @@ def parted(docs: DataFrame, bits: np.ndarray, key: str) -> tuple[DataFrame, Data
     names = docs.columns
     schema = StructType([*docs.schema.fields, StructField("_passes", BooleanType())])
 
+    @returning
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column(len(names)).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowscore.llm.hashing import text_chunks
+from flowscore.llm.scratch import returning
 
 HIDDEN = 8
 WINDOW = 64
@@ -204,6 +205,7 @@ def predict(docs: DataFrame, names: list[str], network: Network) -> DataFrame:
     fields = [f for f in docs.schema.fields if f.name in kept]
     schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
 
+    @returning
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Network.__new__(Network)
         model.weights, model.hidden = weights.value, hidden

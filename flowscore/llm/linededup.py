@@ -21,7 +21,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType
 from pyspark.sql.window import Window
 
 from flowscore.llm.hashing import SPACED, id_filter, parted, span_hashes, text_chunks, words
-from flowscore.llm.scratch import bounded_batches, discard, stored
+from flowscore.llm.scratch import bounded_batches, discard, returning, stored
 
 MIN_WORDS = 50
 ROW = ["doc", "version"]
@@ -53,6 +53,7 @@ def _windows(counts: np.ndarray, per_text: np.ndarray, least: int) -> tuple[np.n
 def line_rows(docs: DataFrame, least: int) -> DataFrame:
     """A row for every line of every text that is not null."""
 
+    @returning
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc = batch.column("doc").to_numpy()
@@ -192,6 +193,7 @@ def dedup_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     schema = docs.select(*kept).schema.add("n_lines", LongType())
     schema = schema.add("removed", ArrayType(IntegerType()))
 
+    @returning
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, sizes, removed = [], [], []

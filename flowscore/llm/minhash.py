@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from flowscore.llm.graph import components
 from flowscore.llm.hashing import SPACED, id_filter, mix, passing, shingle_sets
-from flowscore.llm.scratch import discard, stored
+from flowscore.llm.scratch import discard, returning, stored
 
 _U = np.uint64
 _EMPTY = _U(0xFFFFFFFFFFFFFFFF)
@@ -75,6 +75,7 @@ def band_keys(bins: np.ndarray, rule: NearRule) -> np.ndarray:
 def sketches(docs: DataFrame, rule: NearRule) -> DataFrame:
     """Size of the shingle set, a 128-bit key of it, and the band keys, per document."""
 
+    @returning
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
@@ -123,6 +124,7 @@ def verified(pairs: DataFrame, texts: DataFrame, rule: NearRule) -> DataFrame:
     skew join, and no task holds more than one pair at a time.
     """
 
+    @returning
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             known = (None, None)

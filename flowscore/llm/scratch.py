@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import re
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from flowscore.session import run_path
@@ -11,6 +15,8 @@ from flowscore.session import run_path
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 # Bytes after which an Arrow batch of texts is sent to a Python worker.
 BATCH_BYTES = 4 << 20
+# Bytes of batches after which a Python worker gives back the memory that it holds free.
+RETURN_BYTES = 32 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -24,6 +30,39 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Return to the system what Arrow and the C library hold free in this process."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def returning(run: Callable) -> Callable:
+    """``run`` over the batches of a task, with ``give_back`` now and then and after the last.
+
+    Python workers stay for later tasks, also idle ones, and memory that they
+    hold free counts as the executor's.
+    """
+
+    @functools.wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def given() -> Iterator[pa.RecordBatch]:
+            size = 0
+            for batch in batches:
+                size += batch.nbytes
+                yield batch
+                if size >= RETURN_BYTES:
+                    give_back()
+                    size = 0
+
+        yield from run(given())
+        give_back()
+
+    return whole
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once to the shared folder and read back; see ``discard``."""
     path = run_path(df.sparkSession, label)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowscore.llm.hashing import ALNUM, FILTER_BITS, folded, id_filter, passing, text_chunks, words
-from flowscore.llm.scratch import discard, stored
+from flowscore.llm.scratch import discard, returning, stored
 
 DISCOUNT = 0.75
 # Standard deviations that class counts must differ by to count for the second feature.
@@ -81,6 +81,7 @@ def _keys(before: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def count_bigrams(rows: DataFrame) -> DataFrame:
     """``before, word, n0, n1`` of ``text, toxic`` rows: counts in each class, stored."""
 
+    @returning
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
@@ -183,6 +184,7 @@ def build_model(counts: DataFrame) -> Model:
         "before", null.alias("word"), context_ratio, F.lit(0.0), F.col("seen0") + F.col("seen1")
     )
 
+    @returning
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             given = [batch.column(c) for c in ("before", "word")]
@@ -253,6 +255,7 @@ def with_ratio(docs: DataFrame, model: Model) -> DataFrame:
         F.monotonically_increasing_id().alias("_row"), *[F.col(c).cast("bigint") for c in names], "text"
     )
 
+    @returning
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("_row").to_numpy()

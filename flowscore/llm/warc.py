@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowscore.llm.scratch import BATCH_BYTES, bounded_batches, delete_folder, discard, stored
+from flowscore.llm.scratch import BATCH_BYTES, bounded_batches, delete_folder, discard, returning, stored
 from flowscore.session import run_path
 
 REVISIT_BYTES = 100
@@ -154,6 +154,7 @@ def write_archives(
 ) -> DataFrame:
     """Write a record for each row of ``pages``; the archives' paths, stored."""
 
+    @returning
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         out, packed, size, paths = None, None, 0, []
@@ -196,6 +197,7 @@ def normalise(archives: DataFrame, folder: str, level: int = 6) -> DataFrame:
     line per record: archive, offset and length of its member, id and type.
     """
 
+    @returning
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for source in batch.column("archive").to_pylist():
@@ -230,6 +232,7 @@ def read_sidecars(spark, folder: str) -> DataFrame:
     return files.json(folder)
 
 
+@returning
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches of RECORD_SCHEMA for rows of the index; they end after BATCH_BYTES of payload."""
     names = [part.split()[0] for part in RECORD_SCHEMA.split(", ")]

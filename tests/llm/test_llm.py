@@ -635,3 +635,20 @@ def test_long_texts_do_not_travel_in_one_batch(spark, name):
             assert max(arrow_batches(long)) <= most + 600_000
     finally:
         spark.conf.set(scratch.BATCH_SETTING, was)
+
+
+def test_workers_give_memory_back(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "some words of a text", "en"), (2, "other words", "de")], "doc_id bigint, text string, lang string")
+    given, calls = [], []
+    own = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: given.append(f) or own(self, f, schema))
+    monkeypatch.setattr(scratch, "give_back", lambda: calls.append(1))
+    minhash.sketches(docs, minhash.NearRule())
+    linededup.line_rows(docs.selectExpr("doc_id", "text"), 50)
+    langid.predict(docs, ["en"], langid.Network(1))
+    bpe.encode_and_decode(docs, RANKS, public_tokenizers.PATTERN)
+    for run in given:
+        before = len(calls)
+        list(run(iter([])))
+        assert len(calls) == before + 1
+    assert len(given) == 5
