@@ -10,6 +10,7 @@ those that follow. Nothing is shuffled.
 from __future__ import annotations
 
 import base64
+import copy
 import heapq
 import json
 from collections.abc import Iterator
@@ -21,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowscore.llm.hashing import span_hashes
 from flowscore.llm.scratch import bounded_batches, returning
 
 _BUCKETS = 1 << 16
@@ -142,13 +144,88 @@ def merge_long_word(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[i
     return [i for i in ids if i >= 0]
 
 
+def _spread(begins: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """Places of the items of runs that begin somewhere, one run after the other."""
+    return np.repeat(begins - (np.cumsum(widths) - widths), widths) + np.arange(widths.sum())
+
+
+class _Numbers:
+    """The numbers of words, in the order in which they came.
+
+    Held in arrays: about 20 bytes and its own for each word, where a dict takes 150.
+    A hash finds a word and its bytes confirm it; words whose hash an earlier one
+    has are in ``others``. An empty word among the first is a gap, found by no one.
+    """
+
+    def __init__(self, words: list[bytes]) -> None:
+        self.data, self.bounds = np.zeros(0, np.uint8), np.zeros(1, np.int32)
+        self.hashes, self.places, self.others = np.zeros(0, np.uint64), np.zeros(0, np.int32), {}
+        data, bounds, hashes = self._laid_out(words)
+        self._add(words, data, bounds, hashes, np.flatnonzero(np.diff(bounds)))
+
+    def copy(self) -> _Numbers:
+        """The same numbers, to go on from: arrays are replaced, never changed."""
+        out = copy.copy(self)
+        out.others = dict(self.others)
+        return out
+
+    @staticmethod
+    def _laid_out(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        bounds = np.zeros(len(words) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, words), np.int64, len(words)), out=bounds[1:])
+        data = np.frombuffer(b"".join(words), np.uint8)
+        return data, bounds, span_hashes(data, bounds[:-1], bounds[1:])
+
+    def _add(self, words: list[bytes], data: np.ndarray, bounds: np.ndarray, hashes: np.ndarray, found: np.ndarray) -> None:
+        """Number all of ``words`` on; the places in ``found`` can be found from now on."""
+        numbers = len(self.bounds) - 1 + np.arange(len(words), dtype=np.int32)
+        keys, one = np.unique(hashes[found], return_index=True)
+        at = np.searchsorted(self.hashes, keys)
+        is_new = np.ones(len(keys), bool)
+        inside = at < len(self.hashes)
+        is_new[inside] = self.hashes[at[inside]] != keys[inside]
+        first = found[one[is_new]]
+        for i in np.setdiff1d(found, first).tolist():
+            self.others[words[i]] = int(numbers[i])
+        self.hashes = np.insert(self.hashes, at[is_new], keys[is_new])
+        self.places = np.insert(self.places, at[is_new], numbers[first])
+        self.bounds = np.concatenate([self.bounds, (self.bounds[-1] + bounds[1:]).astype(np.int32)])
+        self.data = np.concatenate([self.data, data])
+
+    def numbered(self, words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+        """The number of each of some distinct words, and those seen for the first time."""
+        data, bounds, hashes = self._laid_out(words)
+        at = np.searchsorted(self.hashes, hashes)
+        met = np.flatnonzero(at < len(self.hashes))
+        met = met[self.hashes[at[met]] == hashes[met]]
+        number = self.places[at[met]]
+        width, begin = np.diff(bounds)[met], self.bounds[number].astype(np.int64)
+        same = self.bounds[number + 1] - begin == width
+        size = width[same]
+        differ = data[_spread(bounds[met[same]], size)] != self.data[_spread(begin[same], size)]
+        total, ends = np.append(0, np.cumsum(differ)), np.cumsum(size)
+        same[same] = total[ends] == total[ends - size]
+        out = np.full(len(words), -1, np.int32)
+        out[met[same]] = number[same]
+        for i in met[~same].tolist():
+            out[i] = self.others.get(words[i], -1)
+        new = np.flatnonzero(out < 0)
+        out[new] = len(self.bounds) - 1 + np.arange(len(new))
+        size = np.diff(bounds)[new]
+        added = [words[i] for i in new.tolist()]
+        self._add(
+            added, data[_spread(bounds[new], size)], np.append(0, np.cumsum(size)), hashes[new], np.arange(len(new))
+        )
+        return out, added
+
+
 def token_arrays(ranks: dict[bytes, int], pairs: dict[tuple[int, int], int]) -> dict:
     """The ranks as arrays, for the look-ups of ``_Tokens``."""
     keys = np.array([left << _ID_BITS | right for left, right in pairs], np.int64)
     order = np.argsort(keys)
     return {
         "byte_ids": np.array([ranks[bytes([b])] for b in range(256)], np.int64),
-        "ids": ranks,
+        "tokens": _Numbers(_tokens_by_id(ranks)),
         "keys": keys[order],
         "merged": np.array(list(pairs.values()), np.int64)[order],
     }
@@ -176,19 +253,12 @@ class _Tokens:
         return dict(zip(zip(left, right, strict=True), self.merged.tolist(), strict=True))
 
     def forget(self) -> None:
-        self.numbers = dict(self.ids)
+        self.numbers = self.tokens.copy()
         self.kept = self.kept_bytes = 0
 
     def numbered(self, distinct: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
         """The number of each word, and those seen for the first time."""
-        numbers, base, new = self.numbers, _id_count(self.ids) + self.kept, []
-        out = np.empty(len(distinct), np.int32)
-        for i, word in enumerate(distinct):
-            number = numbers.get(word)
-            if number is None:
-                number = numbers[word] = base + len(new)
-                new.append(word)
-            out[i] = number
+        out, new = self.numbers.numbered(distinct)
         self.kept += len(new)
         self.kept_bytes += sum(map(len, new))
         return out, new

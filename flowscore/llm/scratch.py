@@ -16,7 +16,7 @@ BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 # Bytes after which an Arrow batch of texts is sent to a Python worker.
 BATCH_BYTES = 4 << 20
 # Bytes of batches after which a Python worker gives back the memory that it holds free.
-RETURN_BYTES = 32 << 20
+RETURN_BYTES = 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:

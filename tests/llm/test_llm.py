@@ -7,6 +7,7 @@ import math
 import random
 import re
 import struct
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -142,6 +143,35 @@ def test_a_task_merges_a_word_once_and_forgets_beyond_its_bound():
     assert list(bpe._cuts(np.array([], int), 90)) == []
 
 
+def test_kept_words_take_little_more_than_their_bytes():
+    tokens = bpe._Tokens(bpe.token_arrays(RANKS, bpe.ranked_pairs(RANKS)))
+    tracemalloc.start()
+    for low in range(0, 200_000, 20_000):
+        tokens.numbered([b"qz%dxv" % i for i in range(low, low + 20_000)])
+    taken = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert tokens.kept == 200_000 and taken < 40 * tokens.kept + tokens.kept_bytes
+
+
+@pytest.mark.parametrize("hashes", [4, 1 << 16, 1 << 62])
+def test_numbers_of_words_that_share_a_hash(monkeypatch, hashes):
+    own = bpe.span_hashes
+    monkeypatch.setattr(bpe, "span_hashes", lambda *spans: own(*spans) % np.uint64(hashes))
+    draw = random.Random(9)
+    numbers = bpe._Numbers([b"a", b"", b"bc", b"\0", b"\0\0"])
+    known = {b"a": 0, b"bc": 2, b"\0": 3, b"\0\0": 4}
+    copied, count = numbers.copy(), 5
+    for _ in range(30):
+        words = list({draw.choice([b"a", b"\0" * draw.randrange(1, 20), b"w%d" % draw.randrange(300)]) for _ in range(40)})
+        new = [w for w in words if w not in known]
+        known |= {w: count + i for i, w in enumerate(new)}
+        count += len(new)
+        got, first = numbers.numbered(words)
+        assert first == new and got.tolist() == [known[w] for w in words]
+    assert numbers.numbered([])[1] == []
+    assert copied.numbered([b"bc", b"w1", b"a"])[0].tolist() == [2, 5, 0]
+
+
 def test_heap_merges_equal_the_library():
     pairs = bpe.ranked_pairs(RANKS)
     draw = random.Random(3)
