@@ -152,7 +152,7 @@ def _spread(begins: np.ndarray, widths: np.ndarray) -> np.ndarray:
 class _Numbers:
     """The numbers of words, in the order in which they came.
 
-    Held in arrays: about 20 bytes and its own for each word, where a dict takes 150.
+    Held in arrays: about 20 bytes and its own for each word, where a dict takes over 100.
     A hash finds a word and its bytes confirm it; words whose hash an earlier one
     has are in ``others``. An empty word among the first is a gap, found by no one.
     """
