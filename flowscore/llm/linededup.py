@@ -11,6 +11,7 @@ name it. The first of an interval stays, the later copies of the run go.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -140,20 +141,22 @@ def repeated_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
         *ROW, (F.col("pos") - F.col("backward") + 1).alias("start"), F.col("backward").alias("size")
     )
     runs = stored(forward.unionByName(backward).where("size > 0").distinct(), "runs")
-    longest = runs.agg(F.max("size")).first()[0] or 0
-    found, length, tables = None, 1, [again, runs]
-    while length <= longest:
-        sized = runs.where((F.col("size") >= length) & (F.col("size") < 2 * length))
-        gone = later_copies(ranks, sized, length)
-        found = gone if found is None else found.unionByName(gone)
-        length *= 2
-        if length <= longest:
+    powers = runs.select((F.length(F.bin("size")) - 1).alias("power")).distinct().collect()
+    powers = {row["power"] for row in powers}
+    found, tables = [], [again, runs]
+    for power in range(max(powers, default=-1) + 1):
+        length = 1 << power
+        if power:
             ranks = stored(doubled(ranks, length // 2), "ranks")
             tables.append(ranks)
             if ranks.isEmpty():
                 break
-    if found is None:
-        found = runs
+        if power in powers:
+            sized = runs.where((F.col("size") >= length) & (F.col("size") < 2 * length))
+            # Stored one by one: the driver never holds one plan of all lengths.
+            found.append(stored(later_copies(ranks, sized, length), "copies"))
+    tables += found
+    found = functools.reduce(DataFrame.unionByName, found, runs.limit(0))
     place = F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("pos")
     places = stored(found.select(*ROW, place).distinct(), "places")
     discard(*tables)

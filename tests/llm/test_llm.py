@@ -482,6 +482,24 @@ def test_lines_equal_brute_force(spark):
     assert got == brute_lines(rows, 6)
 
 
+def test_no_plan_of_lines_holds_all_lengths(spark, monkeypatch):
+    draw = random.Random(5)
+    block = [draw.choice(["a", "b c", "d"]) + f" {i}" for i in range(40)]
+    rows = [(i, "\n".join([f"u{i}", *block[i : i + 20]])) for i in range(12)]
+    joins, own = [], linededup.stored
+
+    def stored(df, label):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return own(df, label)
+
+    monkeypatch.setattr(linededup, "stored", stored)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    found = linededup.dedup_lines(docs, 10).where("size(removed) > 0").collect()
+    assert {r.doc_id: r.removed for r in found} == brute_lines(rows, 10)
+    # The joins of one length: both ends of a run, for the intervals and their members.
+    assert 0 < max(joins) <= 5
+
+
 def test_lines_cases(spark, odd, none):
     line = "word " * 60
     rows = [(1, f"{line}\nkeep", 1), (2, f"first\n{line}", 2), (3, None, 3), (4, "", 4), (2, f"first\n{line}", 2)]
