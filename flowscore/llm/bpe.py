@@ -1,8 +1,9 @@
 """Byte-level BPE with given ranks: encoding by a fold over distinct words, decoding.
 
 Texts are split by a pattern, the distinct words of a task are merged by
-higher-order functions against a literal map of ranked pairs, and the words of
-each document are replaced by their ids. Documents travel in chunks of about a
+higher-order functions against a literal map of ranked pairs (their first few
+merges in arrays, for all words of a chunk at once), and the words of each
+document are replaced by their ids. Documents travel in chunks of about a
 megabyte of text; a word is merged in the first chunk that holds it and kept for
 those that follow. Nothing is shuffled.
 """
@@ -33,6 +34,8 @@ _ID_BITS, _RANK_AT = 24, 40
 _ID, _NONE = (1 << _ID_BITS) - 1, (1 << 23) - 1
 # Words longer than this are merged with a heap: the fold takes quadratic time.
 FOLD_BYTES = 512
+# Merges of each word that are made for all words of a chunk at once, before the fold.
+FIRST_MERGES = 4
 # Text of a chunk, one row of the fold; more only if one text alone is longer.
 CHUNK_BYTES = 1 << 20
 # Bytes of merged words that a task keeps. Beyond it, it begins anew: a word that
@@ -267,14 +270,10 @@ class _Tokens:
         """The pieces of each word: its bytes, or what needs no more merging."""
         raw = np.frombuffer(b"".join(words), np.uint8)
         widths = np.array([len(word) for word in words], np.int64)
-        ends, sizes = np.cumsum(widths), widths.copy()
+        ends = np.cumsum(widths)
         ids = self.byte_ids[raw]
-        ranks = np.full(len(ids), _NONE, np.int64)
-        if len(ids) > 1 and len(self.keys):
-            asked = ids[:-1] << _ID_BITS | ids[1:]
-            at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
-            ranks[:-1] = np.where(self.keys[at] == asked, self.merged[at], _NONE)
-        ranks[ends - 1] = _NONE
+        word = np.repeat(np.arange(len(widths)), widths)
+        ranks = self._merges(ids, word, np.arange(len(ids)))
         keep = np.ones(len(ids), bool)
         for w in np.flatnonzero(widths > FOLD_BYTES):
             first, end = ends[w] - widths[w], ends[w]
@@ -282,12 +281,47 @@ class _Tokens:
             ids[first : first + len(merged)] = merged
             ranks[first:end] = _NONE
             keep[first + len(merged) : end] = False
-            sizes[w] = len(merged)
         place = np.minimum(np.arange(len(raw)) - np.repeat(ends - widths, widths), 65535)
-        values = (ranks << _RANK_AT | place << _ID_BITS | ids)[keep]
+        ids, ranks, word, place = (x[keep] for x in (ids, ranks, word, place))
+        for _ in range(FIRST_MERGES):
+            ids, ranks, word, place = self._joined(ids, ranks, word, place)
+        sizes = np.bincount(word, minlength=len(widths))
+        values = ranks << _RANK_AT | place << _ID_BITS | ids
         bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(bounds), pa.array(values))
 
+    def _merges(self, ids: np.ndarray, word: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """What the pieces ``at`` some places and their right neighbours merge into, or _NONE."""
+        out = np.full(len(at), _NONE, np.int64)
+        if len(ids) > 1 and len(self.keys):
+            right = np.minimum(at + 1, len(ids) - 1)
+            asked = ids[at] << _ID_BITS | ids[right]
+            found = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+            met = (self.keys[found] == asked) & (word[right] == word[at]) & (right > at)
+            out[met] = self.merged[found[met]]
+        return out
+
+    def _joined(
+        self, ids: np.ndarray, ranks: np.ndarray, word: np.ndarray, place: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The step of the fold, in all words: the leftmost pair of the smallest rank is joined."""
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        if not len(first):
+            return ids, ranks, word, place
+        order = ranks << 16 | place
+        best = np.minimum.reduceat(order, first)
+        best = np.repeat(best, np.diff(first, append=len(word)))
+        at = np.flatnonzero((order == best) & (ranks != _NONE))
+        ids[at] = ranks[at]
+        keep = np.ones(len(ids), bool)
+        keep[at + 1] = False
+        ids, ranks, word, place = (x[keep] for x in (ids, ranks, word, place))
+        at -= np.arange(len(at))
+        again = np.concatenate([at, at[at > 0] - 1])
+        # A word too long for the fold has no pairs left, so none of its neighbours is asked for.
+        ranks[again] = self._merges(ids, word, again)
+        return ids, ranks, word, place
+
 
 def _cuts(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Runs of rows of at most ``limit`` bytes, one row at least."""

@@ -172,6 +172,25 @@ def test_numbers_of_words_that_share_a_hash(monkeypatch, hashes):
     assert copied.numbered([b"bc", b"w1", b"a"])[0].tolist() == [2, 5, 0]
 
 
+def test_first_merges_are_those_of_the_fold():
+    pairs = bpe.ranked_pairs(RANKS)
+    tokens = bpe._Tokens(bpe.token_arrays(RANKS, pairs))
+    draw = random.Random(6)
+    sizes = [1, 2, bpe.FOLD_BYTES, bpe.FOLD_BYTES + 1, 3] + [draw.randrange(1, 14) for _ in range(300)]
+    words = [bytes(draw.choice(b"abeinst\xc3\xa9") for _ in range(n)) for n in sizes] + [b"aaaa", b"aaaaaaa"]
+    for word, got in zip(words, tokens.pieces(words).to_pylist(), strict=True):
+        ids = [RANKS[bytes([b])] for b in word]
+        if len(word) > bpe.FOLD_BYTES:
+            ids = bpe.merge_long_word(ids, pairs)
+        for _ in range(bpe.FIRST_MERGES):
+            rank, i = min(((pairs[p], i) for i, p in enumerate(itertools.pairwise(ids)) if p in pairs), default=(0, -1))
+            ids[i : i + 2] = [rank] if i >= 0 else ids[i : i + 2]
+        assert [p & bpe._ID for p in got] == ids
+        ranks = [pairs.get(p, bpe._NONE) for p in itertools.pairwise(ids)] + [bpe._NONE]
+        assert [p >> bpe._RANK_AT for p in got] == ranks
+    assert len(tokens.pieces([])) == 0
+
+
 def test_heap_merges_equal_the_library():
     pairs = bpe.ranked_pairs(RANKS)
     draw = random.Random(3)
